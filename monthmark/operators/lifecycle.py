@@ -157,3 +157,29 @@ def monthly_distribution(df: DataFrame, changes: DataFrame | None = None) -> Dat
                 rounded_ratio(c("policies_changed"), c("inforce_count"), 3).cast("decimal(5,3)")
                 .alias("major_change_policy_rate")]
     return month.select(*out)
+
+
+def monthly_averages(df: DataFrame) -> DataFrame:
+    """Policies, mean premium and age, and mean drivers and vehicles per policy, by month."""
+    r = policy_month_rollup(df)
+    return r.groupBy(*MONTH).agg(
+        F.count("policy").alias("inforce_count"),
+        (F.try_divide(F.sum("premium_cents"), F.sum("premium_n")) / 100).alias("avg_premium"),
+        F.try_divide(F.sum("age_sum"), F.sum("age_n")).alias("avg_driver_age"),
+        F.avg("driver_count").alias("avg_driver_count"),
+        F.avg("vehicle_count").alias("avg_vehicle_count"))
+
+
+def monthly_with_shares(df: DataFrame, types: list[str]) -> DataFrame:
+    """Monthly averages with the vehicle-type shares; both sides have one row per month."""
+    from monthmark.operators.aggregates import type_share_pivot
+
+    return monthly_averages(df).join(type_share_pivot(df, types), MONTH, "left")
+
+
+def monthly_with_new(df: DataFrame) -> DataFrame:
+    """Monthly averages with the policies first seen in the month, counted beforehand."""
+    new = first_periods(df).groupBy("first_period").agg(F.count("policy").alias("new_policies"))
+    stats = monthly_averages(df).withColumn("first_period", period())
+    return stats.join(new, "first_period", "left").withColumn(
+        "new_policies", F.coalesce("new_policies", F.lit(0))).drop("first_period")

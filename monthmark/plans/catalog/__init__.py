@@ -1,4 +1,4 @@
 """All registered queries; importing the modules registers them."""
 
-from monthmark.plans.catalog import aggregate_queries  # noqa: F401
+from monthmark.plans.catalog import aggregate_queries, change_queries  # noqa: F401
 from monthmark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -14,6 +14,8 @@ DRIVER_REMOVALS = ("adult_removal", "teen_removal")
 
 
 def _earliest(log: DataFrame, kinds: tuple[str, ...], key: str) -> DataFrame:
+    if key not in log.columns:  # a log without such events
+        log = log.withColumn(key, F.lit(None).cast("string"))
     return (log.where(F.col("change_type").isin(*kinds) & F.col(key).isNotNull())
             .groupBy("family_id", key).agg(F.min("date").alias("_gone")))
 

@@ -321,7 +321,7 @@ WITH RECURSIVE g AS (
   UNION ALL
   SELECT policy_no, status, CASE WHEN status = 'active' THEN {up('premium_paid * 1.05')}
     ELSE premium_paid END, k + 1 FROM g WHERE k < 6)
-SELECT policy_no, premium_paid FROM g WHERE k = 6""".replace("WITH RECURSIVE", "WITH"))
+SELECT policy_no, premium_paid FROM g WHERE k = 6""")
 def _(t):
     return rt.yearly_increase(t.policies, P, 2001).select("policy_no", "premium_paid")
 
@@ -413,26 +413,38 @@ def _(t):
         "family_id", "vehicle_no", "status", "removal_date")
 
 
-EMPTY = """
-x AS (SELECT family_id FROM fx_vehicles GROUP BY family_id
-  HAVING count(*) FILTER (WHERE status = 'active') = 0)
+# The vehicles of a cancelled policy all leave on the day it was cancelled.
+LEFT = f"""
+{REPLAYED.rstrip()},
+x AS (SELECT v.family_id, v.vehicle_no, least(r.gone, c.cancel_date) AS gone FROM fx_vehicles v
+  LEFT JOIN r USING (family_id, vehicle_no) LEFT JOIN ov_cancel c USING (family_id)),
+e AS (SELECT family_id, max(gone) AS date, arg_max(vehicle_no, (gone, vehicle_no)) AS vehicle_no
+  FROM x GROUP BY family_id HAVING count(*) = count(gone))
 """
 
 
+def _emptied(t):
+    leaves = (t.changes_log.where("change_type = 'policy_cancellation'").drop("vehicle_no")
+              .join(t.vehicles.select("family_id", "vehicle_no"), "family_id")
+              .withColumn("change_type", F.lit("vehicle_removal")))
+    return ev.remove_vehicles(_untouched_vehicles(t), ev.union_logs(t.changes_log, leaves))
+
+
 @query("events_cancel_empty", f"""
-WITH {EMPTY}
-SELECT p.policy_no, CASE WHEN x.family_id IS NULL THEN p.status ELSE 'cancelled' END AS status
-FROM fx_policies p LEFT JOIN x USING (family_id)""")
+WITH {LEFT}
+SELECT p.policy_no, CASE WHEN e.family_id IS NULL THEN 'active' ELSE 'cancelled' END AS status
+FROM fx_policies p LEFT JOIN e USING (family_id)""")
 def _(t):
-    return ev.cancel_empty(t.policies, t.vehicles).select("policy_no", "status")
+    policies = t.policies.withColumn("status", F.lit("active"))
+    return ev.cancel_empty(policies, _emptied(t)).select("policy_no", "status")
 
 
-@query("events_cancellations", """
-SELECT 'policy_cancellation' AS change_type, max(removal_date) AS date, family_id,
-  arg_max(vehicle_no, (removal_date, vehicle_no)) AS vehicle_no, 'all_vehicles_removed' AS reason
-FROM fx_vehicles GROUP BY family_id HAVING count(*) FILTER (WHERE status = 'active') = 0""")
+@query("events_cancellations", f"""
+WITH {LEFT}
+SELECT 'policy_cancellation' AS change_type, date, family_id, vehicle_no,
+  'all_vehicles_removed' AS reason FROM e""")
 def _(t):
-    return ev.cancellation_events(t.vehicles)
+    return ev.cancellation_events(_emptied(t))
 
 
 def _substitutions(t):

@@ -154,9 +154,9 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     used = [name for name in VIEWS if name in sql]
     ctes = [f"{name} AS (\n{VIEWS[name][0]}\n)" for name in _ordered(used, [])]
-    if sql[:5].upper() == "WITH ":
-        ctes.append(sql[5:].lstrip())
-        return "WITH " + ",\n".join(ctes)
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(head):
+            return head + ",\n".join([*ctes, sql[len(head):].lstrip()])
     if not ctes:
         return sql
     return "WITH " + ",\n".join(ctes) + "\n" + sql

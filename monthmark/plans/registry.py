@@ -13,8 +13,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of the fixture tables under a name, with its oracle text."""
+def query(name: str, sql: str | None = None, like: str | None = None):
+    """Register a function of the fixture tables under a name, with its oracle text.
+
+    `like` names a query whose oracle text also holds here.
+    """
 
     def add(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
@@ -27,6 +30,8 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(sql)
+        elif like is not None:
+            ORACLES[name] = ORACLES[like]
         return fn
 
     return add

@@ -1,10 +1,11 @@
 """Change detection between the months of a policy.
 
-Two sets are equal when each is contained in the other, so instead of collecting a month's
-assignments into an array, every assignment is emitted twice: at its own month and at the
-month that follows. Grouping by (policy, month, assignment) then says which are new and which
-are gone. All keys include the assignment, so neither a policy nor a month can become one
-large task, whatever its share of the rows.
+A month's assignments are never gathered into one array, as a policy may hold any number of
+them. Instead each assignment carries the set of months it is in, which is bounded by the
+calendar, and is compared with its policy's months: it enters at a month whose predecessor it
+lacks, and leaves at the successor of a month when it lacks that. One narrow shuffle keyed by
+(policy, assignment) turns a panel into one row per assignment, and only entries and exits,
+few of them, travel further.
 """
 
 from __future__ import annotations
@@ -20,62 +21,60 @@ KEYS = ["policy", *MONTH]
 MODES = ("present", "calendar")
 
 
-def _shifted(items: DataFrame, mode: str) -> DataFrame:
-    """Each item again, at the month its policy is compared with it in."""
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
-    if mode == "calendar":
-        return items.withColumn("m", F.col("m") + 1)
-    # One row per policy and month: at most as many rows per policy as calendar months.
-    follow = (items.select("policy", "m").distinct().withColumn(
-        "_next", F.lead("m").over(Window.partitionBy("policy").orderBy("m")))
-        .where(F.col("_next").isNotNull()))
-    return (items.join(follow, ["policy", "m"])
-            .withColumn("m", F.col("_next")).drop("_next"))
+def _known() -> Column:
+    return (F.col("policy").isNotNull() & F.col("inforce_yy").isNotNull()
+            & F.col("inforce_mm").isNotNull())
 
 
-def _compared(items: DataFrame, mode: str) -> DataFrame:
-    """(policy, m, kind, key, here, was, value, old_value) for distinct items.
+def _calendars(panel: DataFrame) -> DataFrame:
+    """Sorted months of each policy: one row per policy, no longer than the calendar."""
+    return panel.where(_known()).groupBy("policy").agg(
+        F.array_sort(F.collect_set(month_index())).alias("months"))
 
-    `items` has (policy, m, kind, key, value) and one row with a null key per policy-month,
-    which marks the months that exist.
-    """
-    sides = (items.withColumn("_here", F.lit(True))
-             .unionByName(_shifted(items, mode).withColumn("_here", F.lit(False))))
-    here = F.col("_here")
-    return sides.groupBy("policy", "m", "kind", "key").agg(
-        F.max(here).alias("here"), F.max(~here).alias("was"),
-        F.max(F.when(here, F.col("value"))).alias("value"),
-        F.max(F.when(~here, F.col("value"))).alias("old_value"))
 
+def _policy_months(calendars: DataFrame, mode: str) -> DataFrame:
+    """(policy, m, has_previous): the months of each policy and whether they are compared."""
+    at = F.posexplode("months").alias("_pos", "m")
+    previous = F.col("_pos") > 0
+    if mode == "calendar":
+        previous = previous & (F.get("months", F.col("_pos") - 1) == F.col("m") - 1)
+    return calendars.select("policy", "months", at).select(
+        "policy", "m", previous.alias("has_previous"))
 
-def _with_markers(rows: DataFrame) -> DataFrame:
-    marks = rows.select("policy", "m").distinct().select(
-        "policy", "m", F.lit("month").alias("kind"), F.lit(None).cast("string").alias("key"),
-        F.lit(None).cast("int").alias("value"))
-    return rows.where(F.col("key").isNotNull()).unionByName(marks)
 
+def _transitions(items: DataFrame, calendars: DataFrame, mode: str) -> DataFrame:
+    """(policy, kind, key, m, entered): items that come or go, with the month they do so in.
 
-def _panel_keys(panel: DataFrame) -> DataFrame:
-    known = F.col("policy").isNotNull() & F.col("inforce_yy").isNotNull() & \
-        F.col("inforce_mm").isNotNull()
-    return panel.where(known)
+    `items` has (policy, kind, key, m) in any multiplicity.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    spans = items.where(F.col("key").isNotNull()).groupBy("policy", "kind", "key").agg(
+        F.collect_set("m").alias("s")).join(calendars, "policy")
+    if mode == "present":  # compare positions in the policy's own months
+        spans = spans.withColumn("s", F.transform(
+            "s", lambda x: F.array_position("months", x).cast("int")))
+    spans = spans.withColumn("after", F.transform("s", lambda x: x + 1))
+    came, went = F.array_except("s", "after"), F.array_except("after", "s")
+    if mode == "present":
+        month = lambda p: F.get("months", p - 1)
+        came = F.filter(came, lambda p: p > 1)
+        went = F.filter(went, lambda p: p <= F.size("months"))
+    else:
+        month = lambda x: x
+        came = F.filter(came, lambda x: F.array_contains("months", x - 1))
+        went = F.filter(went, lambda x: F.array_contains("months", x))
+    moves = F.concat(
+        F.transform(came, lambda x: F.struct(month(x).alias("m"), F.lit(True).alias("entered"))),
+        F.transform(went, lambda x: F.struct(month(x).alias("m"), F.lit(False).alias("entered"))))
+    return spans.select("policy", "kind", "key", F.explode(moves).alias("x")).select(
+        "policy", "kind", "key", "x.m", "x.entered")
 
 
 def _assignment_items(panel: DataFrame) -> DataFrame:
-    rows = _panel_keys(panel).select(
-        "policy", month_index().alias("m"), F.lit("assignment").alias("kind"),
-        assignment_key().alias("key"), F.lit(None).cast("int").alias("value")).distinct()
-    return _with_markers(rows)
-
-
-def _month_level(compared: DataFrame, *measures: Column) -> DataFrame:
-    """Back to one row per existing policy-month, with calendar columns."""
-    month = F.col("kind") == "month"
-    return (compared.groupBy("policy", "m").agg(
-        F.max(month & F.col("here")).alias("_exists"),
-        F.max(month & F.col("was")).alias("has_previous"), *measures)
-        .where("_exists").drop("_exists"))
+    return panel.where(_known()).select(
+        "policy", F.lit("assignment").alias("kind"), assignment_key().alias("key"),
+        month_index().alias("m"))
 
 
 def _calendar(df: DataFrame, *columns: str) -> DataFrame:
@@ -83,50 +82,58 @@ def _calendar(df: DataFrame, *columns: str) -> DataFrame:
                      index_month("m").alias("inforce_mm"), *columns)
 
 
+def _changes(panel: DataFrame, mode: str) -> DataFrame:
+    calendars = _calendars(panel)
+    moves = _transitions(_assignment_items(panel), calendars, mode).select(
+        "policy", "m", F.lit(False).alias("has_previous"),
+        F.col("entered").cast("long").alias("added"), (~F.col("entered")).cast("long")
+        .alias("removed"))
+    none = F.lit(0).cast("long")
+    months = _policy_months(calendars, mode).withColumns({"added": none, "removed": none})
+    return months.unionByName(moves).groupBy("policy", "m").agg(
+        F.max("has_previous").alias("has_previous"), F.sum("added").alias("added"),
+        F.sum("removed").alias("removed"))
+
+
 def policy_month_changes(panel: DataFrame, mode: str = "present") -> DataFrame:
     """One row per policy-month: major_change, and assignments added and removed.
 
     `mode` is the month compared with: the policy's previous present month, or the previous
     calendar month. The first month, and a month without the compared one, is no change.
     """
-    of = F.col("kind") == "assignment"
-    out = _month_level(
-        _compared(_assignment_items(panel), mode),
-        F.count_if(of & F.col("here") & ~F.col("was")).alias("_added"),
-        F.count_if(of & F.col("was") & ~F.col("here")).alias("_removed"))
-    known = lambda c: F.when(F.col("has_previous"), F.col(c)).otherwise(F.lit(0))
-    out = out.withColumn("added", known("_added")).withColumn("removed", known("_removed"))
-    out = out.withColumn("major_change", (F.col("added") + F.col("removed")) > 0)
+    out = _changes(panel, mode).withColumn("major_change", (F.col("added") + F.col("removed")) > 0)
     return _calendar(out, "has_previous", "added", "removed", "major_change")
 
 
+def changed_months(panel: DataFrame, mode: str = "present") -> DataFrame:
+    """Only the policy-months with a change, which need no list of all months."""
+    moves = _transitions(_assignment_items(panel), _calendars(panel), mode)
+    return _calendar(moves.select("policy", "m").distinct())
+
+
 def flag_panel(panel: DataFrame, changes: DataFrame | None = None,
                mode: str = "present") -> DataFrame:
     """The panel with a major_change column; null where the row has no policy or month.
 
-    Only flagged policy-months are joined, which are few; a hot policy-month is split by the
+    Only changed policy-months are joined, which are few; a hot policy-month is split by the
     skew handling of the join, as its right side is one row.
     """
-    changes = policy_month_changes(panel, mode) if changes is None else changes
-    flagged = changes.where("major_change").select(*KEYS, F.lit(True).alias("_changed"))
-    known = F.col("policy").isNotNull() & F.col("inforce_yy").isNotNull() & \
-        F.col("inforce_mm").isNotNull()
-    return (panel.join(flagged, KEYS, "left")
-            .withColumn("major_change", F.when(known, F.coalesce("_changed", F.lit(False))))
+    if changes is None:
+        changed = changed_months(panel, mode)
+    else:
+        changed = changes.where("major_change").select(*KEYS)
+    return (panel.join(changed.withColumn("_changed", F.lit(True)), KEYS, "left")
+            .withColumn("major_change", F.when(_known(), F.coalesce("_changed", F.lit(False))))
             .select(*panel.columns, "major_change"))
 
 
 def assignment_moves(panel: DataFrame, mode: str = "calendar") -> DataFrame:
     """Assignments added and removed per policy-month, one row each."""
-    compared = _compared(_assignment_items(panel), mode)
-    months = _month_level(compared).where("has_previous").select("policy", "m")
-    change = F.when(F.col("here"), "added").otherwise("removed")
-    moved = (compared.where((F.col("kind") == "assignment") & (F.col("here") != F.col("was")))
-             .join(months, ["policy", "m"])
-             .select("policy", "m", change.alias("change"),
-                     F.concat(F.lit("V"), F.replace("key", F.lit("_"), F.lit("-D")))
-                     .alias("assignment")))
-    return _calendar(moved, "change", "assignment")
+    moves = _transitions(_assignment_items(panel), _calendars(panel), mode)
+    named = moves.select(
+        "policy", "m", F.when(F.col("entered"), "added").otherwise("removed").alias("change"),
+        F.concat(F.lit("V"), F.replace("key", F.lit("_"), F.lit("-D"))).alias("assignment"))
+    return _calendar(named, "change", "assignment")
 
 
 def change_context(panel: DataFrame) -> DataFrame:
@@ -135,8 +142,8 @@ def change_context(panel: DataFrame) -> DataFrame:
     A flagged month whose previous calendar month is missing gets one row saying so, and one
     without added or removed assignments a row 'none'.
     """
-    flagged = policy_month_changes(panel, "present").where("major_change").select(*KEYS)
-    calendar = policy_month_changes(panel, "calendar").select(*KEYS, "has_previous")
+    flagged = changed_months(panel, "present")
+    calendar = _calendar(_policy_months(_calendars(panel), "calendar"), "has_previous")
     base = flagged.join(calendar, KEYS)
     moves = assignment_moves(panel, "calendar")
     return base.join(moves, KEYS, "left").select(
@@ -145,35 +152,45 @@ def change_context(panel: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("change", F.lit("none"))).alias("change"), "assignment")
 
 
+def _age_jumps(panel: DataFrame, mode: str) -> DataFrame:
+    """(policy, m, prev): drivers whose age differs by over a year from their last month.
+
+    One row per policy, driver and month before the window, which bounds its groups.
+    """
+    ages = panel.where(_known() & F.col("driver_no").isNotNull()).groupBy(
+        "policy", "driver_no", month_index().alias("m")).agg(F.max("driver_age").alias("age"))
+    w = Window.partitionBy("policy", "driver_no").orderBy("m")
+    jump = F.abs(F.col("age") - F.lag("age").over(w)) > 1
+    return ages.select("policy", "m", F.lag("m").over(w).alias("prev"), jump.alias("j")).where(
+        "j").drop("j")
+
+
 def detailed_changes(panel: DataFrame, mode: str = "present") -> DataFrame:
     """Month-level comparison of vehicles, drivers and driver ages.
 
     A vehicle is its number, VIN, type and model year; a driver its number, licence, name and
-    type; an age jump is a driver whose age differs by more than one year.
+    type; an age jump is a driver of both months whose age differs by more than one year.
     """
     text = lambda *cols: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
                                             for c in cols])
-    none = F.lit(None).cast("int")
-    item = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), key.alias("key"),
-                                             value.alias("value"))
-    items = F.array(
-        item("vehicle", text("vehicle_no", "vehicle_vin", "vehicle_type", "model_year"), none),
-        item("driver", text("driver_no", "driver_license_no", "driver_name", "driver_type"), none),
-        item("age", F.col("driver_no"), F.col("driver_age")))
-    rows = (_panel_keys(panel)
-            .select("policy", month_index().alias("m"), F.explode(items).alias("i"))
-            .select("policy", "m", "i.kind", "i.key", "i.value")
-            .groupBy("policy", "m", "kind", "key").agg(F.max("value").alias("value")))
-    differ = F.col("here") != F.col("was")
-    out = _month_level(
-        _compared(_with_markers(rows), mode),
-        F.max((F.col("kind") == "vehicle") & differ).alias("_v"),
-        F.max((F.col("kind") == "driver") & differ).alias("_d"),
-        F.max((F.col("kind") == "age") & F.coalesce(
-            F.abs(F.col("value") - F.col("old_value")) > 1, F.lit(False))).alias("_a"))
-    seen = lambda c: F.col("has_previous") & F.col(c)
-    out = out.withColumns({"vehicle_changed": seen("_v"), "driver_changed": seen("_d"),
-                           "age_jump": seen("_a")})
+    item = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    both = F.array(
+        item("vehicle", text("vehicle_no", "vehicle_vin", "vehicle_type", "model_year")),
+        item("driver", text("driver_no", "driver_license_no", "driver_name", "driver_type")))
+    items = (panel.where(_known()).select("policy", month_index().alias("m"),
+                                          F.explode(both).alias("i"))
+             .select("policy", "i.kind", "i.key", "m"))
+    calendars = _calendars(panel)
+    before = F.get("months", F.array_position("months", F.col("m")).cast("int") - 2)
+    compared = before if mode == "present" else F.col("m") - 1
+    jumps = _age_jumps(panel, mode).join(calendars, "policy").where(
+        F.col("prev") == compared).select("policy", "m", F.lit("age").alias("kind"))
+    events = _transitions(items, calendars, mode).select("policy", "m", "kind").unionByName(jumps)
+    marks = _policy_months(calendars, mode).select("policy", "m", F.lit("month").alias("kind"))
+    any_of = lambda k: F.max(F.col("kind") == k)
+    out = marks.unionByName(events).groupBy("policy", "m").agg(
+        any_of("vehicle").alias("vehicle_changed"), any_of("driver").alias("driver_changed"),
+        any_of("age").alias("age_jump"))
     out = out.withColumn("major_change",
                          F.col("vehicle_changed") | F.col("driver_changed") | F.col("age_jump"))
     return _calendar(out, "vehicle_changed", "driver_changed", "age_jump", "major_change")
@@ -208,7 +225,7 @@ def adjacent_changes(panel: DataFrame) -> DataFrame:
     for c in _VEHICLE + _DRIVER:
         n = F.col(c).isNull()
         missing = n if missing is None else missing | n
-    by_age = _panel_keys(panel).groupBy(*KEYS, "driver_age").agg(
+    by_age = panel.where(_known()).groupBy(*KEYS, "driver_age").agg(
         F.count(F.lit(1)).alias("n"), F.min(row).alias("first"), F.max(row).alias("last"),
         F.min(identity).alias("low"), F.max(identity).alias("high"),
         F.max(missing).alias("missing"))

@@ -92,34 +92,29 @@ def cumulative_policies(df: DataFrame) -> DataFrame:
 def policy_month_rollup(df: DataFrame) -> DataFrame:
     """One row per policy-month with everything the monthly report needs.
 
-    The first level is keyed by the whole assignment, so no policy or month is a hot group;
-    the second level then counts distinct drivers and vehicles on far fewer rows.
+    The two distinct counts make Spark shuffle on (policy, month, driver or vehicle) after
+    combining on the map side, so no policy or month is a hot group.
     """
     flag = [F.max("major_change").alias("major_change")] if "major_change" in df.columns else []
-    lines = df.groupBy("policy", *MONTH, "vehicle_no", "driver_no").agg(
+    return df.groupBy("policy", *MONTH).agg(
         F.count(F.lit(1)).alias("n"), F.sum(cents("premium_paid")).alias("premium_cents"),
         F.count("premium_paid").alias("premium_n"), F.sum("driver_age").alias("age_sum"),
-        F.count("driver_age").alias("age_n"), *flag)
-    return lines.groupBy("policy", *MONTH).agg(
-        F.sum("n").alias("n"), F.sum("premium_cents").alias("premium_cents"),
-        F.sum("premium_n").alias("premium_n"), F.sum("age_sum").alias("age_sum"),
-        F.sum("age_n").alias("age_n"),
+        F.count("driver_age").alias("age_n"),
         F.count_distinct("driver_no").alias("driver_count"),
-        F.count_distinct("vehicle_no").alias("vehicle_count"),
-        *([F.max("major_change").alias("major_change")] if flag else []))
+        F.count_distinct("vehicle_no").alias("vehicle_count"), *flag)
 
 
-def monthly_distribution(df: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+def monthly_distribution(df: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """The monthly report, rounded: one row per month.
 
-    `changes` holds one flag per policy-month; with it (or with a major_change column in
-    the panel) the change counts are added, by rows and by policies. The flag is joined at
-    policy-month grain, so the panel itself is never shuffled for it.
+    `changed` holds the policy-months with a change; with it (or with a major_change column
+    in the panel) the change counts are added, by rows and by policies. It is joined at
+    policy-month grain, so the panel itself is never shuffled for the flags.
     """
     rollup = policy_month_rollup(df)
-    if changes is not None:
-        rollup = rollup.join(changes.select("policy", *MONTH, "major_change"),
-                             ["policy", *MONTH], "left")
+    if changed is not None:
+        marks = changed.select("policy", *MONTH, F.lit(True).alias("major_change"))
+        rollup = rollup.join(marks, ["policy", *MONTH], "left")
     flagged = "major_change" in rollup.columns
     sums = [F.count("policy").alias("inforce_count"), F.sum("n").alias("n"),
             F.sum("premium_cents").alias("premium_cents"), F.sum("premium_n").alias("premium_n"),
@@ -127,11 +122,12 @@ def monthly_distribution(df: DataFrame, changes: DataFrame | None = None) -> Dat
             F.count(F.lit(1)).alias("groups"), F.sum("driver_count").alias("drivers"),
             F.sum("vehicle_count").alias("vehicles")]
     if flagged:
-        sums += [F.coalesce(F.sum(F.when(F.col("major_change"), F.col("n"))), F.lit(0)).alias("rows_changed"),
+        changed_rows = F.sum(F.when(F.col("major_change"), F.col("n")))
+        sums += [F.coalesce(changed_rows, F.lit(0)).alias("rows_changed"),
                  F.count_if("major_change").alias("policies_changed")]
     month = rollup.groupBy(*MONTH).agg(*sums).withColumn("period", period())
-    new = (rollup.groupBy("policy").agg(F.min(period()).alias("period"))
-           .groupBy("period").agg(F.count("policy").alias("new_policies")))
+    new = first_periods(df).groupBy(F.col("first_period").alias("period")).agg(
+        F.count("policy").alias("new_policies"))
     month = (month.join(new, "period", "left")
              .withColumn("new_policies", F.coalesce("new_policies", F.lit(0)))
              .withColumn("cumulative_policy_count", F.sum("new_policies").over(

@@ -48,7 +48,7 @@ def assignment_ranges(assignments: DataFrame, params: Params) -> DataFrame:
     which also keeps the later sequence from counting backwards.
     """
     lo, hi = spine_bounds(params)
-    return assignments.withColumns({
+    return assignments.where(F.col("effective_date").isNotNull()).withColumns({
         "lo": F.greatest(first_month("effective_date"), F.lit(lo)),
         "hi": F.least(last_month("end_date"), F.lit(hi))}).where("lo <= hi")
 
@@ -64,7 +64,8 @@ def vehicle_ranges(vehicles: DataFrame, params: Params) -> DataFrame:
     lo, hi = spine_bounds(params)
     active = F.col("status") == "active"
     leaves = (F.col("status") == "removed") & F.col("removal_date").isNotNull()
-    ranged = vehicles.where(active | leaves).withColumns({
+    dated = F.col("effective_date").isNotNull()
+    ranged = vehicles.where(dated & (active | leaves)).withColumns({
         "lo": F.greatest(first_month("effective_date"), F.lit(lo)),
         "hi": F.least(F.when(active, F.lit(FAR)).otherwise(last_month("removal_date")),
                       F.lit(hi))}).where("lo <= hi")

@@ -165,6 +165,6 @@ def join_step_factor(df: DataFrame, steps: DataFrame, age: str, name: str,
     """Factor of the greatest step at or below the age, by an equality join."""
     dense = dense_steps(steps, key, upper).select(F.col(key).alias("_step"),
                                                   F.col("factor").alias("_factor"))
-    clamped = F.least(F.col(age), F.lit(upper))
+    clamped = F.when(F.col(age) > upper, F.lit(upper)).otherwise(F.col(age))
     return (df.withColumn("_step", clamped).join(dense, "_step", "left")
             .withColumn(name, F.coalesce("_factor", F.lit(default))).drop("_step", "_factor"))

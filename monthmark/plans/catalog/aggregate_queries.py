@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from monthmark.functions.columns import period
 from monthmark.operators import aggregates as agg
 from monthmark.operators import lifecycle, quality
-from monthmark.operators.changes import flag_panel, policy_month_changes
+from monthmark.operators.changes import changed_months, flag_panel
 from monthmark.plans.catalog.fragments import (described, dev, money_mean, money_sum,
                                                rounded_ratio)
 from monthmark.plans.registry import query
@@ -502,7 +502,7 @@ def _as_doubles(df):
 
 for _name in ("agg_monthly_distribution", "proj_report_round"):
     query(_name, DISTRIBUTION)(lambda t: _as_doubles(
-        lifecycle.monthly_distribution(t.panel, policy_month_changes(t.panel))))
+        lifecycle.monthly_distribution(t.panel, changed_months(t.panel))))
 
 
 # --- quality ------------------------------------------------------------------------------

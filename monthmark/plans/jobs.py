@@ -24,9 +24,9 @@ def flag_file(spark: SparkSession, source: str, target: str, fmt: str = "csv") -
     return ch.change_summary(readers.scan_panel(spark, target, fmt))
 
 
-def distribution_tables(panel: DataFrame, changes: DataFrame | None) -> dict[str, DataFrame]:
+def distribution_tables(panel: DataFrame, changed: DataFrame | None) -> dict[str, DataFrame]:
     return {
-        "monthly_distribution_summary": lifecycle.monthly_distribution(panel, changes),
+        "monthly_distribution_summary": lifecycle.monthly_distribution(panel, changed),
         "policies": agg.distinct_cardinality(panel),
         "expiry_dates": agg.top_expiry_dates(panel),
         "tenure": agg.stats_with_median(panel, "client_tenure_days"),
@@ -45,8 +45,8 @@ def distribution_tables(panel: DataFrame, changes: DataFrame | None) -> dict[str
 
 def distribution_report(panel: DataFrame, folder: str, with_changes: bool = True) -> dict[str, str]:
     """Write every distribution table; the panel's Parquet is read with pruned columns."""
-    changes = ch.policy_month_changes(panel) if with_changes else None
-    return writers.write_report_tables(distribution_tables(panel, changes), folder)
+    changed = ch.changed_months(panel) if with_changes else None
+    return writers.write_report_tables(distribution_tables(panel, changed), folder)
 
 
 def profiling_report(panel: DataFrame, folder: str, params: Params) -> dict[str, str]:

@@ -288,22 +288,35 @@ def first_rows(df: DataFrame, columns: list[str],
     return df.groupBy("policy", *MONTH).agg(*picks)
 
 
-def monthly_unique_policy(df: DataFrame) -> DataFrame:
-    """Monthly figures over one row per policy-month, split by change flag when present."""
-    flagged = "major_change" in df.columns
-    base = first_rows(df, ["premium_paid", "driver_age"] + (["major_change"] if flagged else []))
+def _first_with_flag(df: DataFrame, changed: DataFrame | None) -> DataFrame:
+    """First values per policy-month with its flag, which is the same on all its rows.
+
+    `changed` holds the policy-months with a change; without it the panel's own column is used.
+    """
+    if changed is None:
+        flag = ["major_change"] if "major_change" in df.columns else []
+        return first_rows(df, ["premium_paid", "driver_age", *flag])
+    keys = ["policy", *MONTH]
+    marks = changed.select(*keys, F.lit(True).alias("major_change"))
+    return first_rows(df, ["premium_paid", "driver_age"]).join(marks, keys, "left").withColumn(
+        "major_change", F.coalesce("major_change", F.lit(False)))
+
+
+def monthly_unique_policy(df: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Monthly figures over one row per policy-month, with change counts when flagged."""
+    base = _first_with_flag(df, changed)
     out = [rows("inforce_count"), money_mean("premium_paid").alias("avg_premium"),
            F.avg("driver_age").alias("avg_driver_age")]
-    if flagged:
-        changed = F.count_if("major_change")
-        out += [changed.alias("major_change_count"),
-                F.try_divide(changed, F.count("major_change")).alias("major_change_rate")]
+    if "major_change" in base.columns:
+        count = F.count_if("major_change")
+        out += [count.alias("major_change_count"),
+                F.try_divide(count, F.count("major_change")).alias("major_change_rate")]
     return base.groupBy(*MONTH).agg(*out)
 
 
-def monthly_change_split(df: DataFrame) -> DataFrame:
+def monthly_change_split(df: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """Mean premium and age of policies with and without a change in the month."""
-    base = first_rows(df, ["premium_paid", "driver_age", "major_change"])
+    base = _first_with_flag(df, changed)
     out = []
     for flag, suffix in ((True, "with_changes"), (False, "without_changes")):
         mine = F.col("major_change") == flag

@@ -248,27 +248,47 @@ def adjacent_changes(panel: DataFrame) -> DataFrame:
     return months.select(*KEYS, (second | inside | across).alias("major_change"))
 
 
-# --- summaries of a flagged panel ---------------------------------------------------------
+# --- summaries --------------------------------------------------------------------------
+
+def flagged_policy_months(panel: DataFrame, mode: str = "present") -> DataFrame:
+    """One row per policy-month: its rows `n` and its flag.
+
+    The summaries below take this as well as a flagged panel; with it the panel is combined
+    to policy-months before it is shuffled, instead of being joined row by row.
+    """
+    counts = panel.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    changed = changed_months(panel, mode).withColumn("_changed", F.lit(True))
+    return counts.join(changed, KEYS, "left").select(
+        *KEYS, "n", F.when(_known(), F.coalesce("_changed", F.lit(False))).alias("major_change"))
+
+
+def _row_counts(flagged: DataFrame) -> tuple[Column, Column]:
+    """All rows and changed rows of a flagged panel or of flagged policy-months."""
+    if "n" in flagged.columns:
+        return F.sum("n"), F.coalesce(F.sum(F.when(F.col("major_change"), F.col("n"))), F.lit(0))
+    return F.count(F.lit(1)), F.count_if("major_change")
+
+
+def _change_rates(flagged: DataFrame) -> list[Column]:
+    total, changed = _row_counts(flagged)
+    return [total.alias("total_records"), changed.alias("change_count"),
+            (F.try_divide(changed, total) * 100).alias("change_rate")]
+
 
 def change_counts(flagged: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Rows, flagged rows and rate per group."""
-    changed = F.count_if("major_change")
-    return flagged.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_records"), changed.alias("change_count"),
-        (F.try_divide(changed, F.count(F.lit(1))) * 100).alias("change_rate"))
+    return flagged.groupBy(*by).agg(*_change_rates(flagged))
 
 
 def change_rollup(flagged: DataFrame) -> DataFrame:
     """Year and month tables in one pass: a null month is the year, both null the total."""
-    changed = F.count_if("major_change")
-    return flagged.rollup(*MONTH).agg(
-        F.count(F.lit(1)).alias("total_records"), changed.alias("change_count"),
-        (F.try_divide(changed, F.count(F.lit(1))) * 100).alias("change_rate"))
+    return flagged.rollup(*MONTH).agg(*_change_rates(flagged))
 
 
 def changes_by_policy(flagged: DataFrame) -> DataFrame:
-    return flagged.groupBy("policy").agg(F.count(F.lit(1)).alias("total_records"),
-                                         F.count_if("major_change").alias("change_count"))
+    total, changed = _row_counts(flagged)
+    return flagged.groupBy("policy").agg(total.alias("total_records"),
+                                         changed.alias("change_count"))
 
 
 def change_summary(flagged: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from monthmark.functions.columns import period
 from monthmark.operators import aggregates as agg
 from monthmark.operators import lifecycle, quality
-from monthmark.operators.changes import changed_months, flag_panel
+from monthmark.operators.changes import changed_months
 from monthmark.plans.catalog.fragments import (described, dev, money_mean, money_sum,
                                                rounded_ratio)
 from monthmark.plans.registry import query
@@ -337,9 +337,6 @@ def _(t):
     return agg.type_share_pivot(t.panel, t.panel_types)
 
 
-FIRST = """SELECT policy, inforce_yy, inforce_mm, {cols} FROM fx_flag_src {group}"""
-
-
 def _first(column: str) -> str:
     return f"arg_min({column}, (vehicle_no, driver_no, {column}))"
 
@@ -374,7 +371,7 @@ SELECT inforce_yy, inforce_mm, count(*) AS inforce_count, {PAID_MEAN} AS avg_pre
   avg(driver_age) AS avg_driver_age, count(*) FILTER (WHERE major_change) AS major_change_count,
   count(*) FILTER (WHERE major_change) / count(*) AS major_change_rate FROM f {MONTHS}""")
 def _(t):
-    return agg.monthly_unique_policy(flag_panel(t.panel))
+    return agg.monthly_unique_policy(t.panel, changed_months(t.panel))
 
 
 def _split(cond: str, suffix: str) -> str:
@@ -388,7 +385,7 @@ def _split(cond: str, suffix: str) -> str:
 SELECT inforce_yy, inforce_mm, {_split('major_change', 'with_changes')},
   {_split('NOT major_change', 'without_changes')} FROM f {MONTHS}""")
 def _(t):
-    return agg.monthly_change_split(flag_panel(t.panel))
+    return agg.monthly_change_split(t.panel, changed_months(t.panel))
 
 
 NEW = """

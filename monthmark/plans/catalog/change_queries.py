@@ -8,6 +8,12 @@ from monthmark.operators import changes as ch
 from monthmark.operators import lookups
 from monthmark.plans.registry import query
 
+
+
+def _changed(t):
+    return ch.changed_months(t.panel).withColumn("major_change", F.lit(True))
+
+
 FLAG_ROWS = ["policy", "inforce_yy", "inforce_mm", "vehicle_no", "driver_no", "premium_paid",
              "major_change"]
 
@@ -104,7 +110,7 @@ SELECT CAST(sum(n) AS BIGINT) AS total_records, CAST(sum(c) AS BIGINT) AS record
   count(*) FILTER (WHERE c > 0) AS policies_with_changes,
   count(*) FILTER (WHERE c > 0) / count(*) * 100 AS policy_change_rate FROM p""")
 def _(t):
-    return ch.change_summary(ch.flag_panel(t.panel))
+    return ch.change_summary(ch.flagged_policy_months(t.panel))
 
 
 COUNTS = """count(*) AS total_records, count(*) FILTER (WHERE major_change) AS change_count,
@@ -113,32 +119,32 @@ COUNTS = """count(*) AS total_records, count(*) FILTER (WHERE major_change) AS c
 
 @query("agg_change_by_year", f"SELECT inforce_yy, {COUNTS} FROM ov_flagged GROUP BY inforce_yy")
 def _(t):
-    return ch.change_counts(ch.flag_panel(t.panel), ("inforce_yy",))
+    return ch.change_counts(ch.flagged_policy_months(t.panel), ("inforce_yy",))
 
 
 @query("agg_change_by_month",
        f"SELECT inforce_yy, inforce_mm, {COUNTS} FROM ov_flagged GROUP BY inforce_yy, inforce_mm")
 def _(t):
-    return ch.change_counts(ch.flag_panel(t.panel), ("inforce_yy", "inforce_mm"))
+    return ch.change_counts(ch.flagged_policy_months(t.panel), ("inforce_yy", "inforce_mm"))
 
 
 @query("agg_change_rollup", f"""
 SELECT inforce_yy, inforce_mm, {COUNTS} FROM ov_flagged GROUP BY ROLLUP (inforce_yy, inforce_mm)""")
 def _(t):
-    return ch.change_rollup(ch.flag_panel(t.panel))
+    return ch.change_rollup(ch.flagged_policy_months(t.panel))
 
 
 @query("agg_change_by_policy", """
 SELECT policy, count(*) AS total_records, count(*) FILTER (WHERE major_change) AS change_count
 FROM ov_flagged GROUP BY policy""")
 def _(t):
-    return ch.changes_by_policy(ch.flag_panel(t.panel))
+    return ch.changes_by_policy(ch.flagged_policy_months(t.panel))
 
 
 TIMELINE = """SELECT policy, inforce_yy, inforce_mm, count(*) OVER (PARTITION BY policy)
   AS change_months FROM ov_flags WHERE major_change"""
 for _name in ("chg_timeline", "sort_policy_timeline"):
-    query(_name, TIMELINE)(lambda t: ch.change_timeline(ch.policy_month_changes(t.panel)).orderBy(
+    query(_name, TIMELINE)(lambda t: ch.change_timeline(_changed(t)).orderBy(
         "policy", "inforce_yy", "inforce_mm"))
 
 
@@ -153,7 +159,7 @@ def _(t):
 SELECT policy, min(inforce_yy * 100 + inforce_mm) AS first_change_period FROM ov_flags
 WHERE major_change GROUP BY policy""")
 def _(t):
-    return ch.first_change(ch.policy_month_changes(t.panel))
+    return ch.first_change(_changed(t))
 
 
 @query("win_next_change", """
@@ -161,14 +167,14 @@ SELECT policy, inforce_yy, inforce_mm, lead(inforce_yy * 100 + inforce_mm)
   OVER (PARTITION BY policy ORDER BY inforce_yy, inforce_mm) AS next_change_period
 FROM ov_flags WHERE major_change""")
 def _(t):
-    return ch.next_change(ch.policy_month_changes(t.panel))
+    return ch.next_change(_changed(t))
 
 
 @query("win_next_change_after", """
 SELECT policy, min(inforce_yy * 100 + inforce_mm) AS next_change_period FROM ov_flags
 WHERE major_change AND inforce_yy * 100 + inforce_mm > 199806 GROUP BY policy""")
 def _(t):
-    return ch.next_change_after(ch.policy_month_changes(t.panel), 199806)
+    return ch.next_change_after(_changed(t), 199806)
 
 
 FIRSTS = """
@@ -181,7 +187,7 @@ WITH f AS (SELECT policy, min(inforce_yy * 100 + inforce_mm) AS p FROM ov_flags
 SELECT policy, lead(policy) OVER (ORDER BY policy) AS next_policy,
   lead(p) OVER (ORDER BY policy) AS next_first_change_period FROM f""")
 def _(t):
-    return ch.next_changed_policy(ch.policy_month_changes(t.panel))
+    return ch.next_changed_policy(_changed(t))
 
 
 @query("win_next_changed_policy_after", FIRSTS + """
@@ -189,7 +195,7 @@ SELECT policy, p AS first_change_period FROM f
 WHERE policy > (CASE WHEN EXISTS (SELECT 1 FROM f WHERE policy = '00000042') THEN '00000042' ELSE '' END)
 ORDER BY policy LIMIT 1""")
 def _(t):
-    return ch.next_changed_policy_after(ch.policy_month_changes(t.panel), "00000042")
+    return ch.next_changed_policy_after(_changed(t), "00000042")
 
 
 # --- filters and sets ----------------------------------------------------------------------

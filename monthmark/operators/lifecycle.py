@@ -29,12 +29,14 @@ def retention(df: DataFrame) -> DataFrame:
 def retention_true(df: DataFrame) -> DataFrame:
     """Policies present in two consecutive calendar months over those of the first.
 
-    Each policy-month is emitted at its own month and at the next; a policy kept has both.
+    Each row is emitted at its own month and at the next; a policy kept has both. The copies
+    are combined per (policy, month) before the one shuffle.
     """
-    pm = df.where(F.col("policy").isNotNull()).select("policy", month_index().alias("m")).distinct()
-    both = (pm.select("policy", "m", F.lit(1).alias("here"), F.lit(0).alias("was"))
-            .unionByName(pm.select("policy", (F.col("m") + 1).alias("m"), F.lit(0).alias("here"),
-                                   F.lit(1).alias("was")))
+    one = lambda m, here, was: F.struct(m.alias("m"), F.lit(here).alias("here"),
+                                        F.lit(was).alias("was"))
+    copies = F.array(one(month_index(), 1, 0), one(month_index() + 1, 0, 1))
+    both = (df.where(F.col("policy").isNotNull()).select("policy", F.explode(copies).alias("x"))
+            .select("policy", "x.*")
             .groupBy("policy", "m").agg(F.max("here").alias("here"), F.max("was").alias("was")))
     per = both.groupBy("m").agg(
         F.sum("here").alias("unique_policies"),

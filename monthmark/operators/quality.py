@@ -68,90 +68,94 @@ def _tidy(row: DataFrame, section: str, names: list[str]) -> DataFrame:
     return row.select(F.explode(cells).alias("x")).select("x.*")
 
 
-def _scan(df: DataFrame, null_columns: list[str], as_of_year: int | None,
-          described: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:
-    """One row with totals, null counts, rule counts and descriptions."""
-    aggs = [F.count(F.lit(1)).alias("total_records")]
-    names: dict[str, list[str]] = {"totals": ["total_records"]}
+def _scan_tidy(df: DataFrame, null_columns: list[str], as_of_year: int | None,
+               described: list[str], date_span: bool = False) -> DataFrame:
+    """(section, metric, key, value) rows of totals, nulls, rules and descriptions.
+
+    Everything that needs no distinct keys comes out of this one aggregate over the panel.
+    """
+    aggs: list[Column] = []
+    cells: list[tuple[str, str, str | None, str]] = []
+
+    def add(section: str, metric: str, key: str | None, expr: Column) -> None:
+        name = f"_{len(aggs)}"
+        aggs.append(expr.alias(name))
+        cells.append((section, metric, key, name))
+
+    add("totals", "total_records", None, F.count(F.lit(1)))
     for c in null_columns:
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}_nulls"))
-        names.setdefault("nulls", []).append(f"{c}_nulls")
+        add("nulls", f"{c}_nulls", None, F.count_if(F.col(c).isNull()))
     if as_of_year is not None:
         for n, e in consistency_rules(as_of_year).items():
-            aggs.append(F.count_if(e).alias(n))
-            names.setdefault("consistency", []).append(n)
+            add("consistency", n, None, F.count_if(e))
     for c in described:
         mean = agg.money_mean(c) if c.startswith("premium") else F.avg(c)
         for m, e in (("count", F.count(c)), ("mean", mean), ("stddev", F.stddev(c)),
                      ("min", F.min(c)), ("max", F.max(c))):
-            aggs.append(e.alias(f"{c}_{m}"))
-            names.setdefault("columns", []).append(f"{c}_{m}")
-    return df.agg(*aggs), names
+            add("columns", m, c, e)
+    if date_span:
+        for c, n in (("inforce_yy", "year"), ("inforce_mm", "month")):
+            add("range", f"min_{n}", None, F.min(c))
+            add("range", f"max_{n}", None, F.max(c))
+    structs = [F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
+                        F.lit(key).cast("string").alias("key"),
+                        F.col(name).cast("double").alias("value"))
+               for section, metric, key, name in cells]
+    return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("x")).select("x.*")
 
 
-def _scan_tidy(df: DataFrame, null_columns: list[str], as_of_year: int | None,
-               described: list[str]) -> DataFrame:
-    row, names = _scan(df, null_columns, as_of_year, described)
-    cells = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(n).alias("metric"),
-                               F.col(n).cast("double").alias("value"))
-                      for section, ns in names.items() for n in ns])
-    return row.select(F.explode(cells).alias("x")).select("x.*")
+def _uniques(df: DataFrame) -> DataFrame:
+    return _tidy(df.agg(*agg.unique_counts()), "totals",
+                 ["unique_policies", "unique_vehicles", "unique_drivers"])
+
+
+def _duplicates_tidy(df: DataFrame) -> DataFrame:
+    return _tidy(duplicates(df), "duplicates", ["duplicate_records", "duplicate_percentage"])
 
 
 def quality_report(df: DataFrame, as_of_year: int, columns: list[str] | None = None) -> DataFrame:
     """Totals, nulls, rule counts and duplicates: (section, metric, value)."""
-    scan = _scan_tidy(df, columns or df.columns, as_of_year, [])
-    dup = _tidy(duplicates(df), "duplicates", ["duplicate_records", "duplicate_percentage"])
-    return scan.unionByName(dup)
+    scan = _scan_tidy(df, columns or df.columns, as_of_year, []).drop("key")
+    return scan.unionByName(_duplicates_tidy(df))
 
 
 def validate_panel(df: DataFrame) -> DataFrame:
     """Totals, distinct keys, first and last period, nulls, premium description."""
     scan = _scan_tidy(df, KEY_COLUMNS, None, ["premium_paid"])
-    uniques = _tidy(df.agg(*agg.unique_counts()), "totals",
-                    ["unique_policies", "unique_vehicles", "unique_drivers"])
+    metric = F.concat_ws("_", "key", "metric")  # a missing key is skipped
+    scan = scan.select("section", metric.alias("metric"), "value")
     span = _tidy(agg.date_range(df), "range", ["first_period", "last_period"])
-    return scan.unionByName(uniques).unionByName(span)
+    return scan.unionByName(_uniques(df)).unionByName(span)
+
+
+def _wide(df: DataFrame, section: str, key: Column, metrics: list[str]) -> DataFrame:
+    """Rows of a report table as (section, metric, key, value) rows."""
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                      for m in metrics])
+    return df.select(F.lit(section).alias("section"), key.alias("key"),
+                     F.explode(cells).alias("x")).select("section", "x.metric", "key", "x.value")
 
 
 def profile_overview(df: DataFrame, as_of_year: int) -> DataFrame:
     """The five-section profile as tidy (section, metric, key, value) rows."""
-    key = lambda d, c: d.withColumn("key", F.lit(None).cast("string")) if c is None \
-        else d.withColumn("key", c)
-    plain = quality_report(df, as_of_year, KEY_COLUMNS).unionByName(
-        _tidy(df.agg(*agg.unique_counts()), "totals",
-              ["unique_policies", "unique_vehicles", "unique_drivers"]))
-    plain = plain.unionByName(
-        _tidy(agg.date_stats(df), "range", ["min_year", "max_year", "min_month", "max_month"]))
-    parts = [key(plain, None)]
-    described = agg.describe_numeric(df, PROFILE_NUMERIC, ("premium_paid",))
-    parts.append(described.select(F.lit("columns").alias("section"), "metric",
-                                  F.col("column_name").alias("key"), "value"))
-    tops = agg.top_values(df, PROFILE_CATEGORICAL)
-    parts.append(tops.select(F.lit("top_values").alias("section"),
-                             F.col("column_name").alias("metric"), F.col("value").alias("key"),
-                             F.col("count").cast("double").alias("value")))
     text = lambda c: F.col(c).cast("string")
-    monthly = agg.monthly_trends(df).select(
-        F.lit("monthly").alias("section"),
-        F.concat(text("inforce_yy"), F.lit("-"), F.lpad(text("inforce_mm"), 2, "0")).alias("key"),
-        F.explode(F.create_map(F.lit("record_count"), F.col("record_count").cast("double"),
-                               F.lit("unique_policies"), F.col("unique_policies").cast("double"),
-                               F.lit("avg_premium"), F.col("avg_premium")))
-        .alias("metric", "value"))
-    parts.append(monthly)
-    yearly = agg.temporal_report(df, ("inforce_yy",)).select(
-        F.lit("yearly").alias("section"), text("inforce_yy").alias("key"),
-        F.explode(F.create_map(F.lit("record_count"), F.col("record_count").cast("double"),
-                               F.lit("unique_policies"), F.col("unique_policies").cast("double"),
-                               F.lit("unique_vehicles"), F.col("unique_vehicles").cast("double"),
-                               F.lit("unique_drivers"), F.col("unique_drivers").cast("double"),
-                               F.lit("avg_premium"), F.col("avg_premium"),
-                               F.lit("total_premium"), F.col("total_premium")))
-        .alias("metric", "value"))
-    parts.append(yearly)
-    parts.append(agg.stats_with_median(df, "premium_paid", money=True).select(
-        F.lit("premium").alias("section"), "metric", F.col("column_name").alias("key"), "value"))
+    month = F.concat(text("inforce_yy"), F.lit("-"), F.lpad(text("inforce_mm"), 2, "0"))
+    tops = agg.top_values(df, PROFILE_CATEGORICAL)
+    median = agg.exact_median(df, ["premium_paid"])
+    parts = [
+        _scan_tidy(df, KEY_COLUMNS, as_of_year, PROFILE_NUMERIC, date_span=True),
+        _uniques(df).unionByName(_duplicates_tidy(df)).withColumn(
+            "key", F.lit(None).cast("string")),
+        tops.select(F.lit("top_values").alias("section"), F.col("column_name").alias("metric"),
+                    F.col("value").alias("key"), F.col("count").cast("double").alias("value")),
+        _wide(agg.monthly_trends(df), "monthly", month,
+              ["record_count", "unique_policies", "avg_premium"]),
+        _wide(agg.temporal_report(df, ("inforce_yy",)), "yearly", text("inforce_yy"),
+              ["record_count", "unique_policies", "unique_vehicles", "unique_drivers",
+               "avg_premium", "total_premium"]),
+        median.select(F.lit("columns").alias("section"), F.lit("median").alias("metric"),
+                      F.col("column_name").alias("key"), F.col("median").alias("value")),
+    ]
     for section, metrics in (("policy_metrics", agg.policy_metrics(df)),
                              ("vehicle_metrics", agg.vehicle_metrics(df))):
         parts.append(metrics.select(F.lit(section).alias("section"), "metric",

@@ -634,8 +634,8 @@ PROFILE = "\nUNION ALL ".join(
     + _trend_sql("monthly", "inforce_yy || '-' || lpad(CAST(inforce_mm AS VARCHAR), 2, '0')",
                  "inforce_yy, inforce_mm", _TRENDS)
     + _trend_sql("yearly", "CAST(inforce_yy AS VARCHAR)", "inforce_yy", _YEARS)
-    + [_columns_sql("premium", described("fx_panel", "premium_paid", f"round({PAID_MEAN}, 4)")
-                    + _median("premium_paid"))]
+    + ["SELECT 'columns' AS section, 'median' AS metric, 'premium_paid' AS key, "
+       "CAST(quantile_cont(premium_paid, 0.5) AS DOUBLE) AS value FROM fx_panel"]
     + [_columns_sql("policy_metrics", described(_PM, c, f"round(avg({c}), 4)"))
        for c in ("record_count", "vehicle_count", "driver_count", "avg_premium")]
     + [_columns_sql("vehicle_metrics", described(_VM, c, f"round(avg({c}), 4)"))

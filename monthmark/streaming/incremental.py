@@ -16,6 +16,7 @@ from monthmark.functions.columns import month_index
 from monthmark.operators.changes import KEYS, policy_month_changes
 from monthmark.operators.reconcile import latest_month
 from monthmark.schema import PANEL
+from monthmark.sources.writers import persisted
 
 STATE = ["policy", "inforce_yy", "inforce_mm", "vehicle_no", "driver_no"]
 
@@ -55,11 +56,12 @@ def flag_stream(spark: SparkSession, source: str, target: str,
 
     def process(batch_df: DataFrame, batch: int) -> None:
         state = state_before(batch)
-        flags, after = advance(batch_df, state)
-        _, late = split_late(batch_df.select(*STATE), state)
-        flags.write.mode("overwrite").parquet(f"{root}/flags/batch={batch}")
-        late.write.mode("overwrite").parquet(f"{root}/late/batch={batch}")
-        after.write.mode("overwrite").parquet(f"{root}/state/batch={batch}")
+        with persisted(batch_df.select(*STATE)) as new:
+            flags, after = advance(new, state)
+            _, late = split_late(new, state)
+            flags.write.mode("overwrite").parquet(f"{root}/flags/batch={batch}")
+            late.write.mode("overwrite").parquet(f"{root}/late/batch={batch}")
+            after.write.mode("overwrite").parquet(f"{root}/state/batch={batch}")
 
     reader = spark.readStream.schema(PANEL)
     if files_per_batch:

@@ -281,7 +281,7 @@ def _(t):
 
 TOPS = """
 SELECT column_name, value, count, rank, unique_count FROM (
-  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value) AS rank,
+  SELECT *, CAST(row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value) AS INT) AS rank,
     count(*) OVER (PARTITION BY column_name) AS unique_count FROM (
     SELECT 'vehicle_type' AS column_name, vehicle_type AS value, count(*) AS count FROM fx_panel GROUP BY 2
     UNION ALL SELECT 'driver_type', driver_type, count(*) FROM fx_panel GROUP BY 2

@@ -202,42 +202,44 @@ _ORDER = ["vehicle_no", "driver_no", "vehicle_vin", "vehicle_type", "model_year"
           "driver_license_no", "driver_name", "driver_type", "driver_age"]
 
 
-def _differs(a: Column, b: Column) -> Column:
-    """Row comparison in which a missing value equals nothing."""
+def _identity_differs(a: Column, b: Column) -> Column:
+    """Comparison of vehicle and driver in which a missing value equals nothing."""
     out = None
     for c in _VEHICLE + _DRIVER:
         d = F.coalesce(a[c] != b[c], F.lit(True))
         out = d if out is None else out | d
-    return out | F.coalesce(F.abs(a["driver_age"] - b["driver_age"]) > 1, F.lit(False))
+    return out
+
+
+def _differs(a: Column, b: Column) -> Column:
+    return _identity_differs(a, b) | F.coalesce(F.abs(a["driver_age"] - b["driver_age"]) > 1, F.lit(False))
 
 
 def adjacent_changes(panel: DataFrame) -> DataFrame:
     """Policy-months holding a row that differs from the row before it.
 
-    Rows of a policy are ordered by month and then by all compared columns; the month of the
-    second row is always flagged. Inside a month every pair of neighbours is equal exactly when
-    the smallest and the largest row agree and the distinct ages leave no gap, and across
-    months only the last and the first row meet: aggregates suffice, no policy is sorted.
+    Rows of a policy are ordered by month and then by all compared columns, the age last; the
+    month of the second row is always flagged. Inside a month every pair of neighbours is equal
+    exactly when the smallest and the largest row agree but for the age and the distinct ages
+    leave no gap, and across months only the last and the first row meet: aggregates suffice,
+    no policy is sorted.
     """
     row = F.struct(*_ORDER)
-    identity = F.struct(*[c for c in _ORDER if c != "driver_age"])
     missing = None
     for c in _VEHICLE + _DRIVER:
         n = F.col(c).isNull()
         missing = n if missing is None else missing | n
     by_age = panel.where(_known()).groupBy(*KEYS, "driver_age").agg(
         F.count(F.lit(1)).alias("n"), F.min(row).alias("first"), F.max(row).alias("last"),
-        F.min(identity).alias("low"), F.max(identity).alias("high"),
         F.max(missing).alias("missing"))
     months = by_age.groupBy(*KEYS).agg(
         F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
-        F.min("low").alias("low"), F.max("high").alias("high"),
         F.max("missing").alias("missing"),
         F.count("driver_age").alias("ages"), F.min("driver_age").alias("youngest"),
         F.max("driver_age").alias("oldest"))
+    gap = F.coalesce(F.col("oldest") - F.col("youngest") + 1 > F.col("ages"), F.lit(False))
     inside = (F.col("n") > 1) & (
-        F.col("missing") | (F.col("low") != F.col("high")) |
-        F.coalesce(F.col("oldest") - F.col("youngest") + 1 > F.col("ages"), F.lit(False)))
+        F.col("missing") | _identity_differs(F.col("first"), F.col("last")) | gap)
     w = Window.partitionBy("policy").orderBy(*MONTH)
     months = months.withColumns({
         "previous": F.lag("last").over(w),

@@ -40,11 +40,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
         return _typed(spark.read.option("header", True).csv(path), schema, extra)
     if fmt == "parquet":
         df = spark.read.parquet(path)
-        names = [f.name for f in schema] + [n for n in extra if n in df.columns]
-        missing = [n for n in names if n not in df.columns]
-        types = {f.name: f.dataType for f in schema}
-        df = df.withColumns({n: F.lit(None).cast(types[n]) for n in missing}) if missing else df
-        return df.select(*names)
+        fields = list(schema) + [T.StructField(n, t) for n, t in extra.items() if n in df.columns]
+        return df.select(*[
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType)
+            .alias(f.name) for f in fields])
     raise ValueError(f"unknown format: {fmt}")
 
 

@@ -27,9 +27,12 @@ def write_csv(df: DataFrame, path: str, header: bool = True, single_file: bool =
 def sorted_panel(df: DataFrame, order: tuple[str, ...] = POLICY_ORDER) -> DataFrame:
     """Rows in global order over the output files.
 
-    Range partitioning on all sort keys splits even a policy with most of the rows.
+    The assignment's numbers break ties, so ranges can also split a policy-month with most of
+    the rows.
     """
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+    full = [*order, *[c for c in ("vehicle_no", "driver_no")
+                      if c in df.columns and c not in order]]
+    return df.repartitionByRange(*full).sortWithinPartitions(*full)
 
 
 def write_sorted_panel(df: DataFrame, path: str, order: tuple[str, ...] = POLICY_ORDER,

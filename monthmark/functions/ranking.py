@@ -59,7 +59,9 @@ _LOG_BUCKETS = 512
 
 
 def _log_bucket(v: Column) -> Column:
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * _LOG_BUCKETS)).cast("long")
+    # Never null, so the join on it adds no filter and both its sides share one shuffle.
+    b = (F.signum(v) * F.floor(F.log1p(F.abs(v)) * _LOG_BUCKETS)).cast("long")
+    return F.coalesce(b, F.lit(0).cast("long"))
 
 
 def exact_median(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -59,7 +59,9 @@ def categorical_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """The k most frequent values per column, with the number of distinct values."""
     counts = categorical_summary(df, columns)
-    uniques = counts.groupBy("column_name").agg(rows("unique_count"))
+    # Naming the count keeps it in both branches, which then share one scan and shuffle.
+    uniques = counts.groupBy("column_name").agg(
+        F.count_if(F.col("count") > 0).alias("unique_count"))
     order = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc("value"))
     # Spark keeps only k rows per task before the shuffle of this ranking.
     return (counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ Parquet with pruned columns instead of repeating the joins that made it.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,13 +19,13 @@ _STAGED: dict[tuple, str] = {}
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's checkpoint folder; a temporary one only on a local master."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where everything is one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        return None
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="monthmark-")
@@ -33,17 +34,12 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    root = shared_folder(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{root.rstrip('/')}/monthmark/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/monthmark/{name}-{uuid.uuid4().hex}"
 
 
 def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame],
            partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write build() once per session and source, and read it back with its schema."""
-    if shared_folder(spark) is None:
-        return build()
     key = (spark.sparkContext.applicationId, os.path.abspath(source), name)
     if key not in _STAGED:
         df = build()

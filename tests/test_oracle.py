@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import duck, rows_of
+from monthmark.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -17,6 +17,18 @@ def _bpe() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.secrets import scan_secrets, secret_digest
+
+    return secret_digest(scan_secrets(table(spark, folder, "documents")))
+
+
+def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
+
+
 def op6_token_binary(spark: SparkSession, folder: str) -> DataFrame:
     from monthmark.llm.token_binary import token_files
 
@@ -30,6 +42,8 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op4_mix_sources": op4_mix_sources,
     "op6_token_binary": op6_token_binary,
     "op9_token_counts": op9_token_counts,
 }

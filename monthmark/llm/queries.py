@@ -23,6 +23,12 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, folder, "documents")))
 
 
+def op3_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.ngram_lm import score_texts
+
+    return score_texts(table(spark, folder, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     from monthmark.llm.mixing import mix_sources
 
@@ -43,6 +49,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_ngram_scores": op3_ngram_scores,
     "op4_mix_sources": op4_mix_sources,
     "op6_token_binary": op6_token_binary,
     "op9_token_counts": op9_token_counts,

@@ -35,6 +35,12 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_token_binary(spark: SparkSession, folder: str) -> DataFrame:
     from monthmark.llm.token_binary import token_files
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_scores": op3_ngram_scores,
     "op4_mix_sources": op4_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op6_token_binary": op6_token_binary,
     "op9_token_counts": op9_token_counts,
 }

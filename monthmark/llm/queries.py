@@ -47,6 +47,12 @@ def op6_token_binary(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), _bpe(), end_id=2)
 
 
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from monthmark.llm.token_counts import prefix_token_counts
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_token_binary": op6_token_binary,
+    "op7_near_dedup": op7_near_dedup,
     "op9_token_counts": op9_token_counts,
 }
 

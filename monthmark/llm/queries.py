@@ -53,6 +53,12 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.decontaminate import benchmark_matches
+
+    return benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from monthmark.llm.token_counts import prefix_token_counts
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_token_binary": op6_token_binary,
     "op7_near_dedup": op7_near_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
 }
 

@@ -11,12 +11,18 @@ from monthmark.llm.common import table
 BPE_FILE = "byte_bpe_50k.json"
 
 
-def _bpe() -> str:
+def bpe_file() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(BPE_FILE)
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.html_text import extract_text
+
+    return extract_text(table(spark, folder, "pages"))
+
+
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from monthmark.llm.secrets import scan_secrets, secret_digest
 
@@ -44,7 +50,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op6_token_binary(spark: SparkSession, folder: str) -> DataFrame:
     from monthmark.llm.token_binary import token_files
 
-    return token_files(table(spark, folder, "documents"), _bpe(), end_id=2)
+    return token_files(table(spark, folder, "documents"), bpe_file(), end_id=2)
 
 
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,10 +68,17 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from monthmark.llm.token_counts import prefix_token_counts
 
-    return prefix_token_counts(table(spark, folder, "documents"), _bpe(), limit=1024)
+    return prefix_token_counts(table(spark, folder, "documents"), bpe_file(), limit=1024)
+
+
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"), limit=0.95)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_scores": op3_ngram_scores,
     "op4_mix_sources": op4_mix_sources,
@@ -74,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}

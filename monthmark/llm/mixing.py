@@ -122,20 +122,11 @@ def _edges(docs: DataFrame, need: DataFrame, name: str) -> DataFrame:
     raise AssertionError("LEVELS must be positive")
 
 
-def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-                weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2,
-                keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, size, source_size, target, rate, copies, taken[, keep...]) for each row.
-
-    Size is the number of words, 0 for a null text. A null source is a source of its own.
-    Sources without words have target 0; documents without words have copies of no
-    consequence. Copies depend on key, source and size only, so reruns and any partitioning
-    agree, and rows that share all three share their copies. `keep` names further columns
-    to carry along.
-    """
+def _mixed(df: DataFrame, key: str, text: str, source: str, weights: tuple[float, ...], share: float, cap: int,
+           keep: list[str]) -> DataFrame:
+    """(key, source, size, source_size, target, rate, copies, k0, k1, ...) with the columns to keep."""
     if cap < 2 or cap != int(cap):
         raise ValueError("cap is a whole number of at least 2")
-    mine = ["key", "source", "size", *[f"k{i}" for i in range(len(keep))]]
     sized = written(df.select(
         F.col(quoted(key)).alias("key"), F.col(quoted(source)).alias("source"),
         F.coalesce(F.regexp_count(F.col(quoted(text)), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -178,7 +169,27 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     extra = F.col("mark") < F.when(small, F.col("edge")).otherwise(F.col("coarse"))
     out = rated.join(edges, "sid", "left").withColumn(
         "copies", F.col("whole") + F.coalesce(extra.cast("long"), F.lit(0)))
-    return out.select(
+    return out.select("key", "source", "size", "source_size", "target", "rate", "copies",
+                      *[f"k{i}" for i in range(len(keep))])
+
+
+def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+                weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """(key, size, source_size, target, rate, copies, taken) for each row.
+
+    Size is the number of words, 0 for a null text. A null source is a source of its own.
+    Sources without words have target 0; copies of documents without words are of no consequence.
+    Copies depend on key, source and size only, so reruns and any partitioning
+    agree, and rows that share all three share their copies.
+    """
+    return _mixed(df, key, text, source, weights, share, cap, []).select(
         F.col("key").alias(key), "size", "source_size", "target", "rate", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
-        *[F.col(c).alias(k) for c, k in zip(mine[3:], keep)])
+        (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+                    weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """Each row as often as the mix takes it; all columns stay."""
+    mixed = _mixed(df, key, text, source, weights, share, cap, df.columns)
+    return (mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+            .select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(df.columns)]))

@@ -307,14 +307,8 @@ def sample(docs: DataFrame, labels: DataFrame, bounds: Bounds, key: str, text: s
     return picked[0].unionByName(picked[1]).select("text", "toxic").collect(), share or 0.0
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                   bounds: Bounds = Bounds(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, held_out, score, predicted[, keep...]) for each row.
-
-    `labels` has the key and `toxic` (0, 1; others and nulls are ignored, the larger of several counts).
-    Only texts and labels of rows that are not held out are learnt from. Null texts count as empty and are
-    scored like texts without a suspicious word. Rows with equal or null keys are kept.
-    """
+def _scored(df: DataFrame, labels: DataFrame, key: str, text: str, bounds: Bounds, keep: list[str]) -> DataFrame:
+    """(key, held_out, score, predicted, k0, k1, ...) of each row, with the columns to keep."""
     got, share = sample(df, labels, bounds, key, text)
     model = fit([r["text"] for r in got], np.array([bool(r["toxic"]) for r in got], bool), share)
     names = [f"k{i}" for i in range(len(keep))]
@@ -333,6 +327,26 @@ def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
                      pa.array((score >= 0.5).astype(np.int32)), *batch.columns[3:]],
                     ["key", "held_out", "score", "predicted", *names])
 
-    schema = ", ".join([f"key {df.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int",
-                        *[f"{k} {df.schema[c].dataType.simpleString()}" for c, k in zip(keep, names)]])
-    return chosen.mapInArrow(run, schema).toDF(key, "held_out", "score", "predicted", *keep)
+    return chosen.mapInArrow(run, ", ".join([
+        f"key {df.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int",
+        *[f"{k} {df.schema[c].dataType.simpleString()}" for c, k in zip(keep, names)]]))
+
+
+def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+                   bounds: Bounds = Bounds()) -> DataFrame:
+    """(key, held_out, score, predicted) for each row.
+
+    `labels` has the key and `toxic` (0, 1; others and nulls are ignored, the larger of several counts).
+    Only texts and labels of rows that are not held out are learnt from. Null texts count as empty and are
+    scored like texts without a suspicious word. Rows with equal or null keys are kept. Without labels of
+    both kinds each score is the share of toxic ones.
+    """
+    return _scored(df, labels, key, text, bounds, []).withColumnRenamed("key", key)
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+                  bounds: Bounds = Bounds()) -> DataFrame:
+    """The rows that are not predicted to be toxic; all columns stay."""
+    scored = _scored(df, labels, key, text, bounds, df.columns)
+    return scored.where(F.col("predicted") == 0).select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(df.columns)])

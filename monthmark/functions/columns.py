@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A product that is a tie in decimal arithmetic may sit one ulp below it in binary.
-_TIE = 0.500001
+#: Digits after the point to which binary products are taken before money is rounded: far more than
+#: amounts and factors have, far fewer than the noise of binary products.
+EXACT = "decimal(38,10)"
 
 
 def as_col(c: str | Column) -> Column:
@@ -52,19 +53,18 @@ def month_end(yy: str | Column = "inforce_yy", mm: str | Column = "inforce_mm")
 
 
 def cents(c: str | Column) -> Column:
-    return F.rint(as_col(c) * 100).cast("long")
+    """Whole cents; null for what is no amount (NaN, infinite)."""
+    return F.rint(as_col(c) * 100).try_cast("long")
 
 
 def basis_points(c: str | Column) -> Column:
     """Exposure shares as ten-thousandths, for exact sums."""
-    return F.rint(as_col(c) * 10000).cast("long")
+    return F.rint(as_col(c) * 10000).try_cast("long")
 
 
 def half_up(c: str | Column, scale: int = 2) -> Column:
-    """Round half away from zero, in double arithmetic (no BigDecimal per row)."""
-    c = as_col(c)
-    unit = 10 ** scale
-    return F.signum(c) * F.floor(F.abs(c) * unit + _TIE) / unit
+    """Round half away from zero in decimal arithmetic; null for what is no amount."""
+    return F.round(as_col(c).try_cast(EXACT), scale).cast("double")
 
 
 def money_sum(c: str | Column) -> Column:
@@ -72,7 +72,7 @@ def money_sum(c: str | Column) -> Column:
 
 
 def money_mean(c: str | Column) -> Column:
-    return F.try_divide(F.sum(cents(c)), F.count(as_col(c))) / 100
+    return F.try_divide(F.sum(cents(c)), F.count(cents(c))) / 100
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -86,6 +86,12 @@ def rounded_ratio(num: Column, den: Column, scale: int) -> Column:
     return F.round(F.try_divide(num.cast(wide), den.cast(wide)), scale)
 
 
+def padded(number: str | Column, width: int) -> Column:
+    """A number as text with leading zeros; a longer one is kept whole, never cut."""
+    text = as_col(number).cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def assignment_key(vehicle: str = "vehicle_no", driver: str = "driver_no") -> Column:
     """vehicle_driver; null when either part is null."""
     return F.concat(F.col(vehicle), F.lit("_"), F.col(driver))

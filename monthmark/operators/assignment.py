@@ -11,7 +11,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from monthmark.functions.columns import padded
 from monthmark.functions.ranking import bucketed_rank, prefix_bucket
+from monthmark.functions.skew import salted_join
 from monthmark.operators.rating import stored_premiums
 from monthmark.params import Params
 
@@ -34,8 +36,7 @@ def _teen(params: Params, age: str = "age") -> Column:
 
 def _assignment_no(n: Column) -> Column:
     """ASS and a number of at least eight digits."""
-    text = n.cast("string")
-    return F.concat(F.lit("ASS"), F.lpad(text, F.greatest(F.length(text), F.lit(8)), F.lit("0")))
+    return F.concat(F.lit("ASS"), padded(n, 8))
 
 
 def initial_assignments(vehicles: DataFrame, drivers: DataFrame, params: Params) -> DataFrame:
@@ -54,8 +55,8 @@ def initial_assignments(vehicles: DataFrame, drivers: DataFrame, params: Params)
         "family_id", "driver_no", "age", order_key.alias("_order"))
     d = bucketed_rank(people, ["family_id"], [F.col("_order")], prefix_bucket("_order"), "d_slot")
     sizes = _sizes(vehicles, people)
-    d = d.join(sizes, "family_id")
-    v = _vehicle_slots(vehicles).join(sizes, "family_id")
+    d = salted_join(d, sizes, ["family_id"], ["driver_no"])
+    v = salted_join(_vehicle_slots(vehicles), sizes, ["family_id"], ["vehicle_no"])
 
     spare = (F.col("drivers") > F.col("vehicles")) & (F.col("d_slot") >= F.col("vehicles"))
     young = (F.col("drivers") == F.col("vehicles")) & _teen(params)
@@ -106,10 +107,10 @@ def reassign(vehicles: DataFrame, drivers: DataFrame, params: Params, on: date)
     v = _vehicle_slots(vehicles.where(F.col("status") == "active"))
     people = drivers.where(F.col("status") == "active").select("family_id", "driver_no", "age")
     d = bucketed_rank(people, ["family_id"], [F.col("age"), F.col("driver_no")],
-                      F.concat(F.lpad(F.coalesce("age", F.lit(0)).cast("string"), 3, "0"),
+                      F.concat(padded(F.coalesce("age", F.lit(0)), 10),
                                prefix_bucket("driver_no")), "d_slot")
     sizes = _sizes(v, people).where("vehicles > 0 AND drivers > 0")
-    v = v.join(sizes, "family_id")
+    v = salted_join(v, sizes, ["family_id"], ["vehicle_no"])
     more = F.col("drivers") > F.col("vehicles")
     by_slot = d.select("family_id", "d_slot", "driver_no", "age")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from monthmark.functions.columns import (assignment_key, index_month, index_year, month_index,
                                          period)
+from monthmark.functions.skew import salted_join
 from monthmark.operators.aggregates import MONTH
 
 KEYS = ["policy", *MONTH]
@@ -50,7 +51,9 @@ def _transitions(items: DataFrame, calendars: DataFrame, mode: str) -> DataFrame
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spans = items.where(F.col("key").isNotNull()).groupBy("policy", "kind", "key").agg(
-        F.collect_set("m").alias("s")).join(calendars, "policy")
+        F.collect_set("m").alias("s"))
+    # A policy may hold most of the items, its calendar is one row.
+    spans = salted_join(spans, calendars, ["policy"], ["kind", "key"])
     if mode == "present":  # compare positions in the policy's own months
         spans = spans.withColumn("s", F.transform(
             "s", lambda x: F.array_position("months", x).cast("int")))

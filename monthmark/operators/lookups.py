@@ -95,7 +95,3 @@ def first_in_active(df: DataFrame, independent: bool = True) -> DataFrame:
 
     months = df.select("policy", period().alias("first_period")).distinct()
     return first_periods(df, independent).join(months, ["policy", "first_period"], "left_semi")
-
-
-def month_of_index(df: DataFrame, index: str) -> DataFrame:
-    return df.withColumns({"inforce_yy": index_year(index), "inforce_mm": index_month(index)})

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from monthmark.functions.columns import (as_col, index_month, index_of_date, index_year,
                                          month_end)
+from monthmark.functions.skew import salted_join
 from monthmark.operators.rating import assignment_rate, paid
 from monthmark.params import Params
 from monthmark.schema import PANEL_COLUMNS
@@ -130,7 +131,8 @@ def in_force_assignments(policies: DataFrame, changes_log: DataFrame, assignment
         F.col("current_expiry_date").alias("policy_expiry_date"), "start_date", "policy_hi")
     keep = ["family_id", "vehicle_no", "driver_no", "assignment_type", "exposure_factor",
             "lo", "hi"]
-    return (assignment_ranges(assignments, params).select(*keep).join(held, "family_id")
+    ranges = assignment_ranges(assignments, params).select(*keep)
+    return (salted_join(ranges, held, ["family_id"], ["vehicle_no", "driver_no", "lo"])
             .withColumn("hi", F.least("hi", "policy_hi")).drop("policy_hi").where("lo <= hi"))
 
 
@@ -162,14 +164,5 @@ def build_panel(policies: DataFrame, vehicles: DataFrame, drivers: DataFrame,
             .withColumnRenamed("vin", "vehicle_vin").select(*PANEL_COLUMNS))
 
 
-def month_spine(source: DataFrame, start: date, end: date, by: str) -> DataFrame:
-    """Every month of a run for each distinct key of a table, with its last day."""
-    lo, hi = (d.year * 12 + d.month - 1 for d in (start, end))
-    spine = F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("_m")
-    return (source.select(by).distinct().select(by, spine)
-            .select(by, index_year("_m").alias("inforce_yy"), index_month("_m").alias("inforce_mm"))
-            .withColumn("month_end", month_end()))
-
-
 def tenure_days(df: DataFrame, start: str = "start_date") -> DataFrame:
     return df.withColumn("client_tenure_days", F.datediff(month_end(), as_col(start)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthmark.functions.columns import (age_at, as_col, basis_points, half_up, named_factor,
+from monthmark.functions.columns import (EXACT, as_col, basis_points, half_up, named_factor,
                                          step_factor)
 from monthmark.params import Params
 
@@ -81,6 +81,22 @@ def rating_rows(assignments: DataFrame, vehicles: DataFrame, drivers: DataFrame)
     return assignments.join(v, ["family_id", "vehicle_no"]).join(d, ["family_id", "driver_no"])
 
 
+def live_assignments(assignments: DataFrame) -> DataFrame:
+    return assignments.where((F.col("status") == "active") & (F.col("exposure_factor") > 0))
+
+
+def total_exposures(assignments: DataFrame) -> DataFrame:
+    """(family_id, total_exposure) of active assignments with exposure."""
+    return live_assignments(assignments).groupBy("family_id").agg(
+        (F.sum(basis_points("exposure_factor")) / 10000).alias("total_exposure"))
+
+
+def policy_exposures(policies: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Total exposure per policy, 0 without an assignment."""
+    return policies.join(total_exposures(assignments), "family_id", "left").select(
+        "policy_no", F.coalesce("total_exposure", F.lit(0.0)).alias("total_exposure"))
+
+
 def policy_premiums(policies: DataFrame, assignments: DataFrame, vehicles: DataFrame,
                     drivers: DataFrame, params: Params) -> DataFrame:
     """Calculated premium and total exposure per policy.
@@ -89,21 +105,19 @@ def policy_premiums(policies: DataFrame, assignments: DataFrame, vehicles: DataF
     assignments with exposure that have a vehicle and a driver, without inflation, and is at
     least the minimum premium. The exposure counts all active assignments with exposure.
     """
-    live = assignments.where((F.col("status") == "active") & (F.col("exposure_factor") > 0))
-    exposure = live.groupBy("family_id").agg(
-        (F.sum(basis_points("exposure_factor")) / 10000).alias("total_exposure"))
+    live, exposure = live_assignments(assignments), total_exposures(assignments)
     amount = (F.lit(params.base_amount) * F.col("exposure_factor")
               * named_factor("vehicle_type", params.vehicle_factors)
               * step_factor("age", params.age_factors)
               * named_factor("driver_type", params.role_factors))
     rated = (rating_rows(live.select("family_id", "vehicle_no", "driver_no", "exposure_factor"),
                          vehicles, drivers)
-             .groupBy("family_id").agg(F.sum(amount).alias("_amount")))
+             .groupBy("family_id").agg(F.sum(amount.try_cast("decimal(28,10)")).alias("_amount")))
     return (policies.join(exposure, "family_id", "left").join(rated, "family_id", "left")
             .select("policy_no", "family_id", "status",
                     F.col("premium_paid").alias("stored_premium"),
-                    half_up(F.greatest(F.coalesce("_amount", F.lit(0.0)),
-                                       F.lit(params.minimum_premium)))
+                    half_up(F.greatest(F.coalesce("_amount", F.lit(0).cast(EXACT)),
+                                       F.lit(params.minimum_premium).cast(EXACT)))
                     .alias("calculated_premium"),
                     F.coalesce("total_exposure", F.lit(0.0)).alias("total_exposure")))
 
@@ -129,10 +143,6 @@ def yearly_increase(policies: DataFrame, params: Params, year: int) -> DataFrame
                                F.when(F.col("status") == "active", grown).otherwise(start))
 
 
-def ages_on(drivers: DataFrame, on: str | Column) -> DataFrame:
-    return drivers.withColumn("age_on_date", age_at("birthday", on))
-
-
 # --- factors kept as tables ---------------------------------------------------------------
 
 def join_named_factor(df: DataFrame, factors: DataFrame, key: str, name: str,
@@ -146,25 +156,31 @@ def join_named_factor(df: DataFrame, factors: DataFrame, key: str, name: str,
         name, F.coalesce("_factor", F.lit(default))).drop("_factor")
 
 
-def dense_steps(steps: DataFrame, key: str = "age", upper: int = 150) -> DataFrame:
-    """A sparse step table as one row per whole number up to `upper`.
+def dense_steps(steps: DataFrame, key: str = "age") -> DataFrame:
+    """A sparse step table as one row per whole number up to its last step.
 
     Each step covers the numbers up to the next one, so an as-of lookup becomes an equality
-    join. `upper` only has to reach the last step; lookups are clamped to it.
+    join; `_last` marks the last step, which holds for all greater numbers as well.
     """
     from pyspark.sql import Window
 
     # A step table has a few dozen rows; its order needs one task.
     follow = F.lead(key).over(Window.orderBy(key))
-    return (steps.withColumn("_to", F.coalesce(follow - 1, F.greatest(F.col(key), F.lit(upper))))
-            .select(F.explode(F.sequence(key, "_to")).alias(key), "factor"))
+    return (steps.withColumn("_last", follow.isNull()).withColumn("_to", F.coalesce(follow - 1, key))
+            .select(F.explode(F.sequence(key, "_to")).alias(key), "factor", "_last"))
 
 
 def join_step_factor(df: DataFrame, steps: DataFrame, age: str, name: str,
-                     key: str = "age", upper: int = 150, default: float = 1.0) -> DataFrame:
-    """Factor of the greatest step at or below the age, by an equality join."""
-    dense = dense_steps(steps, key, upper).select(F.col(key).alias("_step"),
-                                                  F.col("factor").alias("_factor"))
-    clamped = F.when(F.col(age) > upper, F.lit(upper)).otherwise(F.col(age))
-    return (df.withColumn("_step", clamped).join(dense, "_step", "left")
-            .withColumn(name, F.coalesce("_factor", F.lit(default))).drop("_step", "_factor"))
+                     key: str = "age", default: float = 1.0) -> DataFrame:
+    """Factor of the greatest step at or below the age, by equality joins."""
+    dense = dense_steps(steps, key)
+    inside = dense.select(F.col(key).alias("_step"), F.col("factor").alias("_factor"))
+    # Ages without a step meet the one row of the last one.
+    beyond = dense.where("_last").select(F.lit(True).alias("_positive"), F.col(key).alias("_end"),
+                                         F.col("factor").alias("_end_factor"))
+    joined = (df.withColumn("_step", F.col(age)).join(inside, "_step", "left")
+              .withColumn("_positive", F.when(F.col("_factor").isNull(), F.col(age).isNotNull()))
+              .join(beyond, "_positive", "left"))
+    past = F.when(F.col(age) > F.col("_end"), F.col("_end_factor"))
+    return (joined.withColumn(name, F.coalesce("_factor", past, F.lit(default)))
+            .drop("_step", "_factor", "_positive", "_end", "_end_factor"))

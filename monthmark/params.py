@@ -24,9 +24,6 @@ DEFAULT_VEHICLE_FACTORS = {
 DEFAULT_ROLE_FACTORS = {"primary": 1.0, "secondary": 0.5}
 DEFAULT_MULTI_VEHICLE_DISCOUNTS = {1: 0.0, 2: 0.1, 3: 0.15, 4: 0.2}
 
-# Factor tables are broadcast, so their size is limited here rather than assumed.
-MAX_FACTOR_ROWS = 10_000
-
 
 @dataclass(frozen=True)
 class Exposures:
@@ -111,7 +108,5 @@ def load_params(path: str) -> Params:
 
 
 def factor_table(spark: SparkSession, factors: dict, key: str, key_type: str) -> DataFrame:
-    """A parameter mapping as a (key, factor) DataFrame of checked size."""
-    if len(factors) > MAX_FACTOR_ROWS:
-        raise ValueError(f"{key}: {len(factors)} factors exceed {MAX_FACTOR_ROWS}")
+    """A parameter mapping as a (key, factor) DataFrame."""
     return spark.createDataFrame(list(factors.items()), f"{key} {key_type}, factor double")

@@ -217,10 +217,9 @@ def _(t):
 SELECT {ROWS} FROM fx_panel WHERE policy = (SELECT min(policy) FROM fx_panel
   WHERE inforce_yy = 1998 AND inforce_mm = 5) AND inforce_yy = 1998 AND inforce_mm = 5""")
 def _(t):
-    # The viewer opens on the first policy of the month; its key is a scalar subquery.
-    month = t.panel.where("inforce_yy = 1998 AND inforce_mm = 5")
-    first = month.agg(F.min("policy").alias("policy"))
-    return _rows(month.join(first, "policy"))
+    # The viewer opens on the first policy of the month.
+    first = t.panel.where("inforce_yy = 1998 AND inforce_mm = 5").agg(F.min("policy")).first()[0]
+    return _rows(lookups.policy_month(t.panel, first, 1998, 5))
 
 
 @query("filter_month_pair", f"""

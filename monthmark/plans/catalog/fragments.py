@@ -18,9 +18,10 @@ def dev(c: str) -> str:
 
 
 def half_up(c: str, scale: int = 2) -> str:
-    """Non-negative numbers only."""
+    """Half away from zero: the shifted decimal plus or minus a half, cut to a whole number."""
     unit = 10 ** scale
-    return f"CAST(floor(({c})*{unit} + 0.500001) AS DOUBLE)/{unit}"
+    wide = f"CAST({c} AS DECIMAL(38,10)) * {unit}"
+    return f"CAST(trunc({wide} + 0.5 * sign({c})) AS DOUBLE)/{unit}"
 
 
 def rounded_ratio(num: str, den: str, scale: int) -> str:

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from monthmark.functions.columns import age_at, half_up, named_factor, step_factor
+from monthmark.functions.columns import age_at, half_up, named_factor, padded, step_factor
 from monthmark.operators import aggregates as agg
 from monthmark.operators import assignment as asg
 from monthmark.operators import events as ev
@@ -285,8 +285,8 @@ FROM fx_policies p
 LEFT JOIN (SELECT family_id, CAST(sum(CAST(round(exposure_factor * 10000) AS BIGINT)) AS DOUBLE)
     / 10000 AS total_exposure FROM fx_assignments
   WHERE status = 'active' AND exposure_factor > 0 GROUP BY family_id) e USING (family_id)
-LEFT JOIN (SELECT family_id, sum(CAST(1500.0 AS DOUBLE) * exposure_factor * {TYPE_F}
-    * {case_steps('age', P.age_factors)} * {DRIVER_TYPE_F}) AS amount FROM ({RATING}) x
+LEFT JOIN (SELECT family_id, sum(CAST(CAST(1500.0 AS DOUBLE) * exposure_factor * {TYPE_F}
+    * {case_steps('age', P.age_factors)} * {DRIVER_TYPE_F} AS DECIMAL(28,10))) AS amount FROM ({RATING}) x
   WHERE status = 'active' AND exposure_factor > 0 GROUP BY family_id) r USING (family_id)
 """
 view("ov_calculated", CALCULATED, ("fx_policies", "fx_assignments", "fx_vehicles", "fx_drivers"))
@@ -303,7 +303,7 @@ def _(t):
 
 @query("rate_exposure_total", "SELECT policy_no, total_exposure FROM ov_calculated")
 def _(t):
-    return _calculated(t).select("policy_no", "total_exposure")
+    return rt.policy_exposures(t.policies, t.assignments)
 
 
 @query("rate_age_select", """
@@ -452,13 +452,12 @@ def _substitutions(t):
     daily = t.base.groupBy("family_id", "vehicle_no", F.col("od").alias("date")).agg(
         F.min("l_partkey").alias("part"), F.min("p_type").alias("vehicle_type"),
         (F.lit(1970) + F.min("p_size")).cast("int").alias("model_year"))
-    return daily.withColumn("vin", F.concat(F.lit("VIN"), F.lpad(
-        F.col("part").cast("string"), 14, "0"))).drop("part")
+    return daily.withColumn("vin", F.concat(F.lit("VIN"), padded("part", 14))).drop("part")
 
 
 @query("events_substitute", """
 WITH d AS (SELECT family_id, vehicle_no, od AS valid_from,
-    concat('VIN', lpad(CAST(min(l_partkey) AS VARCHAR), 14, '0')) AS vin,
+    concat('VIN', lpad(CAST(min(l_partkey) AS VARCHAR), CAST(greatest(length(CAST(min(l_partkey) AS VARCHAR)), 14) AS INTEGER), '0')) AS vin,
     min(p_type) AS vehicle_type, CAST(1970 + min(p_size) AS INT) AS model_year
   FROM fx_base GROUP BY family_id, vehicle_no, od)
 SELECT *, lead(valid_from) OVER (PARTITION BY family_id, vehicle_no ORDER BY valid_from) AS valid_to
@@ -471,7 +470,7 @@ def _(t):
 SELECT family_id, vehicle_no, max(od) AS valid_from,
   arg_max(vin, od) AS vin, arg_max(vehicle_type, od) AS vehicle_type,
   arg_max(model_year, od) AS model_year FROM (
-  SELECT family_id, vehicle_no, od, concat('VIN', lpad(CAST(min(l_partkey) AS VARCHAR), 14, '0')) AS vin,
+  SELECT family_id, vehicle_no, od, concat('VIN', lpad(CAST(min(l_partkey) AS VARCHAR), CAST(greatest(length(CAST(min(l_partkey) AS VARCHAR)), 14) AS INTEGER), '0')) AS vin,
     min(p_type) AS vehicle_type, CAST(1970 + min(p_size) AS INT) AS model_year
   FROM fx_base GROUP BY family_id, vehicle_no, od) d GROUP BY family_id, vehicle_no""")
 def _(t):
@@ -488,7 +487,7 @@ v AS (SELECT family_id, vehicle_no, row_number() OVER (PARTITION BY family_id OR
     AS vs, count(*) OVER (PARTITION BY family_id) AS nv FROM fx_vehicles),
 n AS (SELECT family_id, max(nv) AS nv, max(nd) AS nd FROM d JOIN v USING (family_id) GROUP BY family_id)
 """
-NUMBER = "'ASS' || lpad(CAST({} AS VARCHAR), 8, '0')"
+NUMBER = "'ASS' || lpad(CAST({} AS VARCHAR), CAST(greatest(length(CAST({} AS VARCHAR)), 8) AS INTEGER), '0')"
 
 
 @query("assign_initial", f"""

@@ -12,11 +12,12 @@ from monthmark.streaming import incremental as inc
 @query("stream_panel_change", "SELECT * FROM ov_flags")
 def _(t):
     source, target = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "stream")
-    period = F.col("inforce_yy") * 100 + F.col("inforce_mm")
-    # The later months arrive after the first run of the stream.
-    t.panel.where(period <= 199806).write.mode("append").parquet(source)
-    inc.run_flag_stream(t.spark, source, target)
-    t.panel.where(period > 199806).write.mode("append").parquet(source)
+    # Every month comes in several files; the later ones and a few earlier ones after the first run.
+    late = (F.col("inforce_yy") * 100 + F.col("inforce_mm") > 199806) | (F.col("inforce_mm") == 3)
+    files = t.panel.repartition(3, F.xxhash64("policy", "vehicle_no", "driver_no"))
+    files.where(~late).write.mode("append").parquet(source)
+    inc.run_flag_stream(t.spark, source, target, files_per_batch=2)
+    files.where(late).write.mode("append").parquet(source)
     return inc.run_flag_stream(t.spark, source, target).drop("added", "removed")
 
 

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from monthmark.functions.columns import cents
+from monthmark.functions.columns import cents, padded
 from monthmark.params import Params
 from monthmark.schema import PANEL_COLUMNS
 from monthmark.sources.staging import staged
@@ -63,12 +63,11 @@ class Tables:
         joined = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
                   .join(part, lines.l_partkey == part.p_partkey)
                   .join(supplier, lines.l_suppkey == supplier.s_suppkey))
-        customer = F.col("o_custkey").cast("string")
         return joined.select(
             "o_orderkey", "o_custkey", "od",
             F.year("od").alias("inforce_yy"), F.month("od").alias("inforce_mm"),
-            F.lpad(customer, 8, "0").alias("policy"),
-            F.concat(F.lit("FAM"), F.lpad(customer, 6, "0")).alias("family_id"),
+            padded("o_custkey", 8).alias("policy"),
+            F.concat(F.lit("FAM"), padded("o_custkey", 6)).alias("family_id"),
             _two_digits(F.col("l_partkey")).alias("vehicle_no"),
             _two_digits(F.col("l_suppkey")).alias("driver_no"),
             "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -96,12 +95,12 @@ class Tables:
             F.date_add("start_date", 365).alias("policy_expiry_date"),
             F.datediff(F.last_day("od"), "start_date").alias("client_tenure_days"),
             "vehicle_no",
-            F.concat(F.lit("VIN"), F.lpad(F.col("l_partkey").cast("string"), 14, "0"))
+            F.concat(F.lit("VIN"), padded("l_partkey", 14))
             .alias("vehicle_vin"),
             F.col("p_type").alias("vehicle_type"),
             (F.lit(1970) + F.col("p_size")).cast("int").alias("model_year"),
             "driver_no",
-            F.concat(F.lit("LIC"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
+            F.concat(F.lit("LIC"), padded("l_suppkey", 6))
             .alias("driver_license_no"),
             F.col("s_name").alias("driver_name"),
             F.when(age <= 24, "teen").otherwise("adult").alias("driver_type"),
@@ -158,7 +157,7 @@ class Tables:
         gone = (F.col("vehicle_no") == "02") & (F.col("o_custkey") % 5 == 0)
         return g.select(
             "vehicle_no", "family_id",
-            F.concat(F.lit("VIN"), F.lpad(F.col("part").cast("string"), 14, "0")).alias("vin"),
+            F.concat(F.lit("VIN"), padded("part", 14)).alias("vin"),
             "vehicle_type", (F.lit(1970) + F.col("size")).cast("int").alias("model_year"),
             "effective_date", F.when(gone, "removed").otherwise("active").alias("status"),
             F.when(gone, F.col("last_date")).alias("removal_date"))
@@ -175,7 +174,7 @@ class Tables:
             .cast("int")
         return g.select(
             "driver_no", "family_id",
-            F.concat(F.lit("LIC"), F.lpad(F.col("supp").cast("string"), 6, "0"))
+            F.concat(F.lit("LIC"), padded("supp", 6))
             .alias("license_no"),
             "driver_name", F.when(age <= 24, "teen").otherwise("adult").alias("driver_type"),
             age.alias("age_at_issuance"), (age + 1).alias("age"),

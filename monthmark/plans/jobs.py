@@ -81,8 +81,3 @@ def reconcile(panel: DataFrame, masters: dict[str, DataFrame], folder: str,
                                        "top_discrepancies": rec.top_discrepancies(kept),
                                        "averages": rec.compare_summary(kept)}, root),
     }
-
-
-def source_files(panel_dir: DataFrame) -> DataFrame:
-    """Rows per part file of a panel folder."""
-    return panel_dir.groupBy("source_file").agg(F.count(F.lit(1)).alias("records"))

@@ -13,8 +13,8 @@ view("fx_base", """
 SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS od,
        CAST(year(o_orderdate) AS INT) AS inforce_yy,
        CAST(month(o_orderdate) AS INT) AS inforce_mm,
-       lpad(CAST(o_custkey AS VARCHAR(20)), 8, '0') AS policy,
-       concat('FAM', lpad(CAST(o_custkey AS VARCHAR(20)), 6, '0')) AS family_id,
+       lpad(CAST(o_custkey AS VARCHAR(20)), CAST(greatest(length(CAST(o_custkey AS VARCHAR(20))), 8) AS INTEGER), '0') AS policy,
+       concat('FAM', lpad(CAST(o_custkey AS VARCHAR(20)), CAST(greatest(length(CAST(o_custkey AS VARCHAR(20))), 6) AS INTEGER), '0')) AS family_id,
        min(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey) AS start_date,
        lpad(CAST(l_partkey % 2 + 1 AS VARCHAR(20)), 2, '0') AS vehicle_no,
        lpad(CAST(l_suppkey % 2 + 1 AS VARCHAR(20)), 2, '0') AS driver_no,
@@ -31,11 +31,11 @@ SELECT inforce_yy, inforce_mm, policy,
        start_date + 365 AS policy_expiry_date,
        CAST(datediff('day', start_date, last_day(od)) AS INT) AS client_tenure_days,
        vehicle_no,
-       concat('VIN', lpad(CAST(l_partkey AS VARCHAR(20)), 14, '0')) AS vehicle_vin,
+       concat('VIN', lpad(CAST(l_partkey AS VARCHAR(20)), CAST(greatest(length(CAST(l_partkey AS VARCHAR(20))), 14) AS INTEGER), '0')) AS vehicle_vin,
        p_type AS vehicle_type,
        CAST(1970 + p_size AS INT) AS model_year,
        driver_no,
-       concat('LIC', lpad(CAST(l_suppkey AS VARCHAR(20)), 6, '0')) AS driver_license_no,
+       concat('LIC', lpad(CAST(l_suppkey AS VARCHAR(20)), CAST(greatest(length(CAST(l_suppkey AS VARCHAR(20))), 6) AS INTEGER), '0')) AS driver_license_no,
        s_name AS driver_name,
        CASE WHEN 15 + l_quantity <= 24 THEN 'teen' ELSE 'adult' END AS driver_type,
        CASE l_returnflag WHEN 'R' THEN 'primary' WHEN 'A' THEN 'secondary_adult'
@@ -72,7 +72,7 @@ GROUP BY family_id, vehicle_no
 
 view("fx_vehicles", """
 SELECT vehicle_no, family_id,
-       concat('VIN', lpad(CAST(min(l_partkey) AS VARCHAR(20)), 14, '0')) AS vin,
+       concat('VIN', lpad(CAST(min(l_partkey) AS VARCHAR(20)), CAST(greatest(length(CAST(min(l_partkey) AS VARCHAR(20))), 14) AS INTEGER), '0')) AS vin,
        min(p_type) AS vehicle_type,
        CAST(1970 + min(p_size) AS INT) AS model_year,
        min(od) AS effective_date,
@@ -84,7 +84,7 @@ GROUP BY vehicle_no, family_id, o_custkey
 
 view("fx_drivers", """
 SELECT driver_no, family_id,
-       concat('LIC', lpad(CAST(min(l_suppkey) AS VARCHAR(20)), 6, '0')) AS license_no,
+       concat('LIC', lpad(CAST(min(l_suppkey) AS VARCHAR(20)), CAST(greatest(length(CAST(min(l_suppkey) AS VARCHAR(20))), 6) AS INTEGER), '0')) AS license_no,
        min(s_name) AS driver_name,
        CASE WHEN 16 + (o_custkey * 7 + CAST(driver_no AS INT) * 31) % 70 <= 24
             THEN 'teen' ELSE 'adult' END AS driver_type,

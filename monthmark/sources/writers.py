@@ -19,7 +19,8 @@ FULL_ORDER = ("policy", "policy_expiry_date", "vehicle_no", "driver_no", "inforc
 
 def write_csv(df: DataFrame, path: str, header: bool = True, single_file: bool = False) -> str:
     """Overwrite a CSV folder; one file only for small reports, as it is one task."""
-    out = df.coalesce(1) if single_file else df
+    # A shuffle, so that only the last sorting of rows is one task, not the work before it.
+    out = df.repartition(1) if single_file else df
     out.write.mode("overwrite").option("header", header).csv(path)
     return path
 

@@ -1,67 +1,62 @@
 """Keeping change flags and event counts up to date as files arrive.
 
-Months arrive as Parquet files. Each micro-batch is compared with the rows of every policy's
-latest known month by the batch operators, so the results equal one batch run over all months
-as long as a policy's months arrive in order; a month at or before a policy's latest one is
-set aside instead of changing flags already given.
+Months arrive as Parquet files, in any order and split over any files. Each micro-batch adds its rows
+to a log of what is known and flags the policies it touches anew, by the batch operators and from all
+their months. Whatever the order, the latest flags equal one batch run over all rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from monthmark.functions.columns import month_index
 from monthmark.operators.changes import KEYS, policy_month_changes
-from monthmark.operators.reconcile import latest_month
 from monthmark.schema import PANEL
-from monthmark.sources.writers import persisted
 
 STATE = ["policy", "inforce_yy", "inforce_mm", "vehicle_no", "driver_no"]
+FLAGS = [*KEYS, "added", "removed", "major_change"]
 
 
-def split_late(new: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows after their policy's latest known month, and the others."""
-    last = state.groupBy("policy").agg(F.max(month_index()).alias("_last"))
-    joined = new.join(last, "policy", "left")
-    late = F.col("_last").isNotNull() & (month_index() <= F.col("_last"))
-    return joined.where(~late).drop("_last"), joined.where(late).drop("_last")
+def advance(new: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flags of all months of the policies with new rows, and the rows that were not known."""
+    fresh = new.select(*STATE).distinct()
+    touched = fresh.select("policy").distinct()
+    before = known.select(*STATE).join(touched, "policy", "left_semi")
+    flags = policy_month_changes(before.unionByName(fresh)).select(*FLAGS)
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in STATE]
+    added = fresh.alias("n").join(before.alias("k"), same, "left_anti")
+    return flags, added
 
 
-def advance(new: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Flags of the new policy-months, and the state after them."""
-    fresh, _ = split_late(new.select(*STATE), state)
-    both = state.unionByName(fresh)
-    months = fresh.select(*KEYS).distinct()
-    flags = policy_month_changes(both).join(months, KEYS, "left_semi").select(
-        *KEYS, "added", "removed", "major_change")
-    return flags, latest_month(both).select(*STATE).distinct()
+def latest(batches: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Of rows written by several batches the one of the last batch."""
+    return batches.groupBy(*keys).agg(F.max(F.struct("batch", *values)).alias("r")).select(
+        *keys, *[F.col(f"r.{c}").alias(c) for c in values])
 
 
 def flag_stream(spark: SparkSession, source: str, target: str,
                 files_per_batch: int | None = None) -> DataStreamWriter:
-    """A stream over a panel folder that writes flags, state and late rows below `target`.
+    """A stream over a panel folder that writes flags and known rows below `target`.
 
-    Every batch writes to folders named by its id and reads the state of the batch before, so
-    a batch repeated after a failure overwrites its own output: results are exactly once.
+    A batch writes to folders named by its id, and only rows of the policies it touches; it reads the
+    folders of earlier batches alone. A batch repeated after a failure therefore overwrites its own
+    output: results are exactly once.
     """
     root = target.rstrip("/")
+    schema = T.StructType([f for f in PANEL if f.name in STATE])
 
-    def state_before(batch: int) -> DataFrame:
-        empty = spark.createDataFrame([], PANEL).select(*STATE)
+    def known_before(batch: int) -> DataFrame:
         if batch == 0:
-            return empty
-        return spark.read.schema(empty.schema).parquet(f"{root}/state/batch={batch - 1}")
+            return spark.createDataFrame([], schema)
+        stored = T.StructType([*schema, T.StructField("batch", T.LongType())])
+        return spark.read.schema(stored).parquet(f"{root}/state").where(F.col("batch") < batch)
 
     def process(batch_df: DataFrame, batch: int) -> None:
-        state = state_before(batch)
-        with persisted(batch_df.select(*STATE)) as new:
-            flags, after = advance(new, state)
-            _, late = split_late(new, state)
-            flags.write.mode("overwrite").parquet(f"{root}/flags/batch={batch}")
-            late.write.mode("overwrite").parquet(f"{root}/late/batch={batch}")
-            after.write.mode("overwrite").parquet(f"{root}/state/batch={batch}")
+        flags, added = advance(batch_df, known_before(batch))
+        added.write.mode("overwrite").parquet(f"{root}/state/batch={batch}")
+        flags.write.mode("overwrite").parquet(f"{root}/flags/batch={batch}")
 
     reader = spark.readStream.schema(PANEL)
     if files_per_batch:
@@ -72,10 +67,10 @@ def flag_stream(spark: SparkSession, source: str, target: str,
 
 def run_flag_stream(spark: SparkSession, source: str, target: str,
                     files_per_batch: int | None = None) -> DataFrame:
-    """Process what has arrived and return all flags so far."""
+    """Process what has arrived and return the latest flags of all policy-months."""
     flag_stream(spark, source, target, files_per_batch).start().awaitTermination()
-    return spark.read.parquet(f"{target.rstrip('/')}/flags").select(
-        *KEYS, "added", "removed", "major_change")
+    return latest(spark.read.parquet(f"{target.rstrip('/')}/flags"), KEYS,
+                  ["added", "removed", "major_change"])
 
 
 def event_counts(events: DataFrame, watermark: str = "7 days", width: str = "1 day") -> DataFrame:
@@ -89,15 +84,21 @@ def event_counts(events: DataFrame, watermark: str = "7 days", width: str = "1 d
             "with_vehicle")
 
 
-def run_event_counts(spark: SparkSession, source: str, schema, target: str) -> DataFrame:
-    """Count the events of a log folder as a stream; complete counts replace older ones."""
+def run_event_counts(spark: SparkSession, source: str, schema, target: str,
+                     watermark: str = "7 days") -> DataFrame:
+    """Count the events of a log folder as a stream.
+
+    Each batch writes the counts it changed to a folder of its own. Windows older than the watermark
+    leave the state; events that come later than that are not counted.
+    """
     root = target.rstrip("/")
 
     def process(batch_df: DataFrame, batch: int) -> None:
-        batch_df.write.mode("overwrite").parquet(f"{root}/counts")
+        batch_df.write.mode("overwrite").parquet(f"{root}/counts/batch={batch}")
 
-    (event_counts(spark.readStream.schema(schema).parquet(source)).writeStream
-     .outputMode("complete").foreachBatch(process)
+    (event_counts(spark.readStream.schema(schema).parquet(source), watermark).writeStream
+     .outputMode("update").foreachBatch(process)
      .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
      .start().awaitTermination())
-    return spark.read.parquet(f"{root}/counts")
+    return latest(spark.read.parquet(f"{root}/counts"), ["day", "change_type"],
+                  ["events", "with_vehicle"])

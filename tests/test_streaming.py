@@ -24,12 +24,38 @@ def test_months_arriving_one_by_one(spark, panel_of, tmp_path):
     assert keyed(out) == keyed(policy_month_changes(panel))
 
 
-def test_late_month_is_set_aside(spark, panel_of, tmp_path):
+def test_one_file_a_batch_with_each_month_in_three_files(spark, panel_of, tmp_path):
+    panel = panel_of(random_rows(5))
     source, target = f"{tmp_path}/in", f"{tmp_path}/out"
-    panel_of(month(2018, 3, ("01", "01"))).write.mode("append").parquet(source)
+    panel.repartition(3, F.xxhash64("vehicle_no", "driver_no", "inforce_mm")).write.parquet(source)
+    out = inc.run_flag_stream(spark, source, target, files_per_batch=1)
+    assert keyed(out) == keyed(policy_month_changes(panel))
+
+
+def test_split_month_is_one_month(spark, panel_of, tmp_path):
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    both = (("01", "01"), ("02", "01"))
+    for rows in (month(2018, 1, *both), month(2018, 2, both[0]), month(2018, 2, both[1])):
+        panel_of(rows).coalesce(1).write.mode("append").parquet(source)
+        out = inc.run_flag_stream(spark, source, target)
+    assert keyed(out) == [("p", 2018, 1, 0, 0, False), ("p", 2018, 2, 0, 0, False)]
+
+
+def test_late_month_updates_its_own_and_the_next_flag(spark, panel_of, tmp_path):
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    for rows in (month(2018, 1, ("01", "01")) + month(2018, 3, ("01", "01")), month(2018, 2, ("02", "01"))):
+        panel_of(rows).coalesce(1).write.mode("append").parquet(source)
+        out = inc.run_flag_stream(spark, source, target)
+    assert keyed(out) == [("p", 2018, 1, 0, 0, False), ("p", 2018, 2, 1, 1, True), ("p", 2018, 3, 1, 1, True)]
+
+
+def test_state_holds_changed_policies_only(spark, panel_of, tmp_path):
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    first = [{**r, "policy": p} for p in ("p", "q") for r in month(2018, 1, ("01", "01"))]
+    panel_of(first).coalesce(1).write.mode("append").parquet(source)
+    inc.run_flag_stream(spark, source, target)
+    panel_of(month(2018, 1, ("01", "01")) + month(2018, 2, ("01", "01"))).coalesce(1).write.mode("append").parquet(source)
     inc.run_flag_stream(spark, source, target)
-    panel_of(month(2018, 2, ("02", "01")) + month(2018, 4, ("01", "01"))).coalesce(1) \
-        .write.mode("append").parquet(source)
-    out = inc.run_flag_stream(spark, source, target)
-    assert keyed(out) == [("p", 2018, 3, 0, 0, False), ("p", 2018, 4, 0, 0, False)]
-    assert spark.read.parquet(f"{target}/late").select("inforce_mm").collect()[0][0] == 2
+    last = spark.read.parquet(f"{target}/state/batch=1").collect()
+    assert [(r.policy, r.inforce_mm) for r in last] == [("p", 2)]
+    assert {r.policy for r in spark.read.parquet(f"{target}/flags/batch=1").collect()} == {"p"}

@@ -487,7 +487,7 @@ v AS (SELECT family_id, vehicle_no, row_number() OVER (PARTITION BY family_id OR
     AS vs, count(*) OVER (PARTITION BY family_id) AS nv FROM fx_vehicles),
 n AS (SELECT family_id, max(nv) AS nv, max(nd) AS nd FROM d JOIN v USING (family_id) GROUP BY family_id)
 """
-NUMBER = "'ASS' || lpad(CAST({} AS VARCHAR), CAST(greatest(length(CAST({} AS VARCHAR)), 8) AS INTEGER), '0')"
+NUMBER = "'ASS' || lpad(CAST({0} AS VARCHAR), CAST(greatest(length(CAST({0} AS VARCHAR)), 8) AS INTEGER), '0')"
 
 
 @query("assign_initial", f"""

@@ -86,15 +86,17 @@ def tilts(sizes: DataFrame, per: DataFrame, cap: float) -> DataFrame:
             F.coalesce(lo, F.col("lo")).alias("lo"), F.coalesce(hi, F.col("hi")).alias("hi")), "tilts")
         if state.where(~F.col("done")).isEmpty():
             break
-    return state.select("sid", "mean", "lam")
+    # Sums of doubles hang on the order of rows in their last digits; the rest of the mix must not.
+    return state.select("sid", "mean", F.round("lam", 10).alias("lam"))
 
 
-def _edges(docs: DataFrame, need: DataFrame, name: str) -> DataFrame:
+def _edges(docs: DataFrame, need: DataFrame, cap: int) -> DataFrame:
     """(sid, edge): the words of documents with mark < edge come nearest to what is needed.
 
     docs: (sid, size, mark); need: (sid, need).
     """
-    state = written(need.select("sid", "need", F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi")), name)
+    name = "edges"
+    state = written(need.select("sid", "need", F.lit(-float(cap)).alias("lo"), F.lit(float(cap)).alias("hi")), name)
     for level in range(LEVELS):
         width = (F.col("hi") - F.col("lo")) / STEPS
         step = F.floor((F.col("mark") - F.col("lo")) / width)
@@ -142,33 +144,30 @@ def _mixed(df: DataFrame, key: str, text: str, source: str, weights: tuple[float
             .when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0))
     # A number in [0, 1) that hangs on the row alone.
     chance = F.shiftrightunsigned(F.xxhash64("key", "source", "size"), 11) / F.lit(float(1 << 53))
+    # Copy j of a document is taken where its mark, chance - rate + j, is below an edge. At edge 0 these are
+    # rate copies on average; moving the edge takes anything from no copy of the source to all.
     rated = (known(sized).join(tilt, "sid", "left").withColumn("rate", rate)
-             .withColumn("whole", F.floor("rate"))
-             # Below zero where the chance falls in the fraction.
-             .withColumn("mark", F.when((F.col("whole") < cap) & F.col("lam").isNotNull() & (F.col("size") > 0),
-                                        chance - (F.col("rate") - F.col("whole")))))
-    base = rated.groupBy("sid").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
-    need = written(per.join(base, "sid").select("sid", (F.col("target") - F.col("base")).alias("need")), "need")
-    marked = rated.where(F.col("mark").isNotNull()).select("sid", "size", "mark")
+             .withColumn("tilted", F.col("lam").isNotNull() & (F.col("size") > 0)).withColumn("mark", chance - F.col("rate")))
+    marked = (rated.where("tilted").select("sid", "size", "mark", F.explode(F.array(*[F.lit(j) for j in range(cap)])).alias("j"))
+              .select("sid", "size", (F.col("mark") + F.col("j")).alias("mark")))
+    coarse = _edges(marked, per.select("sid", F.col("target").alias("need")), cap).withColumnRenamed("edge", "coarse")
     # One document can stand between the sum and the target. Documents no larger than what is
     # missing (or too much) are then decided anew by an edge of their own.
-    coarse = _edges(marked, need, "edges")
     words = lambda cond: F.sum(F.when(cond, F.col("size")).otherwise(0))
     taken = F.col("mark") < F.col("coarse")
-    coarse = coarse.withColumnRenamed("edge", "coarse")
-    missing = written(need.join(marked.join(coarse, "sid").groupBy("sid").agg(words(taken).alias("got")), "sid")
-                      .join(coarse, "sid")
-                      .select("sid", "need", "coarse", F.abs(F.col("need") - F.col("got")).alias("gap")), "gaps")
+    missing = written(marked.join(coarse, "sid").groupBy("sid", "coarse").agg(words(taken).alias("got"))
+                      .join(per.select("sid", "target"), "sid")
+                      .select("sid", "coarse", "target", F.abs(F.col("target") - F.col("got")).alias("gap")), "gaps")
     small = F.col("size") <= F.col("gap")
-    left = (marked.join(missing, "sid").groupBy("sid", "need", "coarse", "gap")
-            .agg(words(taken & ~small).alias("large"))
-            .select("sid", "coarse", "gap", (F.col("need") - F.col("large")).alias("need")))
-    left = written(left, "left")
-    fine = _edges(marked.join(left.select("sid", "gap"), "sid").where(small), left, "edges")
+    left = written(marked.join(missing, "sid").groupBy("sid", "target", "coarse", "gap")
+                   .agg(words(taken & ~small).alias("large"))
+                   .select("sid", "coarse", "gap", (F.col("target") - F.col("large")).alias("need")), "left")
+    fine = _edges(marked.join(left.select("sid", "gap"), "sid").where(small), left, cap)
     edges = written(left.join(fine, "sid").select("sid", "gap", "coarse", "edge"), "edges")
-    extra = F.col("mark") < F.when(small, F.col("edge")).otherwise(F.col("coarse"))
+    edge = F.when(small, F.col("edge")).otherwise(F.col("coarse"))
+    copies = sum((F.col("mark") + j < edge).cast("long") for j in range(cap))
     out = rated.join(edges, "sid", "left").withColumn(
-        "copies", F.col("whole") + F.coalesce(extra.cast("long"), F.lit(0)))
+        "copies", F.when(F.col("tilted"), copies).otherwise(F.when(F.col("target") > 0, F.lit(cap)).otherwise(0)).cast("long"))
     return out.select("key", "source", "size", "source_size", "target", "rate", "copies",
                       *[f"k{i}" for i in range(len(keep))])
 

@@ -73,7 +73,7 @@ def exact_median(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v"))
                       for c in columns])
     counted = (df.select(F.explode(pairs).alias("p")).select("p.*")
-               .where(F.col("v").isNotNull())
+               .where(~F.isnan("v") & (F.abs("v") < float("inf")))  # null, NaN, infinite: no value
                .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
                .withColumn("b", _log_bucket(F.col("v"))))
     per_bucket = counted.groupBy("column_name", "b").agg(F.sum("n").alias("n"))

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from monthmark.schema import MASTERS, PANEL
 
 
+def _amount(c: Column, kind: T.DataType) -> Column:
+    """NaN and infinity are no amounts: null, like any unreadable value."""
+    if not isinstance(kind, T.DoubleType | T.FloatType):
+        return c
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
 def _typed(df: DataFrame, schema: T.StructType, extra: dict[str, T.DataType]) -> DataFrame:
     """Columns by name with the schema's types; unreadable values and absent columns are null."""
     known = {c.lower(): c for c in df.columns}
@@ -23,7 +30,7 @@ def _typed(df: DataFrame, schema: T.StructType, extra: dict[str, T.DataType]) ->
         if isinstance(f.dataType, T.DateType):
             c = F.try_to_date(c, "yyyy-MM-dd")
         elif not isinstance(f.dataType, T.StringType):
-            c = c.try_cast(f.dataType)
+            c = _amount(c.try_cast(f.dataType), f.dataType)
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -42,7 +49,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
         df = spark.read.parquet(path)
         fields = list(schema) + [T.StructField(n, t) for n, t in extra.items() if n in df.columns]
         return df.select(*[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType)
+            _amount((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType), f.dataType)
             .alias(f.name) for f in fields])
     raise ValueError(f"unknown format: {fmt}")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from monthmark.functions import columns as col
 from monthmark.functions import ranking
+from monthmark.functions.skew import salted_join
 from monthmark.operators import rating as rt
 from monthmark.params import Params, factor_table, params_from_dict
 from monthmark.schema import POLICIES
@@ -23,6 +24,58 @@ def test_half_up(spark):
         2.68, 10.13, 1.01, 0.0, 1736.44, -2.68, 99.99]
 
 
+def test_rounding_is_decimal(spark):
+    values = [2.3749999999, 0.0049999995, 1234567.8949999, 0.1 * 3 * 0.35 * 100, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(col.half_up("x")).collect()] == [2.37, 0.0, 1234567.89, 10.5, None, None, None]
+
+
+def test_money_skips_what_is_no_amount(spark):
+    df = spark.createDataFrame([(1.25,), (float("nan"),), (float("-inf"),), (None,), (2.75,)], "x double")
+    got = df.agg(col.money_sum("x").alias("s"), col.money_mean("x").alias("m")).first()
+    assert (got.s, got.m) == (4.0, 2.0)
+    assert ranking.exact_median(df, ["x"]).first()["median"] == 2.0
+
+
+def test_numbers_are_never_cut(spark):
+    df = spark.createDataFrame([(7,), (100000,), (1000007,), (None,)], "n long")
+    assert [r[0] for r in df.select(col.padded("n", 6)).collect()] == ["000007", "100000", "1000007", None]
+
+
+def test_steps_beyond_any_age(spark):
+    df = spark.createDataFrame([(a,) for a in (10, 16, 199, 200, 250)], "a int")
+    steps = {16: 2.5, 200: 9.0}
+    joined = rt.join_step_factor(df, factor_table(spark, steps, "age", "int"), "a", "f").collect()
+    want = {r.a: r.f for r in df.select("a", col.step_factor("a", steps).alias("f")).collect()}
+    assert {r.a: r.f for r in joined} == want and want[250] == 9.0
+
+
+def test_salted_join(spark):
+    many = spark.createDataFrame([("hot", i) for i in range(4000)] + [("x", 1), (None, 2)], "k string, i long")
+    few = spark.createDataFrame([("hot", "h"), ("x", "y"), ("z", "z")], "k string, v string")
+    got = salted_join(many, few, ["k"], ["i"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, many.join(few, "k").collect()))
+    parts = many.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(16))).where("k = 'hot'").groupBy("s").count()
+    assert max(r["count"] for r in parts.collect()) < 4000 / 8
+
+
+def test_large_numbers_keep_families_apart(spark):
+    from monthmark.plans.fixtures import Tables
+
+    orders = spark.createDataFrame([(1, 100000, date(1998, 1, 5)), (2, 1000007, date(1998, 1, 6))],
+                                   "o_orderkey long, o_custkey long, o_orderdate date")
+    lines = spark.createDataFrame([(1, 1, 1, 1, 5.0, 10.0, "R"), (2, 1, 1, 1, 5.0, 10.0, "R")],
+                                  "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                                  "l_extendedprice double, l_returnflag string")
+    part = spark.createDataFrame([(1, "SMALL", 3)], "p_partkey long, p_type string, p_size int")
+    supplier = spark.createDataFrame([(1, "s")], "s_suppkey long, s_name string")
+    given = {"orders": orders, "lineitem": lines, "part": part, "supplier": supplier}
+    t = Tables(spark, "/nowhere")
+    t.read = given.__getitem__
+    rows = t._base().select("family_id", "policy").collect()
+    assert {(r.family_id, r.policy) for r in rows} == {("FAM100000", "00100000"), ("FAM1000007", "01000007")}
+
+
 def test_step_factor_forms_agree(spark):
     ages = [None, 0, 15, 16, 24, 29, 63, 64, 65, 85, 99, 149, 150, 400]
     df = spark.createDataFrame([(a,) for a in ages], "driver_age int")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthmark.functions.columns import index_month, index_year, period
+from monthmark.functions.columns import month_index, period
+from monthmark.functions.ranking import bucketed_rank
 from monthmark.operators.aggregates import MONTH
 
 KEYS = ["policy", *MONTH]
+ROW_ORDER = [*MONTH, "vehicle_no", "driver_no"]
 
 
 def in_period_range(df: DataFrame, first: int, last: int) -> DataFrame:
@@ -27,6 +29,15 @@ def policy_month(df: DataFrame, policy: str, year: int, month: int) -> DataFrame
                     & (F.col("inforce_mm") == month))
 
 
+def policy_timeline(df: DataFrame) -> DataFrame:
+    """Rows of each policy in order of month, vehicle and driver, with their 0-based position.
+
+    Ranked a month at a time, so a policy's rows meet in one task only within a month.
+    """
+    rows = df.select("policy", *ROW_ORDER)
+    return bucketed_rank(rows, ["policy"], [F.col(c) for c in ROW_ORDER], month_index(), "position")
+
+
 def month_pair(df: DataFrame, year: int, month: int, policy: str | None = None) -> DataFrame:
     """Rows of a month and of the calendar month before it (December before January)."""
     index = year * 12 + month - 1

@@ -97,14 +97,21 @@ def params_from_dict(conf: dict) -> Params:
     )
 
 
-def load_params(path: str) -> Params:
-    """Read Params from a YAML file; needs PyYAML."""
+def load_params(path: str, spark: SparkSession | None = None) -> Params:
+    """Read Params from a YAML file (JSON is YAML); needs PyYAML.
+
+    With a session Spark reads the path, which may then be in any store or be a folder of one file.
+    """
     try:
         import yaml
     except ImportError as exc:  # optional dependency
         raise RuntimeError("reading YAML parameters needs PyYAML") from exc
-    with open(path, encoding="utf-8") as handle:
-        return params_from_dict(yaml.safe_load(handle) or {})
+    if spark is not None:
+        text = spark.read.text(path, wholetext=True).first()[0]
+    else:
+        with open(path, encoding="utf-8") as handle:
+            text = handle.read()
+    return params_from_dict(yaml.safe_load(text) or {})
 
 
 def factor_table(spark: SparkSession, factors: dict, key: str, key_type: str) -> DataFrame:

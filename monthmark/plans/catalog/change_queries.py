@@ -143,9 +143,16 @@ def _(t):
 
 TIMELINE = """SELECT policy, inforce_yy, inforce_mm, count(*) OVER (PARTITION BY policy)
   AS change_months FROM ov_flags WHERE major_change"""
-for _name in ("chg_timeline", "sort_policy_timeline"):
-    query(_name, TIMELINE)(lambda t: ch.change_timeline(_changed(t)).orderBy(
-        "policy", "inforce_yy", "inforce_mm"))
+@query("chg_timeline", TIMELINE)
+def _(t):
+    return ch.change_timeline(_changed(t)).orderBy("policy", "inforce_yy", "inforce_mm")
+
+
+@query("sort_policy_timeline", """
+SELECT policy, inforce_yy, inforce_mm, vehicle_no, driver_no, row_number() OVER (PARTITION BY policy
+  ORDER BY inforce_yy, inforce_mm, vehicle_no, driver_no) - 1 AS position FROM fx_panel""")
+def _(t):
+    return lookups.policy_timeline(t.panel)
 
 
 @query("chg_records", """

@@ -93,14 +93,11 @@ for _name in ("sink_panel_full_sort", "sort_global_panel"):
 
 
 @query("sink_partitioned_panel", """
-SELECT policy, vehicle_vin, inforce_yy, inforce_mm FROM fx_panel
-WHERE inforce_yy * 100 + inforce_mm BETWEEN 199803 AND 199902""")
+SELECT policy, vehicle_vin, inforce_yy, inforce_mm, premium_paid FROM fx_panel""")
 def _(t):
-    from monthmark.operators.lookups import in_period_range
     path = writers.write_partitioned_panel(t.panel, scratch_path(t.spark, "by_month"))
-    panel = readers.scan_panel(t.spark, path, "parquet")
-    return in_period_range(panel, 199803, 199902).select("policy", "vehicle_vin", "inforce_yy",
-                                                         "inforce_mm")
+    return readers.scan_panel(t.spark, path, "parquet").select(
+        "policy", "vehicle_vin", "inforce_yy", "inforce_mm", "premium_paid")
 
 
 @query("sink_report_tables", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -14,12 +15,13 @@ from monthmark.operators import lifecycle, lookups
 from monthmark.operators import panel as pn
 from monthmark.operators import rating as rt
 from monthmark.operators import reconcile as rec
-from monthmark.params import factor_table
+from monthmark.params import factor_table, load_params
 from monthmark.plans.catalog.fragments import half_up as up
 from monthmark.plans.catalog.fragments import money_mean
 from monthmark.plans.fixtures import FIXTURE_PARAMS
 from monthmark.plans.oracle_views import view
 from monthmark.plans.registry import query
+from monthmark.sources.staging import scratch_path
 
 P = FIXTURE_PARAMS
 
@@ -239,8 +241,13 @@ def _(t):
 SELECT {TYPE_F} AS vehicle_factor, {case_steps('driver_age', P.age_factors)} AS age_factor,
   count(*) AS record_count FROM fx_panel GROUP BY 1, 2""")
 def _(t):
-    return t.panel.groupBy(named_factor("vehicle_type", P.vehicle_factors).alias("vehicle_factor"),
-                           step_factor("driver_age", P.age_factors).alias("age_factor")).agg(
+    path = scratch_path(t.spark, "params")
+    text = json.dumps({"policies": {"premium": {"calculation": {
+        "vehicle_type_factors": P.vehicle_factors, "driver_age_factors": P.age_factors}}}})
+    t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    p = load_params(path, t.spark)
+    return t.panel.groupBy(named_factor("vehicle_type", p.vehicle_factors).alias("vehicle_factor"),
+                           step_factor("driver_age", p.age_factors).alias("age_factor")).agg(
                                agg.rows())
 
 
@@ -629,13 +636,9 @@ def _compared(t):
     return rec.compare(_calculated(t), rec.inforce_latest(t.panel), P)
 
 
-@query("join_source_compare", COMPARED.format(
-    calc="(SELECT * FROM ov_calculated WHERE status = 'active')",
-    obs="(SELECT * FROM ov_latest WHERE latest_period < 200106)"))
+@query("join_source_compare", "SELECT * FROM ov_sources")
 def _(t):
-    # Both sides are cut by a condition of the data so that each has unmatched policies.
-    return rec.compare_sources(_calculated(t).where("status = 'active'"),
-                               rec.inforce_latest(t.panel).where("latest_period < 200106"))
+    return rec.compare_sources(_calculated(t), rec.inforce_latest(t.panel))
 
 
 @query("rec_compare", "SELECT * FROM ov_compared")

@@ -10,7 +10,7 @@ from monthmark.functions import columns as col
 from monthmark.functions import ranking
 from monthmark.functions.skew import salted_join
 from monthmark.operators import rating as rt
-from monthmark.params import Params, factor_table, params_from_dict
+from monthmark.params import Params, factor_table, load_params, params_from_dict
 from monthmark.schema import POLICIES
 from tests.test_panel import table
 
@@ -139,6 +139,13 @@ def test_bucketed_rank_and_lead(spark):
     assert {(r.k, r.nx) for r in led.collect()} == set(zip(ordered, [*ordered[1:], None]))
 
 
+def test_params_from_a_file(spark, tmp_path):
+    (tmp_path / "run.yaml").write_text("date_range:\n  start_date: 2019-02-01\npolicies:\n  premium:\n    base_amount: 1200\n"
+                                       "    calculation:\n      driver_age_factors: {16: 2.0, 200: 9.0}\n")
+    a, b = load_params(f"{tmp_path}/run.yaml"), load_params(f"{tmp_path}/run.yaml", spark)
+    assert a == b and (a.start, a.base_amount, a.age_factors) == (date(2019, 2, 1), 1200.0, {16: 2.0, 200: 9.0})
+
+
 def test_params_from_dict():
     p = params_from_dict({
         "date_range": {"start_date": "2019-01-01", "end_date": "2019-12-31"},

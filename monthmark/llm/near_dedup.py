@@ -10,10 +10,11 @@ each coordinate is kept. Coordinates of two documents agree with the probability
 documents throw few darts for each shingle: the work is the size of the text plus k log k.
 
 Documents with equal cells are one from then on. In each bucket of equal bands all members are
-compared with the smallest one only. Jaccard distance is a metric, so a member far from it can be
-linked to another member only if their distances to it differ by no more than the limit; such
-pairs in different components are compared as well. No link found in a bucket is lost, and
-groups of copies never become all their pairs.
+compared with one leader: the member that meets most others, over all bands, so the original of many
+copies leads them wherever it is. Members linked to their leader are one class already. Those that are not
+are compared with all members of that leader's buckets in blocks, by matrix products of their cells,
+which return a few links into a class and never pairs. No link between documents that share a bucket is
+lost, and groups of copies do not become all their pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from monthmark.llm.components import components
 #: Words of a shingle, bands and rows of the signature, similarity as a fraction.
 WIDTH, BANDS, ROWS, SIMILAR = 5, 24, 4, (4, 5)
 
-#: Entries of a worker's cache of word hashes. Bounds memory only.
-KEPT_ENTRIES = 600_000
+#: Entries of a worker's cache of word hashes; documents and cells of a block; columns multiplied at once.
+#: They bound memory only.
+KEPT_ENTRIES, BLOCK_DOCS, BLOCK_CELLS, COLUMNS = 600_000, 1024, 500_000, 2048
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDS: dict[bytes, int] = {}
@@ -140,10 +142,8 @@ def sketches(df: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, shared, total) for pairs (a, b): cells in common and in either of the two texts."""
-    ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = written(texts.join(ids, "key"), "compared")
-    both = (pairs.join(wanted.toDF("a", "ta"), "a").join(wanted.toDF("b", "tb"), "b")
+    """(a, b, shared, total) for pairs (a, b): cells in common and in either of the two texts (key, text)."""
+    both = (pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
             .select("a", "b", "ta", "tb"))
 
     def run(batches: Iterable) -> Iterator:
@@ -175,6 +175,106 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, shared long, total long")
 
 
+def _blocks_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row for each block of a leader's members: (leader, block, blocks, keys, near, ends, cells)."""
+    size = members.groupBy("leader").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_CELLS)).alias("blocks"))
+    placed = (members.join(written(size, "block-sizes"), "leader")
+              .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).join(texts, "key")
+              .select("leader", "block", "blocks", "key", "near", "text"))
+
+    def run(group, part):
+        import pyarrow as pa
+
+        sets = [np.unique(c) for c in _separate([t or "" for t in part["text"].to_pylist()])]
+        row = {"leader": group[0].as_py(), "block": group[1].as_py(), "blocks": part["blocks"][0].as_py(),
+               "keys": np.array(part["key"], np.int64).tobytes(), "near": np.array(part["near"], np.uint8).tobytes(),
+               "ends": np.cumsum([len(c) for c in sets]).astype(np.int64).tobytes(), "cells": np.concatenate(sets).tobytes()}
+        return pa.Table.from_pylist([row], pa.schema([(c, pa.int64()) for c in list(row)[:3]]
+                                                     + [(c, pa.binary()) for c in list(row)[3:]]))
+
+    return placed.groupBy("leader", "block").applyInArrow(
+        run, "leader long, block long, blocks long, keys binary, near binary, ends binary, cells binary")
+
+
+def _separate(texts: list[str]) -> list[np.ndarray]:
+    of, cell = cells_of([t.encode() for t in texts])
+    return np.split(cell, np.searchsorted(of, np.arange(1, len(texts))))
+
+
+def shared_cells(a: np.ndarray, a_of: np.ndarray, n: int, b: np.ndarray, b_of: np.ndarray, m: int) -> np.ndarray:
+    """How many cells each of n sets has in common with each of m sets."""
+    out = np.zeros((n, m), np.float32)  # whole numbers, exact up to 2**24
+    common = np.intersect1d(a, b)
+    for k in range(0, len(common), COLUMNS):
+        part = common[k:k + COLUMNS]
+        sides = []
+        for cells, of, rows in ((a, a_of, n), (b, b_of, m)):
+            at = np.minimum(np.searchsorted(part, cells), len(part) - 1)
+            hit = part[at] == cells
+            side = np.zeros((rows, len(part)), np.float32)
+            side[of[hit], at[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _tile_links(blocks: DataFrame, up: int, down: int) -> DataFrame:
+    """(a, b): for each document far from its leader a link into each class it is linked with in a tile."""
+    parts = ["keys", "near", "ends", "cells"]
+    left = blocks.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    right = blocks.select("leader", F.col("block").alias("other"), *[F.col(c).alias(f"o_{c}") for c in parts])
+    pairs = left.join(right, ["leader", "other"]).select(*parts, *[f"o_{c}" for c in parts])
+
+    def opened(keys, near, ends, cells):
+        ends = np.frombuffer(ends, np.int64)
+        size = np.diff(ends, prepend=0)
+        return (np.frombuffer(keys, np.int64), np.frombuffer(near, np.uint8).astype(bool), size,
+                np.frombuffer(cells, np.uint64), np.repeat(np.arange(len(ends)), size))
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in zip(*batch.columns):
+                raw = [x.as_py() for x in row]
+                ka, na, sa, ca, oa = opened(*raw[:4])
+                kb, nb, sb, cb, ob = opened(*raw[4:])
+                shared = shared_cells(ca, oa, len(ka), cb, ob, len(kb)).astype(np.int64)
+                linked = shared * down >= (sa[:, None] + sb - shared) * up
+                linked &= ~(na[:, None] & nb) & (ka[:, None] != kb)  # the near ones are one class already
+                found = []
+                for links, x, y, y_near in ((linked, ka, kb, nb), (linked.T, kb, ka, na)):
+                    # All near members share a class: one of them will do. Far ones each count.
+                    some = links[:, y_near]
+                    r = np.flatnonzero(some.any(axis=1))
+                    if len(r):
+                        found.append((x[r], y[y_near][some[r].argmax(axis=1)]))
+                both = linked & ~na[:, None] & ~nb
+                r, c = np.nonzero(both)
+                if len(r):
+                    label = _grouped(np.arange(len(ka) + len(kb)), r, c + len(ka))
+                    ids = np.concatenate([ka, kb])
+                    moved = np.flatnonzero(label != np.arange(len(ids)))
+                    found.append((ids[moved], ids[label[moved]]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _grouped(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest label of everything the links x-y connect."""
+    while True:
+        low = np.minimum(label[x], label[y])
+        before = label.copy()
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS,
                     rows: int = ROWS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(key, class_id, n_cells, kept) for each row: the smallest key linked with it, directly or not.
@@ -195,32 +295,32 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", band
                      .select("key", "rep").distinct(), "members")
     reps = real.select("key", "bands").join(first.select(F.col("rep").alias("key")), "key").dropDuplicates(["key"])
     banded = written(reps.select("key", F.posexplode("bands").alias("band", "hash")), "bands")
-    buckets = written(banded.groupBy("band", "hash").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n"))
-                      .where("n > 1").drop("n"), "buckets")
-    inside = written(banded.join(buckets, ["band", "hash"]).where(F.col("key") != F.col("leader")), "inside")
-    stars = inside.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    compared = written(overlaps(stars, texts), "overlaps")
+    # Buckets with one member link nothing.
+    sizes = written(banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    inside = written(banded.join(sizes, ["band", "hash"]), "inside")
+    meets = written(inside.groupBy("key").agg(F.sum("n").alias("meets")), "meets")
+    rank = F.max(F.struct("meets", (-F.col("key")).alias("k")))
+    leaders = written(inside.select("band", "hash", "key").join(meets, "key").groupBy("band", "hash")
+                      .agg((-rank["k"]).alias("leader")), "leaders")
+    led = written(inside.select("band", "hash", "key").join(leaders, ["band", "hash"])
+                  .where(F.col("key") != F.col("leader")).select("leader", "key").distinct(), "led")
+    # Texts of the members of some bucket. All sizes take the same way: texts meet ids in a shuffle.
+    ids = led.select("key").union(led.select("leader")).distinct().hint("merge")
+    wanted = written(texts.join(ids, "key").dropDuplicates(["key"]), "compared")
+    compared = written(overlaps(led.toDF("a", "b"), wanted), "overlaps")
     linked = F.col("shared") * down >= F.col("total") * up
     links = compared.where(linked).select("a", "b")
-    far = compared.where(~linked)
-    if not far.isEmpty():
-        groups = written(components(links.unionByName(member.toDF("a", "b"))), "groups")
-        distance = (1 - F.col("shared") / F.col("total")).alias("d")
-        placed = (inside.withColumnRenamed("leader", "a").withColumnRenamed("key", "b")
-                  .join(compared, ["a", "b"]).select("band", "hash", "b", distance, linked.alias("near"))
-                  .join(groups.toDF("b", "group"), "b", "left")
-                  .withColumn("group", F.coalesce("group", "b")))
-        placed = written(placed, "placed")
-        away = placed.where(~F.col("near")).select("band", "hash", F.col("b").alias("x"), F.col("d").alias("dx"),
-                                                   F.col("group").alias("gx"))
-        reach = float(1 - up / down) + 1e-9
-        more = (away.join(placed, ["band", "hash"])
-                .where((F.col("group") != F.col("gx")) & (F.abs(F.col("d") - F.col("dx")) <= reach)
-                       & (F.col("near") | (F.col("x") < F.col("b"))))
-                .select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct())
-        more = written(more, "further")
-        if not more.isEmpty():
-            links = links.unionByName(written(overlaps(more, texts), "overlaps").where(linked).select("a", "b"))
+    # Leaders with a member that is not linked to them.
+    open_leaders = written(compared.where(~linked).groupBy(F.col("a").alias("leader")).agg(
+        F.count(F.lit(1)).alias("far")), "open-leaders")
+    cells = real.groupBy("key").agg(F.max("n").alias("n"))
+    members = (compared.select(F.col("a").alias("leader"), F.col("b").alias("key"), linked.alias("near"))
+               .join(open_leaders, "leader").join(cells, "key").select("leader", "key", "near", "n"))
+    # A leader with a single far member and no other has nothing more to compare.
+    members = members.join(written(members.groupBy("leader").agg(F.count(F.lit(1)).alias("all")), "led-sizes")
+                           .where("all > 1"), "leader").drop("all")
+    blocks = written(_blocks_of(written(members, "far-groups"), wanted), "far-blocks")
+    links = links.unionByName(written(_tile_links(blocks, up, down), "far-links"))
     classes = components(links.unionByName(member.toDF("a", "b")))
     classes = written(classes.toDF("key", "class_id"), "classes")
     out = (sketch.select("key", "n").join(classes, "key", "left")

@@ -10,9 +10,17 @@ from monthmark.functions.columns import as_col
 PREFIX = 6
 
 
-def prefix_bucket(key: str | Column, length: int = PREFIX) -> Column:
-    """A fixed-length prefix: buckets sort the same way as the whole strings."""
-    return F.coalesce(F.substring(as_col(key), 1, length), F.lit(""))
+def prefix_bucket(df: DataFrame, key: str, length: int = PREFIX) -> Column:
+    """A prefix of the keys of df: buckets sort the same way as the whole strings.
+
+    All keys share what the smallest and the largest have in common, so the prefix is `length`
+    characters longer than that: keys such as POL-2024-000001 spread as well as bare numbers.
+    """
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("z"))
+    upto = F.sequence(F.lit(0), F.least(F.length("a"), F.length("z")))
+    shared = F.array_max(F.filter(upto, lambda n: F.left("a", n) == F.left("z", n)))
+    common = ends.select(F.coalesce(shared, F.lit(0)).alias("n")).scalar()
+    return F.coalesce(F.left(F.col(key), common + length), F.lit(""))
 
 
 def bucketed_rank(df: DataFrame, group: list[str], order: list[Column], bucket: Column,
@@ -44,8 +52,8 @@ def bucketed_lead(df: DataFrame, key: str, out: str, length: int = PREFIX) -> Da
     Inside a prefix bucket this is a window; the last key of a bucket takes the first key
     of the next bucket, from a table with one row per prefix.
     """
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct() \
-        .withColumn("_bucket", prefix_bucket(key, length))
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    keys = keys.withColumn("_bucket", prefix_bucket(keys, key, length))
     # One row per prefix: this window's single task is bounded by the prefix alphabet.
     heads = keys.groupBy("_bucket").agg(F.min(key).alias("_head")).select(
         "_bucket", F.lead("_head").over(Window.orderBy("_bucket")).alias("_next_head"))

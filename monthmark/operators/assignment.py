@@ -27,7 +27,7 @@ def _sizes(vehicles: DataFrame, drivers: DataFrame) -> DataFrame:
 
 def _vehicle_slots(vehicles: DataFrame) -> DataFrame:
     return bucketed_rank(vehicles.select("family_id", "vehicle_no"), ["family_id"],
-                         [F.col("vehicle_no")], prefix_bucket("vehicle_no"), "v_slot")
+                         [F.col("vehicle_no")], prefix_bucket(vehicles, "vehicle_no"), "v_slot")
 
 
 def _teen(params: Params, age: str = "age") -> Column:
@@ -53,7 +53,7 @@ def initial_assignments(vehicles: DataFrame, drivers: DataFrame, params: Params)
     order_key = F.concat(F.when(F.col("driver_type") == "adult", "0").otherwise("1"), "driver_no")
     people = drivers.where(F.col("driver_type").isin("adult", "teen")).select(
         "family_id", "driver_no", "age", order_key.alias("_order"))
-    d = bucketed_rank(people, ["family_id"], [F.col("_order")], prefix_bucket("_order"), "d_slot")
+    d = bucketed_rank(people, ["family_id"], [F.col("_order")], prefix_bucket(people, "_order"), "d_slot")
     sizes = _sizes(vehicles, people)
     d = salted_join(d, sizes, ["family_id"], ["driver_no"])
     v = salted_join(_vehicle_slots(vehicles), sizes, ["family_id"], ["vehicle_no"])
@@ -70,7 +70,7 @@ def initial_assignments(vehicles: DataFrame, drivers: DataFrame, params: Params)
         .otherwise(F.try_mod(F.col("d_slot") - F.col("vehicles"), F.col("vehicles")))
         .alias("v_slot"))
     # The position among a family's young secondaries numbers their assignments.
-    extra = bucketed_rank(extra, ["family_id"], [F.col("_order")], prefix_bucket("_order"),
+    extra = bucketed_rank(extra, ["family_id"], [F.col("_order")], prefix_bucket(people, "_order"),
                           "_position")
     seconds = extra.join(_vehicle_slots(vehicles), ["family_id", "v_slot"], "left").select(
         "family_id",
@@ -108,7 +108,7 @@ def reassign(vehicles: DataFrame, drivers: DataFrame, params: Params, on: date)
     people = drivers.where(F.col("status") == "active").select("family_id", "driver_no", "age")
     d = bucketed_rank(people, ["family_id"], [F.col("age"), F.col("driver_no")],
                       F.concat(padded(F.coalesce("age", F.lit(0)), 10),
-                               prefix_bucket("driver_no")), "d_slot")
+                               prefix_bucket(people, "driver_no")), "d_slot")
     sizes = _sizes(v, people).where("vehicles > 0 AND drivers > 0")
     v = salted_join(v, sizes, ["family_id"], ["vehicle_no"])
     more = F.col("drivers") > F.col("vehicles")

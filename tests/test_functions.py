@@ -127,7 +127,7 @@ def test_bucketed_rank_and_lead(spark):
     rng = random.Random(2)
     keys = [(rng.choice("ab"), f"{rng.randint(0, 10 ** 9):09d}") for _ in range(3000)]
     df = spark.createDataFrame(keys, "g string, k string").distinct()
-    out = ranking.bucketed_rank(df, ["g"], [F.col("k")], ranking.prefix_bucket("k", 2), "r",
+    out = ranking.bucketed_rank(df, ["g"], [F.col("k")], ranking.prefix_bucket(df, "k", 2), "r",
                                 "n").collect()
     for g in "ab":
         mine = sorted({k for h, k in keys if h == g})
@@ -139,6 +139,15 @@ def test_bucketed_rank_and_lead(spark):
     assert {(r.k, r.nx) for r in led.collect()} == set(zip(ordered, [*ordered[1:], None]))
 
 
+def test_keys_with_a_long_common_prefix_spread(spark):
+    keys = [f"POLICY-NUMBER-OF-2024-{i:06d}" for i in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k string")
+    buckets = df.select(ranking.prefix_bucket(df, "k", 2).alias("b")).groupBy("b").count().collect()
+    assert len(buckets) > 20 and max(r["count"] for r in buckets) <= 1000
+    led = {r.k: r.nx for r in ranking.bucketed_lead(df, "k", "nx").collect()}
+    assert led == dict(zip(keys, [*keys[1:], None]))
+
+
 def test_params_from_a_file(spark, tmp_path):
     (tmp_path / "run.yaml").write_text("date_range:\n  start_date: 2019-02-01\npolicies:\n  premium:\n    base_amount: 1200\n"
                                        "    calculation:\n      driver_age_factors: {16: 2.0, 200: 9.0}\n")

@@ -161,16 +161,26 @@ def _landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
     return list(chosen)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared hinge loss by Newton steps on the rows inside the margin; the last value is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.eye(len(w))
+def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Squared hinge loss on some rows of x, by Newton steps over those inside the margin.
+
+    The last value is the bias. Rows are taken a few thousand at a time, so nothing is copied whole.
+    """
+    n = x.shape[1]
+    w = np.zeros(n + 1)
+    penalty = np.eye(n + 1)
     penalty[-1, -1] = 1e-6
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        part, c = x[inside], SVM_C * weight[inside]
-        new = np.linalg.solve(penalty + (part.T * c) @ part, part.T @ (c * y[inside]))
+        gram, pull = penalty.copy(), np.zeros(n + 1)
+        for a in range(0, len(rows), 4096):
+            part = np.ones((min(4096, len(rows) - a), n + 1))
+            part[:, :n] = x[rows[a:a + 4096]]
+            tag, c = y[a:a + 4096], SVM_C * weight[a:a + 4096]
+            inside = tag * (part @ w) < 1
+            part, tag, c = part[inside], tag[inside], c[inside]
+            gram += (part.T * c) @ part
+            pull += part.T @ (c * tag)
+        new = np.linalg.solve(gram, pull)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -230,16 +240,19 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mode
     lengths = np.array([len(s) for s in flat])
     members = np.array([number[w] for s in flat for w in s])
     starts = np.cumsum(lengths) - lengths
-    x = np.vstack([np.add.reduceat(mapped[members[starts[a]:starts[b - 1] + lengths[b - 1]]], starts[a:b] - starts[a], axis=0)
-                   for a in range(0, len(flat), 20_000) for b in (min(len(flat), a + 20_000),)])
+    x = np.empty((len(flat), mapped.shape[1]), np.float32)
+    for a in range(0, len(flat), 1000):
+        b = min(len(flat), a + 1000)
+        x[a:b] = np.add.reduceat(mapped[members[starts[a]:starts[b - 1] + lengths[b - 1]]], starts[a:b] - starts[a], axis=0)
+    del mapped
     bad = tags[of]
     positive = bad.copy()
     for _ in range(ROUNDS):
-        used = positive | ~bad
-        y = np.where(positive, 1.0, -1.0)[used]
+        rows = np.flatnonzero(positive | ~bad)
+        y = np.where(positive, 1.0, -1.0)[rows]
         balance = np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()), 1.0)
-        w = _svm(x[used].astype(np.float64), y, np.sqrt(balance))
-        score = x @ w[:-1] + w[-1]
+        w = _svm(x, rows, y, np.sqrt(balance))
+        score = x @ w[:-1].astype(np.float32) + w[-1]
         best = np.full(len(docs), -np.inf)
         np.maximum.at(best, of, score)
         positive = bad & (score >= best[of])

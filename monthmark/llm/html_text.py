@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthmark.llm.common import by_bytes, quoted
+from monthmark.llm.common import by_bytes, quoted, written
 
 #: Parts into which the tasks of one host are dealt in the first round of merging.
 SALTS = 32
@@ -374,6 +374,9 @@ def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", html: st
     chosen = df.select(F.col(quoted(key)).alias("_key"), F.col(quoted(url)).alias("_url"),
                        F.col(quoted(html)).alias("_html"), host_of(F.col(quoted(url))).alias("_host"))
     rules = wrappers(chosen.select("_host", "_html")).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    # Stored, its size is known before the join is planned: small rules go to the pages, which then stay where
+    # they are, and beyond Spark's limit for that a hot host's pages are split.
+    rules = written(rules, "wrappers")
 
     def run(batches: Iterable) -> Iterator:
         for whole in batches:

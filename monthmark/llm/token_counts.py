@@ -60,6 +60,11 @@ class PrefixCounter:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" "))
                   for m in spec["model"]["merges"]]
         self.rank = {m: k for k, m in enumerate(merges)}
+        self.split: dict[str, tuple[str, str]] = {}
+        for m in merges:
+            self.split.setdefault(m[0] + m[1], m)
+        self.rank_of = {name: self.rank[m] for name, m in self.split.items()}
+        self.unmerged = len(merges) + 1
         self.longest = max(map(len, self.vocab))
         self.letters = byte_alphabet()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
@@ -78,30 +83,33 @@ class PrefixCounter:
                 by_length.setdefault(len(name), []).append((h, number))
         self.by_length = {n: (np.array([h for h, _ in x], np.uint64), np.array([k for _, k in x]))
                           for n, x in ((n, sorted(x)) for n, x in by_length.items())}
+        # Most substrings are no token: one bit for the top of each hash tells so at once.
+        self.maybe = np.zeros(1 << 20, bool)
+        for hashes, _ in self.by_length.values():
+            self.maybe[hashes >> np.uint64(44)] = True
         self.pair_keys, self.pair_ok = np.full(1, ~np.uint64(0)), np.zeros(1, bool)
         self.steps: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
 
-    def _merged(self, s: str) -> list[str]:
-        parts = list(s)
-        while len(parts) > 1:
-            best = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if best[0] == 1 << 60:
-                break
-            a, b = parts[best[1]], parts[best[1] + 1]
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
     def _fits(self, last: str, token: str) -> bool:
-        return self._merged(last + token) == ([last, token] if last else [token])
+        """Whether both tokens stay as they are side by side, `last` being "" at the start.
+
+        Merges are undone at the seam, the latest first. Had the two parts now touching been
+        a merge due before the one just undone, the seam would have closed then. Of equal
+        merges the left one is due first.
+        """
+        if not last:
+            return True
+        due = self.unmerged
+        while self.rank.get((last, token), self.unmerged) >= due:
+            a, b = self.rank_of.get(last, -1), self.rank_of.get(token, -1)
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                due, last = a, self.split[last][1]
+            else:
+                due, token = b + 1, self.split[token][0]
+        return False
 
     def piece(self, s: str) -> list[int]:
         """Token counts of all prefixes of one pre-token, given in byte letters."""
@@ -134,10 +142,9 @@ class PrefixCounter:
             new = np.unique(keys[~known])
             ok = [self._fits(self.names[(k >> 32) - 1] if k >> 32 else "", self.names[k & 0xFFFFFFFF])
                   for k in new.tolist()]
-            joined = np.concatenate([self.pair_keys, new])
-            order = np.argsort(joined)
-            self.pair_keys = joined[order]
-            self.pair_ok = np.concatenate([self.pair_ok, ok])[order]
+            place = np.searchsorted(self.pair_keys, new)
+            self.pair_keys = np.insert(self.pair_keys, place, new)
+            self.pair_ok = np.insert(self.pair_ok, place, ok)
             at = np.searchsorted(self.pair_keys, keys)
         return self.pair_ok[at]
 
@@ -164,9 +171,14 @@ class PrefixCounter:
                     continue
                 hashes, numbers = self.by_length[n]
                 wanted = at[i, open_rows] - at[i - n, open_rows] * power[n]
+                hit = np.flatnonzero(self.maybe[wanted >> np.uint64(44)])
+                if not len(hit):
+                    continue
+                wanted = wanted[hit]
                 place = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-                hit = np.flatnonzero(hashes[place] == wanted)
-                rows, token = open_rows[hit], numbers[place[hit]]
+                same = hashes[place] == wanted
+                hit, place = hit[same], place[same]
+                rows, token = open_rows[hit], numbers[place]
                 fits = self._pairs_fit(last[i - n, rows], token)
                 rows = rows[fits]
                 last[i, rows] = token[fits]
@@ -226,9 +238,12 @@ class PrefixCounter:
         if len(self.inner) > KEPT_ENTRIES:
             self.inner, self.steps = {}, {}
         inner = self.inner
-        self._keep({k for _, rest in cut for k in rest if k not in inner})
-        return [self._differences(first) + b"".join(map(inner.__getitem__, rest))
-                for first, rest in cut]
+        found = [list(map(inner.get, rest)) for _, rest in cut]
+        unknown = [i for i, f in enumerate(found) if None in f]
+        self._keep({k for i in unknown for k, f in zip(cut[i][1], found[i]) if f is None})
+        for i in unknown:
+            found[i] = map(inner.__getitem__, cut[i][1])
+        return [self._differences(first) + b"".join(f) for (first, _), f in zip(cut, found)]
 
     def _keep(self, keys: set[str]) -> None:
         steps, plain, new = self.steps, [], set()

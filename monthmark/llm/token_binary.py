@@ -30,7 +30,7 @@ from monthmark.sources.staging import scratch_path
 MAGIC, HEADER = b"RVB1", struct.Struct("<4sIQ")
 
 #: Ids after which a shard is closed, and entries of a worker's cache. They bound memory only.
-SHARD_IDS, KEPT_ENTRIES = 1 << 20, 500_000
+SHARD_IDS, KEPT_ENTRIES = 1 << 20, 900_000
 
 #: Lengths of the four values behind each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -92,34 +92,67 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        names = self.library.get_vocab(with_added_tokens=True)
+        #: Two bytes an id where the vocabulary allows it.
+        self.kind = np.dtype(id_kind(max(names.values()) + 1))
+        # Tokens that start with a space or a line feed, in byte letters.
+        self.opens = np.zeros(max(names.values()) + 1, bool)
+        for name, number in names.items():
+            self.opens[number] = name[0] in "\u0120\u010A"
+        self.first: dict[str, bytes] = {}
         self.kept: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian u32."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _start(self, text: str) -> bytes:
+        ids = self.first.get(text)
+        if ids is None:
+            ids = self._ids(text) if text else b""
+            if len(text) < 64:
+                self.first[text] = ids
+        return ids
+
+    def encode(self, texts: list[str], kind: np.dtype) -> list[bytes]:
+        """For each text its ids as little-endian numbers of `kind`."""
+        if kind != self.kind:
+            return [np.frombuffer(i, self.kind).astype(kind).tobytes() for i in self.encode(texts, self.kind)]
         cut = [pieces(t) for t in texts]
         if len(self.kept) > KEPT_ENTRIES:
-            self.kept = {}
+            self.kept, self.first = {}, {}
         kept = self.kept
-        new = list({k for _, rest in cut for k in rest if k not in kept})
-        for a in range(0, len(new), 20_000):
-            self._learn(new[a:a + 20_000])
-        return [(self._ids(first) if first else b"") + b"".join(map(kept.__getitem__, rest))
-                for first, rest in cut]
+        found = [list(map(kept.get, rest)) for _, rest in cut]
+        gaps = [(f, rest, [j for j, v in enumerate(f) if v is None])
+                for f, (_, rest) in zip(found, cut) if None in f]
+        self._learn(list({rest[j] for _, rest, at in gaps for j in at}))
+        for f, rest, at in gaps:
+            for j in at:
+                f[j] = kept[rest[j]]
+        return [self._start(first) + b"".join(f) for (first, _), f in zip(cut, found)]
 
     def _learn(self, keys: list[str]) -> None:
-        # Units open pieces, so all of them are encoded as one text and taken apart again.
-        texts = [unit(k) for k in keys]
-        whole = self.library.encode("".join(texts), add_special_tokens=False)
-        starts = np.cumsum([0, *map(len, texts)])
-        first = np.fromiter((a for a, _ in whole.offsets), np.int64, len(whole.ids))
-        cuts = (4 * np.searchsorted(first, starts)).tolist()
-        data = np.array(whole.ids, "<u4").tobytes()
-        for key, a, b in zip(keys, cuts, cuts[1:]):
-            self.kept[key] = data[a:b]
+        # Units open pieces, so many of them are encoded as one text and taken apart again.
+        plain, others = [], []
+        for k in keys:
+            (plain if k[1:].isprintable() and " " not in k else others).append(k)
+        for a in range(0, len(plain), 20_000):
+            part = plain[a:a + 20_000]
+            text = "".join(map(unit, part))
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            # Inside these units there is no white space: only their first token opens.
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(part):
+                others += part
+                continue
+            width, data = ids.itemsize, ids.tobytes()
+            ends = np.append(cuts, len(ids)) * width
+            self.kept.update((k, data[x:y]) for k, x, y in zip(part, ends.tolist(), ends[1:].tolist()))
+        for k in others:
+            self.kept[k] = self._ids(unit(k))
+
+
+def id_kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def encoder(path: str) -> UnitEncoder:
@@ -130,22 +163,35 @@ def encoder(path: str) -> UnitEncoder:
 
 
 def encode_ids(df: DataFrame, path: str, key: str, text: str, end_id: int) -> DataFrame:
-    """(key, ids): ids of the whole text and the end id, as little-endian u32."""
-    tail = struct.pack("<I", end_id)
+    """(key, tie, ids, width, counts): ids of the whole text and the end id, in `width` bytes each.
+
+    `tie` is a checksum of the ids. A task's last row holds only the counts of its ids.
+    """
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        schema = pa.schema([("key", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary()),
+                            ("width", pa.int32()), ("counts", pa.binary())])
         of = encoder(path)
+        # The end id has to fit as well.
+        kind = np.dtype(of.kind if end_id < 1 << 16 else "<u4")
+        tail = np.array([end_id], kind).tobytes()
+        total = np.zeros(max(len(of.opens), end_id + 1), np.int64)
         for whole in batches:
             for batch in by_bytes(whole, 1):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                ids = [i + tail for a, b in chunks(texts) for i in of.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())],
-                                                 ["key", "ids"])
+                ids = [i + tail for a, b in chunks(texts) for i in of.encode(texts[a:b], kind)]
+                total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(ids, pa.binary()),
+                     pa.array(np.full(n, kind.itemsize, np.int32)), pa.nulls(n, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_pydict({"key": [None], "tie": [None], "ids": [None], "width": [None],
+                                          "counts": [total.tobytes()]}, schema)
 
     chosen = df.select(F.col(quoted(key)).cast("long").alias("key"), F.col(quoted(text)).alias("text"))
-    return chosen.mapInArrow(run, "key long, ids binary")
+    return chosen.mapInArrow(run, "key long, tie long, ids binary, width int, counts binary")
 
 
 def ranks_of(encoded: DataFrame) -> np.ndarray:
@@ -154,17 +200,13 @@ def ranks_of(encoded: DataFrame) -> np.ndarray:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(0, np.int64)
-        for whole in batches:
-            for batch in by_bytes(whole, 0):
-                got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
-                if len(got) > len(total):
-                    got, total = total, got
-                total[:len(got)] += got
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
-
-    counts = (encoded.select("ids").mapInArrow(run, "id long, n long")
+        for batch in batches:
+            for row in batch.column(0):
+                total = np.frombuffer(row.as_py(), np.int64)
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+
+    counts = (encoded.select("counts").where(F.col("counts").isNotNull()).mapInArrow(run, "id long, n long")
               .groupBy("id").agg(F.sum("n").alias("n")))
     return np.array([r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()], np.int64)
 
@@ -174,7 +216,7 @@ def write_token_files(df: DataFrame, path: str, target: str, key: str = "doc_id"
     """Write shards and the table of ranks of a corpus below `target`.
 
     Null texts are documents with the end id only. Rows come in ascending key order, null keys
-    first; rows of one key are ordered by a hash of their ids, then the ids. Keys are whole
+    first; rows of one key are ordered by a checksum of their ids, then the ids. Keys are whole
     numbers. Other columns are not read.
     """
     spark = df.sparkSession
@@ -192,11 +234,11 @@ def write_token_files(df: DataFrame, path: str, target: str, key: str = "doc_id"
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         parts: list[bytes] = []
-        held = 0
+        held = width = 0
 
         def shard():
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            lengths = np.array([len(p) // width for p in parts], np.int64)
+            ids = np.frombuffer(b"".join(parts), f"<u{width}")
             payload = write_shard(keys, lengths, rank[ids])
             return pa.RecordBatch.from_pydict(
                 {"part": [part], "seq": [seq], "before": [before], "n_ids": [len(ids)],
@@ -205,10 +247,10 @@ def write_token_files(df: DataFrame, path: str, target: str, key: str = "doc_id"
                            ("n_ids", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            for k, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for k, ids, width in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 keys.append(k)
                 parts.append(ids.as_py())
-                held += len(parts[-1]) // 4
+                held += len(parts[-1]) // width
                 if held >= SHARD_IDS:
                     yield shard()
                     seq, before = seq + 1, before + held
@@ -216,8 +258,8 @@ def write_token_files(df: DataFrame, path: str, target: str, key: str = "doc_id"
         if keys:
             yield shard()
 
-    ordered = ["key", F.xxhash64("ids")]
-    (encoded.repartitionByRange(*ordered).sortWithinPartitions(*ordered, "ids")
+    rows = encoded.where(F.col("counts").isNull()).select("key", "ids", "width", "tie")
+    (rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "ids")
      .mapInArrow(run, "part int, seq int, before long, n_ids long, payload binary")
      .write.parquet(f"{target}/shards"))
 

@@ -2,8 +2,10 @@
 
 DataFrame functions only. A window can reach the wanted similarity only if it shares most of an
 item's shingles, so it holds one of any (1 - similarity) share of them plus one: the
-rarest in the corpus are taken as anchors, and only windows that lie where an anchor puts an item are looked
-at. Windows and items get 64-bit fingerprints, one vote of each word for each bit. Fingerprints are
+rarest in the corpus are taken as anchors, and only documents that hold one of an item are looked at.
+There the item's shingles are counted in all windows at once, whatever their order: each occurrence adds one
+where it enters a window and takes it back where it leaves. Windows
+that reach the similarity, and items, get 64-bit fingerprints, one vote of each word for each bit. Fingerprints are
 cut into RADIUS + 1 blocks: any two that differ in at most RADIUS bits have a block in common, so a
 join on blocks finds all of them. What is left is compared exactly, by weighted similarity
 of shingles (shared occurrences over all occurrences).
@@ -78,6 +80,8 @@ def benchmark_matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text
     """
     up, down = similar
     docs = df.select(F.col(quoted(key)).alias("doc"), _hashes(words(F.col(quoted(text)))).alias("h"))
+    # Rows that share a key may differ in text.
+    docs = docs.withColumn("row", F.xxhash64("h"))
     # Repeated items are told apart by their text.
     bench = (items.select(F.col(quoted(item)).alias("item"), words(F.col(quoted(item_text))).alias("w"))
              .where(F.size("w") > 0)
@@ -94,7 +98,7 @@ def benchmark_matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text
     found = None
     for w in widths:
         wanted = written(parts.where(F.col("width") == w).select("s").distinct(), "wanted")
-        hits = (docs.select("doc", F.size("h").alias("n"), F.posexplode(shingles(F.col("h"), w)).alias("p", "s"))
+        hits = (docs.select("doc", "row", F.size("h").alias("n"), F.posexplode(shingles(F.col("h"), w)).alias("p", "s"))
                 .join(wanted, "s").withColumn("width", F.lit(w)))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
@@ -102,32 +106,47 @@ def benchmark_matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text
             F.col(quoted(key)), *[F.lit(None).cast(t).alias(c) for c, t in (
                 (item, items.schema[item].dataType), ("start", "int"), ("n_words", "int"),
                 ("differing", "int"), ("similarity", "double"))])
-    found = written(found, "hits")
+    found = written(found.groupBy("doc", "row", "n", "width", "s").agg(F.array_sort(F.collect_set("p")).alias("at")), "hits")
 
     # The rarest shingles of each item, just so many that no match can miss all of them.
-    often = found.groupBy("width", "s").agg(F.count(F.lit(1)).alias("often"))
+    often = found.groupBy("width", "s").agg(F.sum(F.size("at")).alias("often"))
     own = Window.partitionBy("item", "copy")
     ranked = (parts.join(often, ["width", "s"], "left")
               .withColumn("often", F.coalesce("often", F.lit(0)))
               .withColumn("nth", F.row_number().over(own.orderBy("often", "s", "q")))
               .withColumn("all", F.count(F.lit(1)).over(own)))
     anchors = written(ranked.where(F.col("nth") <= F.col("all") - F.ceil(F.col("all") * up / down) + 1)
-                      .select("item", "copy", "size", "width", "q", "s"), "anchors")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("size")))
-    places = written(found.join(anchors, ["width", "s"])
-                     .select("doc", "item", "copy", "width", start.alias("start"), "size").distinct(), "windows")
+                      .select("item", "copy", "width", "s").distinct(), "anchors")
+    pairs = written(found.join(anchors, ["width", "s"]).select("doc", "row", "n", "item", "copy").distinct(), "pairs")
+
+    # Shared shingles of all windows of a pair: an occurrence counts from the first window that reaches it, or that
+    # has lost the one as many places before as the item holds the shingle, to the last that starts at it.
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    theirs = (parts.groupBy("item", "copy", "size", "width", "s").agg(F.count(F.lit(1)).cast("int").alias("ni"))
+              .withColumnsRenamed({"item": "i", "copy": "c"}))
+    spots = found.select(F.col("doc").alias("d"), F.col("row").alias("r"), F.col("width").alias("w"), F.col("s").alias("t"), "at")
+    m = F.least("size", "n") - F.col("width") + 1
+    step = lambda start, n: F.struct(start.alias("start"), F.lit(n).alias("step"))
+    enters = F.transform("at", lambda p, j: step(F.greatest(F.lit(0), p - F.col("m") + 1, F.get("at", j - F.col("ni")) + 1), 1))
+    pair = ["doc", "row", "item", "copy"]
+    steps = (pairs.join(theirs, same("item", "i") & (F.col("copy") == F.col("c")))
+             .join(spots, same("doc", "d") & (F.col("row") == F.col("r")) & (F.col("width") == F.col("w")) & (F.col("s") == F.col("t")))
+             .select(*pair, "size", "width", m.alias("m"), "at", "ni")
+             .select(*pair, "size", "width", "m", F.explode(F.concat(enters, F.transform("at", lambda p: step(p + 1, -1)))).alias("e"))
+             .groupBy(*pair, "size", "width", "m", F.col("e.start").alias("start")).agg(F.sum("e.step").alias("step")))
+    shared = F.sum("step").over(Window.partitionBy(*pair).orderBy("start"))
+    # A window that shares no more than the one before is no better than it.
+    places = written(steps.withColumn("shared", shared).where(
+        (F.col("step") > 0) & (F.col("shared") * down >= (F.col("m") + F.col("size") - F.col("width") + 1 - F.col("shared")) * up))
+        .select(*pair, "width", "start", "size"), "windows")
 
     # A document's words, cut to each of its windows.
-    ids = ["doc", "item", "copy", "start"]
-    cut = (places.withColumnRenamed("doc", "d").join(docs, F.col("d").eqNullSafe(F.col("doc")))
-           .where(F.col("start") < F.size("h"))
+    ids = [*pair, "start"]
+    cut = (places.withColumnsRenamed({"doc": "d", "row": "r"}).join(docs, same("d", "doc") & (F.col("r") == F.col("row")))
            .select(*ids, "width", F.slice("h", F.col("start") + 1, F.col("size")).alias("h")))
-    # Rows that share a key may differ in text.
-    cut = written(cut.withColumn("row", F.xxhash64("h")).dropDuplicates([*ids, "row"]), "cut")
-    ids.append("row")
+    cut = written(cut.dropDuplicates(ids), "cut")
     windows = fingerprints(cut, ids, "h")
     marks = written(fingerprints(bench.select("item", "copy", "h"), ["item", "copy"], "h"), "item-prints")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     left = windows.select(*ids, "print", _blocks(F.col("print")).alias("b")).select(*ids, "print", "b.*")
     right = (marks.select(F.col("item").alias("i"), F.col("copy").alias("c"), F.col("print").alias("other"),
                           _blocks(F.col("print")).alias("b")).select("i", "c", "other", "b.block", "b.value")

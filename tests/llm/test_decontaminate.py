@@ -56,6 +56,36 @@ def test_matches_equal_brute_force(spark):
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_reordered_copies_equal_brute_force(spark):
+    rows, items = [], []
+    for i in range(4):
+        w = [f"i{i}w{k}" for k in range(100 - i)]
+        if i == 3:
+            w[60:80] = w[10:30]  # a passage that the item holds twice
+        items.append((i, " ".join(w)))
+        lead, tail = prose(i, 80), prose(40 + i, 120)
+        moved = {"halves": w[50:] + w[:50], "thirds": w[66:] + w[33:66] + w[:33], "both": w[:5] + ["new"] * 2 + w[5:90] + w[92:],
+                 "shifted": ["new"] * 7 + w[:-7], "lost": w[20:] + w[:20][::-1], "twice": w[40:60] + w, "apart": w[:50] + ["far"] * 90 + w[50:],
+                 "repeated": (w[10:30] * 6)[:100], "short": w[45:90] + w[:45]}
+        for k, part in enumerate(moved.values()):
+            rows += [(100 * i + k, f"{lead} {' '.join(part)} {tail}"), (100 * i + 20 + k, " ".join(part)), (100 * i + 40 + k, " ".join(part) + " " + tail)]
+    rows += [(900, "y " * 90 + items[0][1]), (900, " ".join(items[0][1].split()[50:] + items[0][1].split()[:50]))]
+    got = {(r["doc_id"], r["item_id"]): r for r in benchmark_matches(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for k, t in rows:
+        for i, x in items:
+            if (s := best_window(t, x)) >= 0.8:
+                want[k, i] = max(s, want.get((k, i), 0))
+    assert (0, 0) in want and set(got) == set(want)
+    text = dict(rows[:-2])
+    for (k, i), r in got.items():
+        assert abs(r["similarity"] - want[k, i]) < 1e-12
+        if k in text:
+            w, n = text[k].split(), len(items[i][1].split())
+            first = next(s for s in range(max(1, len(w) - n + 1)) if best_window(" ".join(w[s:s + n]), items[i][1]) >= want[k, i] - 1e-12)
+            assert r["start"] == first and r["n_words"] == min(n, len(w))
+
+
 def test_empty(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert benchmark_matches(docs_of(spark, []), items).count() == 0

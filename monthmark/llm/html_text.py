@@ -252,10 +252,34 @@ def article_path(wrapper: list, pages: int) -> list[str]:
     found = [f for f in found if f[0] > 0]
     if not found:
         return []
-    top = max(f[0] for f in found)
-    # Of groups that hold nearly as much, the innermost that is no single kind of text.
-    near = [f for f in found if f[0] >= 0.9 * top and f[2][-1].split(".")[0] not in ("p", "li", "td", "tr", "h1", "h2", "h3")]
-    return max(near or found, key=lambda f: (f[1], f[0]) if f[0] >= 0.9 * top else (-1, f[0]))[2]
+    top, _, path = max(found, key=lambda f: (f[0], -f[1]))
+    # Inside it, the innermost group that holds nearly as much, is no single kind of text and leaves out no text but furniture
+    # and what is the same on all pages.
+    near = {tuple(f[2]) for f in found if f[0] >= 0.9 * top and f[2][-1].split(".")[0] not in ("p", "li", "td", "tr", "h1", "h2", "h3")}
+    groups, inside, now = wrapper, False, []
+    while groups:
+        filled = [g for g in groups if _own_text(g, pages, inside)]
+        if len(now) < len(path):
+            filled = [g for g in groups if g[0] == path[len(now)]]
+        if len(filled) != 1 or filled[0][0] == "#":
+            break
+        now, groups = [*now, filled[0][0]], filled[0][1]
+        inside = inside or now[-1].split(".")[0] in ("article", "main")
+        if len(now) > len(path) and tuple(now) in near:
+            path = now
+    return path
+
+
+def _own_text(group: list, pages: int, in_article: bool, always: bool = True) -> int:
+    """Characters outside furniture that are not the same on all pages; linked ones count."""
+    label, groups, _, optional, chars, _, text = group
+    always = always and not optional
+    if label == "#":
+        return 0 if text is not None and pages >= 3 and always and not in_article else chars
+    if is_furniture(label, in_article):
+        return 0
+    inside = in_article or label.split(".")[0] in ("article", "main")
+    return sum(_own_text(g, pages, inside, always) for g in groups)
 
 
 def text_of(blocks: list, path: list[str]) -> str:

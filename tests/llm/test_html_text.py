@@ -30,6 +30,23 @@ def test_article_wins_and_its_repeats_stay(spark):
     assert got[4]["text"] == "H4\nSame line.\nSame line.\nown 4"
 
 
+def test_nested_groups_keep_headline_lead_and_close(spark):
+    body = "".join(f"<p>Paragraph {{n}} {k} of the article, long enough to weigh much more than its headline.</p>" for k in range(6))
+    nested = "<body><div class='logo'>My site</div><div class='post'><h1>Title {n}</h1><div class='post-body'>" + body + "</div></div></body>"
+    equal = ("<body><div class='logo'>My site</div><div class='wrap'><h1><a href='/'>Title {n}</a></h1><p>Lead {n}</p><section>" + body + "</section><section>" + body
+             + "</section>{end}</div><div class='legal'>All rights reserved</div></body>")
+    lines = [f"Paragraph {{n}} {k} of the article, long enough to weigh much more than its headline." for k in range(6)]
+    for pages in (1, 8):
+        rows = [(i, "http://nested/", nested.format(n=i)) for i in range(pages)]
+        rows += [(100 + i, "http://equal/", equal.format(n=i, end="<div class='last'>Only once.</div>" if i == 5 else "")) for i in range(pages)]
+        got = run(spark, rows)
+        for i in range(pages):
+            text = "\n".join(lines).format(n=i)
+            assert got[i]["text"] == f"Title {i}\n{text}"
+            want = f"Title {i}\nLead {i}\n{text}\n{text}" + "\nOnly once." * (i == 5)
+            assert got[100 + i]["text"] == want if pages > 1 else want in got[100 + i]["text"]
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://x/1", None), (2, "http://x/2", ""), (3, None, "plain text &lt;only&gt;\n  here"), (4, "http://y", "<p>unclosed <b>soup<div>next"),
             (5, "http://y", "<p>unclosed <b>soup<div>next"), (6, "not a url", "<script>var x = 1"), (7, "http://y", "<!-- never closed <p>x</p>"),

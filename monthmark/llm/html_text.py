@@ -9,7 +9,8 @@ text is always the same.
 
 Each task aligns its own pages; the wrappers of tasks are aligned in two rounds, (host, salt) and host,
 so a host with a third of all pages is spread over tasks. The wrapper names the group that
-holds the article: the most text outside menus, notices and the like, by host instead of by page. Then each
+holds the article: the most text outside menus, notices and the like, by host instead of by page; a group that is
+named like them but holds the article is none of them. Then each
 page's blocks inside that group are its text.
 """
 
@@ -45,6 +46,8 @@ FURNITURE_WORDS = set("ad ads adbox advert adverts advertisement banner breadcru
                       "search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget "
                       "widgets".split())
 FURNITURE_ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Furniture that may hold more text than the article.
+LONG_WORDS = set("comment comments commentlist disqus respond related recommended".split())
 ARTICLE_WORDS = set("article body content entry main post story text".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -225,8 +228,64 @@ def aligned(a: list, b: list) -> list:
     return kept
 
 
-def article_path(wrapper: list, pages: int) -> list[str]:
+def kept_groups(wrapper: list, pages: int) -> list[str]:
+    """Paths (labels joined by ">") of groups that are named like furniture but hold the article.
+
+    Such a group holds a main element, articles with at least the text outside furniture, or most of the text that
+    varies and is not linked. Comments and the like only count as the latter if nothing else is left.
+    """
+
+    def weight(groups: list, in_article: bool, counted=lambda label, inside: True, within: bool = True) -> int:
+        """Text inside groups that are counted; if not `within`, only what is in article or main."""
+        total = 0
+        for g in groups:
+            if g[0] == "#":
+                fixed = g[6] is not None and pages >= 3 and not in_article
+                total += max(0, g[4] - 2 * g[5]) if within and not fixed else 0
+            elif counted(g[0], in_article):
+                inside = g[0].split(".")[0] in ("article", "main")
+                total += weight(g[1], in_article or inside, counted, within or inside)
+        return total
+
+    plain = lambda label, inside: not is_furniture(label, inside)
+    wraps = lambda label, inside: plain(label, inside) or _by_words(label) and not LONG_WORDS.intersection(label.split("."))
+    every, outside, articles = weight(wrapper, False), weight(wrapper, False, plain), weight(wrapper, False, plain, False)
+    kept: list[str] = []
+
+    def has_main(groups: list) -> bool:
+        return any(g[0].split(".")[0] == "main" and weight([g], False) > 0 or has_main(g[1]) for g in groups)
+
+    def walk(groups: list, path: str, in_article: bool, last: bool) -> None:
+        for g in groups:
+            label, below = g[0], g[1]
+            here = f"{path}>{label}" if path else label
+            inside = in_article or label.split(".")[0] in ("article", "main")
+            if label == "#":
+                continue
+            if is_furniture(label, in_article):
+                if not _by_words(label):
+                    continue
+                long = label.split(".")[0] == "article" or bool(LONG_WORDS.intersection(label.split(".")))
+                most = 2 * weight(below, inside) > every and (last or not long and (in_article or 4 * articles < every))
+                if not (most or has_main(below) or not long and weight(below, inside, wraps, False) >= max(outside, 1)):
+                    continue
+                kept.append(here)
+            walk(below, here, inside, last and here not in kept)
+
+    walk(wrapper, "", False, False)
+    if not kept and outside == 0:
+        walk(wrapper, "", False, True)
+    return kept
+
+
+def _by_words(label: str) -> bool:
+    """Whether only words of its class, id or role can make an element furniture."""
+    return label.split(".")[0] not in FURNITURE_TAGS | {"header"}
+
+
+def article_path(wrapper: list, pages: int, kept: list[str] | None = None) -> list[str]:
     """Labels from the root to the group that holds the article; empty if no group stands out."""
+    kept = kept_groups(wrapper, pages) if kept is None else kept
     found: list[tuple[float, int, list[str]]] = []
 
     def weigh(groups: list, path: list[str], in_article: bool) -> float:
@@ -237,7 +296,7 @@ def article_path(wrapper: list, pages: int) -> list[str]:
                 fixed = g[6] is not None and pages >= 3 and not in_article
                 total += 0.0 if fixed else max(0, g[4] - 2 * g[5])
                 continue
-            if is_furniture(label, in_article):
+            if is_furniture(label, in_article) and ">".join([*path, label]) not in kept:
                 continue
             name, *words = label.split(".")
             inside = in_article or name in ("article", "main")
@@ -258,7 +317,7 @@ def article_path(wrapper: list, pages: int) -> list[str]:
     near = {tuple(f[2]) for f in found if f[0] >= 0.9 * top and f[2][-1].split(".")[0] not in ("p", "li", "td", "tr", "h1", "h2", "h3")}
     groups, inside, now = wrapper, False, []
     while groups:
-        filled = [g for g in groups if _own_text(g, pages, inside)]
+        filled = [g for g in groups if _own_text(g, pages, inside, kept, now)]
         if len(now) < len(path):
             filled = [g for g in groups if g[0] == path[len(now)]]
         if len(filled) != 1 or filled[0][0] == "#":
@@ -270,20 +329,25 @@ def article_path(wrapper: list, pages: int) -> list[str]:
     return path
 
 
-def _own_text(group: list, pages: int, in_article: bool, always: bool = True) -> int:
+def _own_text(group: list, pages: int, in_article: bool, kept: list[str], path: list[str], always: bool = True) -> int:
     """Characters outside furniture that are not the same on all pages; linked ones count."""
     label, groups, _, optional, chars, _, text = group
     always = always and not optional
     if label == "#":
         return 0 if text is not None and pages >= 3 and always and not in_article else chars
-    if is_furniture(label, in_article):
+    path = [*path, label]
+    if is_furniture(label, in_article) and ">".join(path) not in kept:
         return 0
     inside = in_article or label.split(".")[0] in ("article", "main")
-    return sum(_own_text(g, pages, inside, always) for g in groups)
+    return sum(_own_text(g, pages, inside, kept, path, always) for g in groups)
 
 
-def text_of(blocks: list, path: list[str]) -> str:
-    """Blocks inside the group named by the path (or its last element, or anywhere), without furniture."""
+def text_of(blocks: list, path: list[str], kept: Iterable[str] = ()) -> str:
+    """Blocks inside the group named by the path (or its last element, or anywhere), without furniture.
+
+    Groups in `kept` are no furniture. A page without text then has groups of its own kept, if their names also
+    have words that name no furniture.
+    """
     wanted = [p.split(".")[0] for p in path]
 
     def chosen(test) -> list[str]:
@@ -291,8 +355,8 @@ def text_of(blocks: list, path: list[str]) -> str:
         for steps, text, _ in blocks:
             labels = [s for s, _ in steps]
             in_article = False
-            for label in labels:
-                if is_furniture(label, in_article):
+            for k, label in enumerate(labels):
+                if is_furniture(label, in_article) and not (kept and ">".join(labels[:k + 1]) in kept):
                     break
                 in_article = in_article or label.split(".")[0] in ("article", "main")
             else:
@@ -303,7 +367,11 @@ def text_of(blocks: list, path: list[str]) -> str:
     lines = chosen(lambda labels: labels[:len(path)] == path) if path else []
     if not lines and path and wanted[-1] not in ("body", "html", "div"):
         lines = chosen(lambda labels: path[-1] in labels)
-    return "\n".join(lines or chosen(lambda labels: True))
+    lines = lines or chosen(lambda labels: True)
+    if not lines and blocks:
+        kept = [k for k in kept_groups(groups_of(blocks), 1) if not FURNITURE_WORDS.issuperset(k.split(">")[-1].split(".")[1:])]
+        lines = chosen(lambda labels: True) if kept else lines
+    return "\n".join(lines)
 
 
 def host_of(url: Column) -> Column:
@@ -366,7 +434,7 @@ def _merged(keys: int):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pages, wrapper, path) for each host of (host, html)."""
+    """(host, pages, wrapper, path, kept) for each host of (host, html)."""
     import pyarrow as pa
 
     found = pages.mapInArrow(_page_wrappers, _WRAPPER)
@@ -380,11 +448,13 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def paths(batches: Iterable) -> Iterator:
         for b in batches:
             host, _, n, w = (b.column(i).to_pylist() for i in range(4))
-            path = [article_path(json.loads(x), k) for x, k in zip(w, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(n), pa.array(w), pa.array(path, pa.list_(pa.string()))],
-                                             ["host", "pages", "wrapper", "path"])
+            read = [json.loads(x) for x in w]
+            kept = [kept_groups(x, k) for x, k in zip(read, n)]
+            path = [article_path(*x) for x in zip(read, n, kept)]
+            yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(n), pa.array(w), *[pa.array(x, pa.list_(pa.string())) for x in (path, kept)]],
+                                             ["host", "pages", "wrapper", "path", "kept"])
 
-    return found.mapInArrow(paths, "host string, pages long, wrapper string, path array<string>")
+    return found.mapInArrow(paths, "host string, pages long, wrapper string, path array<string>, kept array<string>")
 
 
 def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -397,7 +467,7 @@ def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     chosen = df.select(F.col(quoted(key)).alias("_key"), F.col(quoted(url)).alias("_url"),
                        F.col(quoted(html)).alias("_html"), host_of(F.col(quoted(url))).alias("_host"))
-    rules = wrappers(chosen.select("_host", "_html")).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    rules = wrappers(chosen.select("_host", "_html")).select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("kept").alias("_kept"))
     # Stored, its size is known before the join is planned: small rules go to the pages, which then stay where
     # they are, and beyond Spark's limit for that a hot host's pages are split.
     rules = written(rules, "wrappers")
@@ -405,12 +475,12 @@ def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", html: st
     def run(batches: Iterable) -> Iterator:
         for whole in batches:
             for batch in by_bytes(whole, 2):
-                text = [text_of(blocks_of(h), p or []) if h else ""
-                        for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                text = [text_of(blocks_of(h), p or [], k or []) if h else ""
+                        for h, p, k in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())],
                     ["k", "u", "text", "n_chars"])
 
     kinds = [df.schema[c].dataType.simpleString() for c in (key, url)]
-    return (chosen.join(rules, "_host", "left").select("_key", "_url", "_html", "_path")
+    return (chosen.join(rules, "_host", "left").select("_key", "_url", "_html", "_path", "_kept")
             .mapInArrow(run, f"k {kinds[0]}, u {kinds[1]}, text string, n_chars long").toDF(key, url, "text", "n_chars"))

@@ -47,6 +47,24 @@ def test_nested_groups_keep_headline_lead_and_close(spark):
             assert got[100 + i]["text"] == want if pages > 1 else want in got[100 + i]["text"]
 
 
+def test_layout_wrappers_are_no_furniture(spark):
+    text = "<h1>Title {n}</h1><p>First paragraph {n} of some length.</p><p>Second paragraph {n} of some length.</p>"
+    side = "<div class='sidebar'>Side {n}</div><div class='comments'><p>" + "A reader says much more than the article, {n}. " * 9 + "</p></div>"
+    forms = {"wrap": "<div class='content-sidebar-wrap'>" + text + side + "</div>", "has": "<div class='has-sidebar'><main>" + text + "</main>" + side + "</div>",
+             "search": "<div id='search-results'>" + text + "</div>", "article": "<div class='site'><div class='no-sidebar'><article>" + text + "</article>" + side + "</div></div>",
+             "inner": "<article><h1>Title {n}</h1><div class='nav-wrap'>" + text.partition("</h1>")[2] + "</div></article>", "outside": text + side,
+             "off": "<div class='comments-off'>" + text + "</div>"}
+    rows = [(100 * k + i, f"http://{name}/{i}", f"<body><nav><a href=/>Home</a></nav>{form.format(n=i)}<div class='cookie'>We use cookies</div></body>")
+            for k, (name, form) in enumerate(forms.items()) for i in range(4)]
+    rows += [(900, "http://outside/9", f"<body><div id='search-results'>{text.format(n=900 % 100)}</div></body>"),
+             (901, "http://outside/10", "<body><nav>Home</nav><div class='cookie-notice'>We use cookies</div></body>")]
+    got = run(spark, rows)
+    assert got.pop(901)["text"] == ""
+    for k, r in got.items():
+        n = k % 100
+        assert r["text"] == f"Title {n}\nFirst paragraph {n} of some length.\nSecond paragraph {n} of some length.", r["url"]
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://x/1", None), (2, "http://x/2", ""), (3, None, "plain text &lt;only&gt;\n  here"), (4, "http://y", "<p>unclosed <b>soup<div>next"),
             (5, "http://y", "<p>unclosed <b>soup<div>next"), (6, "not a url", "<script>var x = 1"), (7, "http://y", "<!-- never closed <p>x</p>"),

@@ -311,8 +311,9 @@ def sample(docs: DataFrame, labels: DataFrame, bounds: Bounds, key: str, text: s
     tags = (labels.select(F.col(quoted(key)).alias("key"), F.col("toxic").cast("int").alias("toxic"))
             .where(F.col("toxic").isin(0, 1) & F.col("key").isNotNull()).groupBy("key").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("key"))))
     share = tags.agg(F.avg("toxic")).first()[0]
-    # Candidates are cut by hash before texts are joined; twice as many, as some texts are too long.
-    chosen = [tags.where(F.col("toxic") == t).orderBy(F.xxhash64("key"), "key").limit(2 * n)
+    # Labels of usable texts are cut by hash before texts are joined: each of them has a row at least.
+    filled = tags.join(usable.select("key").distinct(), "key", "left_semi")
+    chosen = [filled.where(F.col("toxic") == t).orderBy(F.xxhash64("key"), "key").limit(n)
               for t, n in ((1, bounds.toxic), (0, bounds.clean))]
     rows = usable.join(F.broadcast(chosen[0].unionByName(chosen[1])), "key")
     picked = [rows.where(F.col("toxic") == t).orderBy(F.xxhash64("key"), "key", "text").limit(n)

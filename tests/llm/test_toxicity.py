@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from monthmark.llm.toxicity import (DECAY, LENGTH, SPAN, Bounds, fit, margins_of, score_toxicity, scores_of, subsequences,
-                                    without_toxic, words_of)
+                                    sample, without_toxic, words_of)
 from tests.llm.helpers import docs_of
 
 INSULTS = ["blockhead", "dirtbag", "numbskull"]
@@ -76,6 +76,14 @@ def test_held_out_labels_are_not_learnt_from(spark):
     assert a == {str(r) for r in score_toxicity(docs, flipped).collect()}
 
 
+def test_sample_is_filled_where_most_texts_are_too_long_or_null(spark):
+    texts = [(i, None if i % 3 == 0 else "lomi " * 30) for i in range(400)] + [(i, f"kalo {i}") for i in range(400, 440)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(440)], "doc_id long, toxic int")
+    got, share = sample(docs_of(spark, texts), labels, Bounds(4, 5, 100), "doc_id", "text")
+    assert sorted(r["toxic"] for r in got) == [0] * 5 + [1] * 4 and all(r["text"].startswith("kalo") for r in got)
+    assert 0.4 < share < 0.6
+
+
 def test_without_labels(spark):
     docs, labels = tables(spark, 20)
     assert {r["score"] for r in score_toxicity(docs, labels.limit(0)).collect()} == {0.0}

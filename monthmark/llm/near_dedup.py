@@ -115,7 +115,7 @@ def dart_signatures(of: np.ndarray, cell: np.ndarray, n: int, k: int) -> np.ndar
 
 
 def sketches(df: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, n, f1, f2, bands): cells, a 128-bit hash of them, and band hashes of (key, text)."""
+    """(key, mark, n, f1, f2, bands): cells, a 128-bit hash of them, and band hashes of (key, text, mark)."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -135,10 +135,10 @@ def sketches(df: DataFrame, bands: int, rows: int) -> DataFrame:
                 flat = pa.array(band.reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists],
-                    ["key", "n", "f1", "f2", "bands"])
+                    [batch.column(0), batch.column(2), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists],
+                    ["key", "mark", "n", "f1", "f2", "bands"])
 
-    return df.mapInArrow(run, "key long, n long, f1 long, f2 long, bands array<long>")
+    return df.mapInArrow(run, "key long, mark long, n long, f1 long, f2 long, bands array<long>")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -286,14 +286,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", band
     """
     up, down = similar
     chosen = df.select(F.col(quoted(key)).cast("long").alias("key"), F.col(quoted(text)).alias("text"))
+    chosen = chosen.withColumn("mark", F.xxhash64("text"))  # tells texts of one key apart
     texts = chosen.where(F.col("key").isNotNull())
     sketch = written(sketches(chosen, bands, rows), "sketches")
     real = sketch.where((F.col("n") > 0) & F.col("key").isNotNull())
-    # Equal sets of cells: the smallest key stands for all.
-    first = written(real.groupBy("f1", "f2").agg(F.min("key").alias("rep")), "equal")
-    member = written(real.select("key", "f1", "f2").join(first, ["f1", "f2"])
-                     .select("key", "rep").distinct(), "members")
-    reps = real.select("key", "bands").join(first.select(F.col("rep").alias("key")), "key").dropDuplicates(["key"])
+    # Equal sets of cells are one from here on, under a number of their own; a row with the smallest key stands for them.
+    first = written(real.groupBy("f1", "f2").agg(F.min(F.struct("key", "mark")).alias("rep"))
+                    .select("f1", "f2", "rep.*", F.monotonically_increasing_id().alias("id")), "equal")
+    stands = first.select("key", "mark", "id")
+    reps = real.select("key", "mark", "bands").join(stands, ["key", "mark"]).select(F.col("id").alias("key"), "bands").dropDuplicates(["key"])
     banded = written(reps.select("key", F.posexplode("bands").alias("band", "hash")), "bands")
     # Buckets with one member link nothing.
     sizes = written(banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
@@ -306,14 +307,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", band
                   .where(F.col("key") != F.col("leader")).select("leader", "key").distinct(), "led")
     # Texts of the members of some bucket. All sizes take the same way: texts meet ids in a shuffle.
     ids = led.select("key").union(led.select("leader")).distinct().hint("merge")
-    wanted = written(texts.join(ids, "key").dropDuplicates(["key"]), "compared")
+    named = stands.join(ids.withColumnRenamed("key", "id"), "id")
+    wanted = written(texts.join(named.hint("merge"), ["key", "mark"]).select(F.col("id").alias("key"), "text").dropDuplicates(["key"]), "compared")
     compared = written(overlaps(led.toDF("a", "b"), wanted), "overlaps")
     linked = F.col("shared") * down >= F.col("total") * up
     links = compared.where(linked).select("a", "b")
     # Leaders with a member that is not linked to them.
     open_leaders = written(compared.where(~linked).groupBy(F.col("a").alias("leader")).agg(
         F.count(F.lit(1)).alias("far")), "open-leaders")
-    cells = real.groupBy("key").agg(F.max("n").alias("n"))
+    cells = real.join(stands, ["key", "mark"]).groupBy(F.col("id").alias("key")).agg(F.max("n").alias("n"))
     members = (compared.select(F.col("a").alias("leader"), F.col("b").alias("key"), linked.alias("near"))
                .join(open_leaders, "leader").join(cells, "key").select("leader", "key", "near", "n"))
     # A leader with a single far member and no other has nothing more to compare.
@@ -321,8 +323,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", band
                            .where("all > 1"), "leader").drop("all")
     blocks = written(_blocks_of(written(members, "far-groups"), wanted), "far-blocks")
     links = links.unionByName(written(_tile_links(blocks, up, down), "far-links"))
-    classes = components(links.unionByName(member.toDF("a", "b")))
-    classes = written(classes.toDF("key", "class_id"), "classes")
+    # A key with several sets of cells links each of them with its lowest.
+    cut = F.struct("f1", "f2")
+    several = written(real.groupBy("key").agg(F.min(cut).alias("low"), F.max(cut).alias("high")).where("low <> high")
+                      .select("key", "low"), "several")
+    own = first.select("f1", "f2", "id")
+    shared = (real.select("key", "f1", "f2").join(several, "key").select("f1", "f2", "low").distinct().join(own, ["f1", "f2"])
+              .select(F.col("id").alias("a"), F.col("low.f1").alias("f1"), F.col("low.f2").alias("f2"))
+              .join(own.withColumnRenamed("id", "b"), ["f1", "f2"]).select("a", "b"))
+    joined = written(first.join(written(components(links.unionByName(shared)).toDF("id", "component"), "components"), "id", "left")
+                     .withColumn("component", F.coalesce("component", "id")), "joined")
+    lowest = written(joined.groupBy("component").agg(F.min("key").alias("class_id")), "lowest-keys")
+    of_cells = written(joined.join(lowest, "component").select("f1", "f2", "class_id"), "classes-of-cells")
+    classes = written(real.select("key", "f1", "f2").join(of_cells, ["f1", "f2"]).select("key", "class_id").distinct(), "classes")
     out = (sketch.select("key", "n").join(classes, "key", "left")
            .withColumn("class_id", F.coalesce("class_id", "key")))
     return out.select(F.col("key").alias(key), "class_id", F.col("n").alias("n_cells"),

@@ -40,6 +40,19 @@ def test_classes_equal_brute_force(spark):
         assert r["kept"] == (k is None or want[k] == k)
 
 
+def test_keys_with_several_texts_keep_all_links(spark):
+    rows = []
+    for i in range(12):  # key i has three texts, each with a copy or near copy under another key
+        texts = [prose(3000 + 3 * i + k, 90) for k in range(3)]
+        rows += [(i, t) for t in texts] + [(100 + 3 * i, texts[0]), (101 + 3 * i, edited(texts[1], i, 0.012)), (102 + 3 * i, edited(texts[2], i, 0.012))]
+    rows += [(5, None), (7, prose(3000, 90))]  # the last one connects two keys
+    want = brute(rows)
+    got = near_duplicates(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["class_id"] for r in got} == want and len(set(want.values())) == 11
+    assert all(r["class_id"] == want[r["doc_id"]] and r["kept"] == (r["class_id"] == r["doc_id"]) for r in got)
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     df = docs_of(spark, rows)

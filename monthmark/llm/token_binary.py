@@ -15,6 +15,7 @@ little-endian data bytes. Decoding looks the lengths up in a table of the 256 co
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from monthmark.llm.common import by_bytes, chunks, quoted, written
-from monthmark.llm.units import pieces, unit
+from monthmark.llm.units import TAILED, split_units, unit
 from monthmark.sources.staging import scratch_path
 
 MAGIC, HEADER = b"RVB1", struct.Struct("<4sIQ")
@@ -84,9 +85,15 @@ def read_shard(buffer: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 
 class UnitEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct unit once."""
+    """Ids of whole texts by the tokenizers library, which sees each distinct unit once.
+
+    Words are split and numbered by Arrow, so Python looks at a chunk's distinct units only; the
+    ids of a unit stand in one growing array and are gathered by position.
+    """
 
     def __init__(self, path: str):
+        # Spark already runs one worker a core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -100,15 +107,33 @@ class UnitEncoder:
         for name, number in names.items():
             self.opens[number] = name[0] in "\u0120\u010A"
         self.first: dict[str, bytes] = {}
-        self.kept: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.kept: dict[str, int] = {}
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 18, self.kind), 0
+
+    def _keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Add the units, whose ids stand one behind the other."""
+        n, m = len(self.kept), len(keys)
+        while n + m > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.start[n:n + m] = self.used + np.cumsum(sizes) - sizes
+        self.size[n:n + m] = sizes
+        self.used += len(ids)
+        self.kept.update(zip(keys, range(n, n + m)))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
     def _start(self, text: str) -> bytes:
         ids = self.first.get(text)
         if ids is None:
-            ids = self._ids(text) if text else b""
+            ids = self._ids(text).tobytes() if text else b""
             if len(text) < 64:
                 self.first[text] = ids
         return ids
@@ -117,38 +142,85 @@ class UnitEncoder:
         """For each text its ids as little-endian numbers of `kind`."""
         if kind != self.kind:
             return [np.frombuffer(i, self.kind).astype(kind).tobytes() for i in self.encode(texts, self.kind)]
-        cut = [pieces(t) for t in texts]
+        if not texts:
+            return []
         if len(self.kept) > KEPT_ENTRIES:
-            self.kept, self.first = {}, {}
-        kept = self.kept
-        found = [list(map(kept.get, rest)) for _, rest in cut]
-        gaps = [(f, rest, [j for j, v in enumerate(f) if v is None])
-                for f, (_, rest) in zip(found, cut) if None in f]
-        self._learn(list({rest[j] for _, rest, at in gaps for j in at}))
-        for f, rest, at in gaps:
-            for j in at:
-                f[j] = kept[rest[j]]
-        return [self._start(first) + b"".join(f) for (first, _), f in zip(cut, found)]
+            self.first = {}
+            self._clear()
+        order, words, ends = split_units(texts)
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        # The first unit of a text has no separator in front; it counts as empty here.
+        opening = np.concatenate([[0], ends[:-1]])
+        used = np.ones(len(codes), bool)
+        used[opening] = False
+        wanted = np.zeros(len(coded.dictionary), bool)
+        wanted[codes[used]] = True
+        slot = np.zeros(len(wanted), np.int64)
+        at = np.flatnonzero(wanted)
+        keys = coded.dictionary.take(at).to_numpy(zero_copy_only=False).tolist()
+        found = [self.kept.get(k, -1) for k in keys]
+        slot[at] = found
+        missing = np.flatnonzero(np.array(found, np.int64) < 0)
+        if len(missing):
+            new = [keys[i] for i in missing.tolist()]
+            self._learn(new)
+            slot[at[missing]] = [self.kept[k] for k in new]
+        of = slot[codes]
+        size = np.where(used, self.size[of], 0)
+        upto = np.cumsum(size)
+        source = np.repeat(self.start[of] - (upto - size), size) + np.arange(upto[-1])
+        data, width = self.flat[source].tobytes(), self.kind.itemsize
+        heads = words.take(opening).to_pylist()
+        stops = (upto[ends - 1] * width).tolist()
+        out: list[bytes] = [b""] * len(texts)
+        before = 0
+        for i, head, stop in zip(order, heads, stops):
+            out[i] = self._start(head) + data[before:stop]
+            before = stop
+        return out
 
     def _learn(self, keys: list[str]) -> None:
+        # A mark behind a letter or digit opens a piece, so words that differ in it share their ids.
+        cut = list(map(TAILED, keys))
+        bare = dict.fromkeys([k if m is None else m[1] for k, m in zip(keys, cut)])
+        self._encode_units([k for k in bare if k not in self.kept])
+        tailed = [(k, m[1], "\0" + m[2]) for k, m in zip(keys, cut) if m is not None]
+        # Marks are kept under keys that no unit has.
+        for mark in {t for _, _, t in tailed if t not in self.kept}:
+            ids = self._ids(mark[1:])
+            self._keep([mark], ids, np.array([len(ids)]))
+        both = np.array([(self.kept[w], self.kept[t]) for _, w, t in tailed], np.int64).reshape(-1, 2)
+        size = self.size[both].reshape(-1)
+        upto = np.cumsum(size)
+        source = np.repeat(self.start[both].reshape(-1) - (upto - size), size) + np.arange(size.sum())
+        self._keep([k for k, _, _ in tailed], self.flat[source], size.reshape(-1, 2).sum(axis=1))
+
+    def _encode_units(self, keys: list[str]) -> None:
         # Units open pieces, so many of them are encoded as one text and taken apart again.
         plain, others = [], []
         for k in keys:
             (plain if k[1:].isprintable() and " " not in k else others).append(k)
         for a in range(0, len(plain), 20_000):
-            part = plain[a:a + 20_000]
-            text = "".join(map(unit, part))
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            # Inside these units there is no white space: only their first token opens.
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(part):
-                others += part
-                continue
-            width, data = ids.itemsize, ids.tobytes()
-            ends = np.append(cuts, len(ids)) * width
-            self.kept.update((k, data[x:y]) for k, x, y in zip(part, ends.tolist(), ends[1:].tolist()))
-        for k in others:
-            self.kept[k] = self._ids(unit(k))
+            groups = [plain[b:b + 100] for b in range(a, min(a + 20_000, len(plain)), 100)]
+            coded = self.library.encode_batch_fast(["".join(map(unit, g)) for g in groups], add_special_tokens=False)
+            keep, ids, sizes = [], [], []
+            for g, found in zip(groups, coded):
+                part = np.array(found.ids, self.kind)
+                # Inside these units there is no white space: only their first token opens.
+                cuts = self.opens[part].nonzero()[0]
+                if len(cuts) != len(g):
+                    others += g
+                    continue
+                keep += g
+                ids.append(part)
+                sizes.append(np.diff(cuts, append=len(part)))
+            if keep:
+                self._keep(keep, np.concatenate(ids), np.concatenate(sizes))
+        for a in range(0, len(others), 20_000):
+            part = others[a:a + 20_000]
+            ids = [self._ids(unit(k)) for k in part]
+            self._keep(part, np.concatenate(ids), np.array([len(i) for i in ids], np.int64))
 
 
 def id_kind(vocabulary: int) -> str:
@@ -181,7 +253,7 @@ def encode_ids(df: DataFrame, path: str, key: str, text: str, end_id: int) -> Da
         for whole in batches:
             for batch in by_bytes(whole, 1):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                ids = [i + tail for a, b in chunks(texts) for i in of.encode(texts[a:b], kind)]
+                ids = [i + tail for a, b in chunks(texts, 1 << 22) for i in of.encode(texts[a:b], kind)]
                 total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(

@@ -9,6 +9,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
+#: A unit that ends in marks behind a letter or digit: the marks are a piece of their own.
+TAILED = re.compile(r"(.*[^\W_])([.,;:!?]+)").fullmatch
+
 _UNSAFE = re.compile(r"[ \n](?:\s|\Z)")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -25,3 +30,26 @@ def pieces(text: str) -> tuple[str, list[str]]:
 def unit(key: str) -> str:
     """The characters a key stands for: a line start holds its own separator."""
     return key if key[:1] == "\n" else " " + key
+
+
+def split_units(texts: list[str]):
+    """(order, keys, ends): the keys of all texts as one Arrow array, a text's keys up to its end.
+
+    The n-th run of keys belongs to texts[order[n]]; its first key is the text's first unit.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    unsafe = [bool(_UNSAFE.search(t)) for t in texts]
+    plain = [i for i, u in enumerate(unsafe) if not u]
+    odd = [i for i, u in enumerate(unsafe) if u]
+    lists = []
+    if plain:
+        lines = pc.replace_substring(pa.array([texts[i] for i in plain], pa.large_string()), "\n", " \n")
+        lists.append(pc.split_pattern(lines, " "))
+    if odd:
+        lists.append(pa.array([[first, *rest] for first, rest in (pieces(texts[i]) for i in odd)],
+                              pa.large_list(pa.large_string())))
+    ends = np.cumsum(np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]))
+    words = pa.concat_arrays([x.flatten() for x in lists])
+    return plain + odd, words, ends.astype(np.int64)

@@ -7,7 +7,7 @@ in hash aggregation with fixed-width buffers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Digits after the point to which binary products are taken before money is rounded: far more than
@@ -128,3 +128,11 @@ def named_factor(name: str | Column, factors: dict, default: float = 1.0) -> Col
     for key, value in factors.items():
         out = (F if out is None else out).when(c == key, float(value))
     return F.lit(default) if out is None else out.otherwise(default)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that no column of df has, compared without case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

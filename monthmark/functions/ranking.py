@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from monthmark.functions.columns import as_col
+from monthmark.functions.columns import as_col, free_name
+from monthmark.sources.staging import stored
 
 PREFIX = 6
 
@@ -23,6 +26,39 @@ def prefix_bucket(df: DataFrame, key: str, length: int = PREFIX) -> Column:
     return F.coalesce(F.left(F.col(key), common + length), F.lit(""))
 
 
+def range_rank(df: DataFrame, group: list[str], order: list[str], rank: str,
+               size: str | None = None) -> DataFrame:
+    """0-based position of each row in its group along ascending `order`, with the group's size.
+
+    A sample sort: rows are dealt over tasks by measured ranges of (group, order), sorted there and
+    stored with their place in the task. A group that covers several tasks adds what its earlier
+    tasks hold, from a table with one row for each task and group. No window holds rows of a group,
+    whatever its keys look like. Nulls come first, and null groups are a group; rows equal in group
+    and order are dealt over tasks as well and numbered in any order.
+    """
+    place, tie = free_name(df, "_place"), free_name(df, "_tie")
+    keys = [F.col(c) for c in [*group, *order]]
+    # Partition number and row number in it, taken behind the sort.
+    dealt = (df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys, tie)
+             .sortWithinPartitions(*keys, tie).drop(tie).withColumn(place, F.monotonically_increasing_id()))
+    rows = stored(dealt, "ranges")
+    part, row = F.shiftright(place, 33), F.col(place).bitwiseAND((1 << 33) - 1)
+    names = [f"_g{i}" for i in range(len(group))]
+    runs = rows.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)], part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(row).alias("_first"))
+    # One row for each task that holds rows of the group.
+    runs = stored(runs, "runs")
+    whole = Window.partitionBy(*names)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(*names, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+                          F.sum("_n").over(whole).alias("_size"))
+    same = [F.col("_part") == part, *[F.col(n).eqNullSafe(F.col(g)) for g, n in zip(group, names)]]
+    out = rows.join(offsets, functools.reduce(lambda a, b: a & b, same)).withColumn(rank, F.col("_shift") + row)
+    if size:
+        out = out.withColumn(size, F.col("_size"))
+    return out.drop(place, "_part", "_shift", "_size", *names)
+
+
 def bucketed_rank(df: DataFrame, group: list[str], order: list[Column], bucket: Column,
                   rank: str, size: str | None = None) -> DataFrame:
     """0-based position of each row in its group, with the group size.

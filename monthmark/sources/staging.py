@@ -37,6 +37,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/monthmark/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written below the shared folder and read back: later steps see them as they are now."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame],
            partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write build() once per session and source, and read it back with its schema."""

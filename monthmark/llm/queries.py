@@ -77,6 +77,12 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"), limit=0.95)
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.merkle import tamper_check
+
+    return tamper_check(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_secret_scan": op2_secret_scan,
@@ -88,6 +94,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {}
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", n_chars, "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+# CRC-32 bit by bit: a list of the characters is folded into the register, 3988292384 is the polynomial.
+_CRC_SQL = """xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda r, c: list_reduce(range(8), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), xor(r, c)),
+    CAST(4294967295 AS BIGINT)))"""
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE hashed AS (
+    SELECT doc_id, coalesce('v' || lang, 'n') AS g, {_leaf_sql("CAST(n_chars AS VARCHAR)")} AS leaf,
+           CASE WHEN {_CRC_SQL} % 7 = 0 AND n_chars IS NOT NULL
+                THEN {_leaf_sql("CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR)")} END AS changed
+    FROM documents),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY g) AS m
+    FROM hashed),
+up AS (
+    SELECT g, 0 AS lvl, pos, m, leaf AS h FROM leaves
+    UNION ALL
+    SELECT g, lvl + 1, pos // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+    FROM up WHERE m > 1 GROUP BY g, lvl, pos // 2, m),
+subroots AS (
+    SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS m FROM up WHERE m = 1),
+over_groups AS (
+    SELECT 0 AS lvl, pos, m, h FROM subroots
+    UNION ALL
+    SELECT lvl + 1, pos // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+    FROM over_groups WHERE m > 1 GROUP BY lvl, pos // 2, m),
+steps AS (
+    SELECT l.g, l.pos, u.lvl AS k, (l.pos >> u.lvl) % 2 AS slot, s.h AS sibling
+    FROM leaves l JOIN (SELECT DISTINCT g, lvl FROM up WHERE m > 1) u USING (g)
+    LEFT JOIN up s ON s.g = l.g AND s.lvl = u.lvl AND s.pos = xor(l.pos >> u.lvl, 1)
+    UNION ALL
+    SELECT l.g, l.pos, 1000 + u.lvl, (r.pos >> u.lvl) % 2, s.h
+    FROM leaves l JOIN subroots r USING (g) CROSS JOIN (SELECT DISTINCT lvl FROM over_groups WHERE m > 1) u
+    LEFT JOIN over_groups s ON s.lvl = u.lvl AND s.pos = xor(r.pos >> u.lvl, 1)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY g, pos ORDER BY k) - 1 AS n FROM steps),
+proofs AS (
+    SELECT g, pos, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY k)) AS proof_sha256, count(*) AS n
+    FROM steps GROUP BY g, pos),
+fold AS (
+    SELECT g, pos, CAST(0 AS BIGINT) AS n, coalesce(changed, leaf) AS h FROM leaves
+    UNION ALL
+    SELECT f.g, f.pos, f.n + 1,
+           sha256(CASE WHEN s.slot = 1 THEN coalesce(s.sibling, '') || f.h ELSE f.h || coalesce(s.sibling, '') END)
+    FROM fold f JOIN numbered s ON s.g = f.g AND s.pos = f.pos AND s.n = f.n)
+SELECT l.doc_id, l.leaf, r.h AS subroot, o.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+       f.h AS folded_root, f.h = o.h AS verified
+FROM leaves l JOIN subroots r USING (g) CROSS JOIN (SELECT h FROM over_groups WHERE m = 1) o
+LEFT JOIN proofs p ON p.g = l.g AND p.pos = l.pos
+JOIN fold f ON f.g = l.g AND f.pos = l.pos AND f.n = coalesce(p.n, 0)
+"""
+
+ORACLES: dict[str, str] = {"op13_merkle_manifest": _MERKLE_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from monthmark.llm.common import table
 
@@ -77,6 +78,19 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"), limit=0.95)
 
 
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"), bpe_file(), size=1024, end_id=2).drop("ids")
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from monthmark.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings"), label=label)
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     from monthmark.llm.merkle import tamper_check
 
@@ -94,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -156,4 +172,27 @@ LEFT JOIN proofs p ON p.g = l.g AND p.pos = l.pos
 JOIN fold f ON f.g = l.g AND f.pos = l.pos AND f.n = coalesce(p.n, 0)
 """
 
-ORACLES: dict[str, str] = {"op13_merkle_manifest": _MERKLE_SQL}
+_NEGATIVES_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+           CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (
+    SELECT p.*, s.other AS negative_id, s.score AS negative_score,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other) AS rank
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op12_hard_negatives": _NEGATIVES_SQL, "op13_merkle_manifest": _MERKLE_SQL}

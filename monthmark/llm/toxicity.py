@@ -23,8 +23,9 @@ up to a length. Everything else covers whole texts of all rows.
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -143,21 +144,22 @@ def _landmark_products(words: list[str], explicit: tuple[np.ndarray, np.ndarray]
     return out / np.sqrt(np.maximum(square, DECAY ** (2 * LENGTH)))[:, None].astype(np.float32)
 
 
-def _landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Words by how much more often toxic documents hold them, and common others."""
-    counts = [Counter(), Counter()]
-    for words, t in zip(docs, toxic):
-        counts[int(t)].update(words)
-    bad, good = counts[1], counts[0]
+def _landmarks(words: list[str], members: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> list[str]:
+    """Words by how much more often toxic documents hold them, and common others.
+
+    members: the words' numbers in reading order, doc: the document of each.
+    """
+    held = np.unique(doc * len(words) + members)
+    bad = np.bincount((held % len(words))[toxic[held // len(words)]], minlength=len(words))
+    good = np.bincount(held % len(words), minlength=len(words)) - bad
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    lead = {w: np.sqrt(c) * np.log((c / n_bad + 1e-4) / (good[w] / n_good + 1e-4)) for w, c in bad.items()}
-    first = sorted(lead, key=lambda w: (-lead[w], w))[:3 * LANDMARKS // 4]
-    rest = sorted(good, key=lambda w: (-good[w], w))
-    chosen = dict.fromkeys(first)
-    for w in rest:
+    lead = np.sqrt(bad) * np.log((bad / n_bad + 1e-4) / (good / n_good + 1e-4))
+    first = sorted(np.flatnonzero(bad).tolist(), key=lambda w: (-lead[w], words[w]))[:3 * LANDMARKS // 4]
+    chosen = dict.fromkeys(words[w] for w in first)
+    for w in sorted(np.flatnonzero(good).tolist(), key=lambda w: (-good[w], words[w])):
         if len(chosen) == LANDMARKS:
             break
-        chosen.setdefault(w)
+        chosen.setdefault(words[w])
     return list(chosen)
 
 
@@ -223,28 +225,31 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mode
     for t in (False, True):  # every other document of each class
         half[np.flatnonzero(toxic == t)[::2]] = True
     learn = np.flatnonzero(half)
-    docs = [sentences_of(texts[i]) for i in learn]
     tags = toxic[learn]
-    landmarks = _landmarks([{w for s in d for w in s} for d in docs], tags)
-    words = sorted({w for d in docs for s in d for w in s})
-    number = {w: i for i, w in enumerate(words)}
+    # Words become numbers as they are read; sentences follow each other in one array.
+    number: dict[str, int] = {}
+    read, lengths, of = array("q"), [], []
+    for d, i in enumerate(learn.tolist()):
+        for sentence in sentences_of(texts[i]):
+            read.extend([number.setdefault(w, len(number)) for w in sentence])
+            lengths.append(len(sentence))
+            of.append(d)
+    if not lengths:
+        return Model(0, None, np.zeros(0), np.zeros(0), share)
+    words, members = list(number), np.frombuffer(read, np.int64)
+    lengths, of = np.array(lengths), np.array(of)
+    landmarks = _landmarks(words, members, np.repeat(of, lengths), tags)
     explicit = _explicit(landmarks)
     kernel = _landmark_products(landmarks, explicit).astype(np.float64)
     value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
     root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     mapped = _landmark_products(words, explicit) @ root.astype(np.float32)
-    flat = [s for d in docs for s in d]
-    of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    if not flat:
-        return Model(0, None, np.zeros(0), np.zeros(0), share)
-    lengths = np.array([len(s) for s in flat])
-    members = np.array([number[w] for s in flat for w in s])
     starts = np.cumsum(lengths) - lengths
-    x = np.empty((len(flat), mapped.shape[1]), np.float32)
-    for a in range(0, len(flat), 1000):
-        b = min(len(flat), a + 1000)
+    x = np.empty((len(lengths), mapped.shape[1]), np.float32)
+    for a in range(0, len(lengths), 1000):
+        b = min(len(lengths), a + 1000)
         x[a:b] = np.add.reduceat(mapped[members[starts[a]:starts[b - 1] + lengths[b - 1]]], starts[a:b] - starts[a], axis=0)
-    del mapped
+    del mapped, number, words
     bad = tags[of]
     positive = bad.copy()
     for _ in range(ROUNDS):
@@ -253,7 +258,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mode
         balance = np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()), 1.0)
         w = _svm(x, rows, y, np.sqrt(balance))
         score = x @ w[:-1].astype(np.float32) + w[-1]
-        best = np.full(len(docs), -np.inf)
+        best = np.full(len(learn), -np.inf)
         np.maximum.at(best, of, score)
         positive = bad & (score >= best[of])
     weights = np.zeros(1 << TABLE_BITS, np.float32)
@@ -304,13 +309,14 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, bounds: Bounds, key: str, text: str) -> tuple[list, float]:
-    """Labelled texts for fitting, at most `bounds.toxic` + `bounds.clean` rows; share of toxic labels."""
+def training_rows(docs: DataFrame, labels: DataFrame, bounds: Bounds, key: str, text: str) -> DataFrame:
+    """(text, toxic, share): labelled texts for fitting, at most `bounds.toxic` + `bounds.clean` rows in a fixed
+    order, and the share of toxic labels."""
     usable = (docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
               .where(F.col("text").isNotNull() & (F.length("text") <= bounds.longest) & ~held_out(F.col("key"))))
     tags = (labels.select(F.col(quoted(key)).alias("key"), F.col("toxic").cast("int").alias("toxic"))
             .where(F.col("toxic").isin(0, 1) & F.col("key").isNotNull()).groupBy("key").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("key"))))
-    share = tags.agg(F.avg("toxic")).first()[0]
+    share = tags.agg(F.avg("toxic")).first()[0] or 0.0
     # Labels of usable texts are cut by hash before texts are joined: each of them has a row at least.
     filled = tags.join(usable.select("key").distinct(), "key", "left_semi")
     chosen = [filled.where(F.col("toxic") == t).orderBy(F.xxhash64("key"), "key").limit(n)
@@ -318,13 +324,37 @@ def sample(docs: DataFrame, labels: DataFrame, bounds: Bounds, key: str, text: s
     rows = usable.join(F.broadcast(chosen[0].unionByName(chosen[1])), "key")
     picked = [rows.where(F.col("toxic") == t).orderBy(F.xxhash64("key"), "key", "text").limit(n)
               for t, n in ((1, bounds.toxic), (0, bounds.clean))]
-    return picked[0].unionByName(picked[1]).select("text", "toxic").collect(), share or 0.0
+    return picked[0].unionByName(picked[1]).select("text", "toxic", F.lit(share).alias("share"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, bounds: Bounds, key: str, text: str) -> tuple[list, float]:
+    """The training rows themselves, and the share of toxic labels."""
+    rows = training_rows(docs, labels, bounds, key, text).collect()
+    return rows, rows[0]["share"] if rows else 0.0
+
+
+def fitted(rows: DataFrame) -> Model:
+    """The model of a sample, fitted in one task: the sample is bounded, and only weights reach the driver."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        texts, toxic, share = [], [], 0.0
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+            share = batch.column(2)[0].as_py() if batch.num_rows else share
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, np.array(toxic, bool), share))]},
+                                         pa.schema([("model", pa.binary())]))
+
+    # Coalescing keeps the order of the two parts and of their rows.
+    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], np.zeros(0, bool))
 
 
 def _scored(df: DataFrame, labels: DataFrame, key: str, text: str, bounds: Bounds, keep: list[str]) -> DataFrame:
     """(key, held_out, score, predicted, k0, k1, ...) of each row, with the columns to keep."""
-    got, share = sample(df, labels, bounds, key, text)
-    model = fit([r["text"] for r in got], np.array([bool(r["toxic"]) for r in got], bool), share)
+    model = fitted(training_rows(df, labels, bounds, key, text))
     names = [f"k{i}" for i in range(len(keep))]
     chosen = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"),
                        held_out(F.col(quoted(key))).alias("held_out"),

@@ -89,3 +89,32 @@ def test_without_labels(spark):
     assert {r["score"] for r in score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert {r["score"] for r in score_toxicity(docs, labels.where("toxic = 1"), bounds=Bounds(5, 5)).collect()} == {1.0}
     assert score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_collapsed_weights_equal_the_landmark_expansion():
+    from itertools import combinations
+
+    from monthmark.llm import toxicity as t
+
+    def features(word):
+        marked = f"^{word}$"
+        out = {}
+        for at in combinations(range(len(marked)), t.LENGTH):
+            span = at[-1] - at[0] + 1
+            if span <= t.SPAN:
+                key = "".join(marked[i] for i in at)
+                out[key] = out.get(key, 0.0) + t.DECAY ** span
+        n = sum((t.DECAY ** (at[-1] - at[0] + 1)) ** 2 for at in combinations(range(len(marked)), t.LENGTH)
+                if at[-1] - at[0] < t.SPAN) ** 0.5
+        return {k: v / max(n, t.DECAY ** t.LENGTH) for k, v in out.items()}
+
+    landmarks, words = ["kalopi", "morun", "xyzzy", "aab"], ["kaloopi", "k", "morun", "zzzz", "unrelated", "kalmopi"]
+    coefficients = np.array([1.5, -2.0, 0.25, 3.0])
+    places, table = t._explicit(landmarks)
+    weights = np.zeros(1 << t.TABLE_BITS)
+    weights[places] = table @ coefficients
+    z = [features(w) for w in landmarks]
+    want = [sum(c * sum(v * f.get(k, 0.0) for k, v in features(w).items()) for c, f in zip(coefficients, z)) for w in words]
+    assert np.allclose(t.margins_of(words, weights), want, atol=1e-5)
+    assert np.allclose(t._landmark_products(words, (places, table)),
+                       [[sum(v * f.get(k, 0.0) for k, v in features(w).items()) for f in z] for w in words], atol=1e-5)

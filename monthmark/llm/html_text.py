@@ -20,13 +20,19 @@ import html as html_lib
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthmark.llm.common import by_bytes, quoted, written
 
+#: Depth and width of what is aligned group by group. They bound work on wrappers; texts are read at any depth and width.
+DEEPEST, WIDEST = 100, 64
+
 #: Parts into which the tasks of one host are dealt in the first round of merging.
 SALTS = 32
 
@@ -39,6 +45,7 @@ CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1
                "pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
+FOREIGN = set("svg math".split())
 FURNITURE_TAGS = set("nav footer aside form menu dialog button select head".split())
 FURNITURE_WORDS = set("ad ads adbox advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist "
                       "cookie cookies consent disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation "
@@ -53,12 +60,13 @@ ARTICLE_WORDS = set("article body content entry main post story text".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
                   re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_WORDS = re.compile(r"[a-z]+")
+#: Words of layout grids keep their number: col-md-8 and col-md-4 are different places, post-8 and post-4 are not.
+_WORDS = re.compile(r"(?:cols?|column|grid|large|medium|row|size|small|span|unit|width|lg|md|sm|xl|xs)[-_]?[0-9]{1,2}(?![0-9])|[a-z]+")
 _BLANK = re.compile(r"\s+")
 
 
 def label_of(name: str, attributes: str) -> str:
-    """Element with the words of its class, id and role; numbers are left out."""
+    """Element with the words of its class, id and role; numbers other than those of layout grids are left out."""
     words = [w for m in _ATTRIBUTE.finditer(attributes) for w in
              _WORDS.findall(((m[1].lower() == "role") * "role" + " " + (m[2] or m[3] or m[4] or "")).lower())] if attributes else []
     return ".".join([name, *words])
@@ -74,21 +82,33 @@ def is_furniture(label: str, in_article: bool) -> bool:
         name == "article" and bool({"comment", "comments", "related", "promo"}.intersection(words))
 
 
-def blocks_of(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
-    """(open elements with their number on the page, text, characters in links) of each text block.
+class Element:
+    """An open element: its parent, label and depth; the root's children have depth 1."""
+
+    __slots__ = ("parent", "label", "depth", "note")
+
+    def __init__(self, parent: Element | None, label: str):
+        self.parent, self.label = parent, label
+        self.depth = parent.depth + 1 if parent else 1
+        self.note: Any = None
+
+
+def blocks_of(page: str) -> list[tuple[Element | None, str, int]]:
+    """(innermost open element, text, characters in links) of each text block.
 
     Tag soup is mended like a browser would: implied ends, unknown ends and missing ends.
     """
     out: list = []
-    stack: list[tuple[str, str, int]] = []  # name, label, number
+    stack: list[tuple[str, Element]] = []
+    open_names: Counter = Counter()
     parts: list[str] = []
-    links = in_link = number = at = 0
+    links = in_link = at = 0
 
     def flush():
         nonlocal links
         text = _BLANK.sub(" ", html_lib.unescape("".join(parts))).strip()
         if text:
-            out.append((tuple((label, k) for _, label, k in stack), text, min(links, len(text))))
+            out.append((stack[-1][1] if stack else None, text, min(links, len(text))))
         parts.clear()
         links = 0
 
@@ -107,7 +127,8 @@ def blocks_of(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if name in RAW:
-            if not closing and not attributes.endswith("/"):
+            # HTML knows no empty script or style; foreign content such as svg may end itself.
+            if not closing and not (name in FOREIGN and attributes.endswith("/")):
                 end = re.compile(f"</{name}\\b[^>]*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -120,18 +141,21 @@ def blocks_of(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
         flush()
         in_link = 0
         if closing:
-            names = [n for n, _, _ in stack]
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name):]
+            if open_names[name]:
+                while True:
+                    gone = stack.pop()[0]
+                    open_names[gone] -= 1
+                    if gone == name:
+                        break
             continue
         if name in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            open_names[stack.pop()[0]] -= 1
         if name in SIBLINGS:
             while stack and stack[-1][0] in SIBLINGS[name]:
-                stack.pop()
+                open_names[stack.pop()[0]] -= 1
         if name not in VOID:
-            number += 1
-            stack.append((name, label_of(name, attributes), number))
+            stack.append((name, Element(stack[-1][1] if stack else None, label_of(name, attributes))))
+            open_names[name] += 1
     flush()
     return out
 
@@ -144,19 +168,28 @@ def _slot(text: str, links: int) -> list:
 
 
 def groups_of(blocks: list) -> list:
-    """The folded expression of one page."""
+    """The folded expression of one page.
+
+    Elements nested deeper than DEEPEST add no groups of their own; their blocks belong to the one at that depth.
+    """
     root: list = []
-    open_: list[tuple[tuple[str, int], list]] = []
-    for path, text, links in blocks:
-        keep = 0
-        while keep < min(len(open_), len(path)) and open_[keep][0] == path[keep]:
-            keep += 1
-        del open_[keep:]
-        for step in path[keep:]:
-            group = [step[0], [], False, False, 0, 0, None]
-            (open_[-1][1][1] if open_ else root).append(group)
-            open_.append((step, group))
-        (open_[-1][1][1] if open_ else root).append(_slot(text, links))
+    for element, text, links in blocks:
+        while element and element.depth > DEEPEST:
+            element = element.parent
+        chain = []
+        while element and element.note is None:
+            chain.append(element)
+            element = element.parent
+        into = element.note[1] if element else root
+        for e in reversed(chain):
+            e.note = [e.label, [], False, False, 0, 0, None]
+            into.append(e.note)
+            into = e.note[1]
+        into.append(_slot(text, links))
+    for element, _, _ in blocks:  # The notes are of use here alone.
+        while element and element.note is not None:
+            element.note = None
+            element = element.parent
     return _folded(root)
 
 
@@ -190,35 +223,78 @@ def _join(x: list, y: list) -> None:
     x[6] = x[6] if x[6] == y[6] else None
 
 
+def _drawn(groups: list) -> list:
+    """All groups of a label as one repeated group, at its first place."""
+    first: dict[str, list] = {}
+    for g in groups:
+        if g[0] in first:
+            _join(first[g[0]], g)
+            first[g[0]][2] = True
+        else:
+            first[g[0]] = g
+    return list(first.values())
+
+
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest sequence of labels in both."""
+    n, m = len(a), len(b)
+    if n * m <= WIDEST * WIDEST:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < n and j < m:
+            if a[i][0] == b[j][0]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+    # Labels are unique on both sides: a longest ascending sequence of the places in b.
+    place = {g[0]: j for j, g in enumerate(b)}
+    ends: list[int] = []
+    heads: list[tuple[int, int, Any]] = []
+    for i, g in enumerate(a):
+        if (j := place.get(g[0])) is not None:
+            k = bisect_left(ends, j)
+            entry = (i, j, heads[k - 1] if k else None)
+            ends[k:k + 1], heads[k:k + 1] = [j], [entry]
+    out, entry = [], heads[-1] if heads else None
+    while entry:
+        out.append(entry[:2])
+        entry = entry[2]
+    return out[::-1]
+
+
 def aligned(a: list, b: list) -> list:
-    """One expression for both: groups in common, the rest optional, repeats drawn together."""
+    """One expression for both: groups in common, the rest optional, repeats drawn together.
+
+    Where the two have more than WIDEST groups side by side, those of one label are drawn together first; then
+    aligning takes little more than linear time.
+    """
     if _same_shape(a, b):
         for x, y in zip(a, b):
             _join(x, y)
         return a
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    wide = len(a) * len(b) > WIDEST * WIDEST
+    if wide:
+        a, b = _drawn(a), _drawn(b)
     out: list = []
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            _join(a[i], b[j])
-            out.append(a[i])
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(a[i])
-            a[i][3] = True
-            i += 1
-        else:
-            out.append(b[j])
-            b[j][3] = True
-            j += 1
-    # Two groups of one label side by side are a repeated one: expressions cannot grow without end.
+    for x, y in [*_common(a, b), (len(a), len(b))]:
+        for g in (*a[i:x], *b[j:y]):
+            g[3] = True
+            out.append(g)
+        if x < len(a):
+            _join(a[x], b[y])
+            out.append(a[x])
+        i, j = x + 1, y + 1
+    # Two groups of one label side by side are a repeated one; in wide expressions, wherever they stand.
     kept: list = []
-    for g in out:
+    for g in _drawn(out) if wide else out:
         if kept and kept[-1][0] == g[0]:
             optional = kept[-1][3] and g[3]
             _join(kept[-1], g)
@@ -350,27 +426,36 @@ def text_of(blocks: list, path: list[str], kept: Iterable[str] = ()) -> str:
     """
     wanted = [p.split(".")[0] for p in path]
 
-    def chosen(test) -> list[str]:
-        lines = []
-        for steps, text, _ in blocks:
-            labels = [s for s, _ in steps]
-            in_article = False
-            for k, label in enumerate(labels):
-                if is_furniture(label, in_article) and not (kept and ">".join(labels[:k + 1]) in kept):
-                    break
-                in_article = in_article or label.split(".")[0] in ("article", "main")
-            else:
-                if test(labels):
-                    lines.append(text)
-        return lines
-
-    lines = chosen(lambda labels: labels[:len(path)] == path) if path else []
+    def states(kept) -> dict[int, tuple]:
+        """By element: (in furniture, in an article, path of labels, how much of `path` leads here, last label met)."""
+        found: dict[int, tuple] = {0: (False, False, "", 0, False)}
+        for element, _, _ in blocks:
+            chain = []
+            while element and id(element) not in found:
+                chain.append(element)
+                element = element.parent
+            for e in reversed(chain):
+                cut, in_article, here, led, met = found[id(e.parent) if e.parent else 0]
+                # Only names up to the depth of wrappers can be kept ones.
+                here = (f"{here}>{e.label}" if here else e.label) if e.depth <= DEEPEST else ""
+                cut = cut or is_furniture(e.label, in_article) and not (here and here in kept)
+                in_article = in_article or e.label.split(".")[0] in ("article", "main")
+                led = led + 1 if led == e.depth - 1 and led < len(path) and e.label == path[led] else led
+                met = met or bool(path) and e.label == path[-1]
+                found[id(e)] = (cut, in_article, here, led, met)
+        return found
+
+    def chosen(state: dict[int, tuple], test) -> list[str]:
+        return [text for e, text, _ in blocks if not (s := state[id(e) if e else 0])[0] and test(s)]
+
+    state = states(frozenset(kept))
+    lines = chosen(state, lambda s: s[3] == len(path)) if path else []
     if not lines and path and wanted[-1] not in ("body", "html", "div"):
-        lines = chosen(lambda labels: path[-1] in labels)
-    lines = lines or chosen(lambda labels: True)
+        lines = chosen(state, lambda s: s[4])
+    lines = lines or chosen(state, lambda s: True)
     if not lines and blocks:
         kept = [k for k in kept_groups(groups_of(blocks), 1) if not FURNITURE_WORDS.issuperset(k.split(">")[-1].split(".")[1:])]
-        lines = chosen(lambda labels: True) if kept else lines
+        lines = chosen(states(frozenset(kept)), lambda s: True) if kept else lines
     return "\n".join(lines)
 
 

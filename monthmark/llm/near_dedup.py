@@ -343,7 +343,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", band
 
 
 def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of one document of each group: the one with the smallest key; all columns stay."""
+    """The rows of one document of each group of near copies, the one with the smallest key; all columns stay.
+
+    Of rows that share that key and their text one stays, the smallest by the other columns; rows of the key with other
+    texts stay as well. Rows without key, and null or empty texts, are no copies of another row. An empty table stays empty.
+    """
+    name, words = quoted(key), F.xxhash64(F.col(quoted(text)))
     gone = (near_duplicates(df, key, text).where(~F.col("kept"))
-            .select(F.col(quoted(key)).alias(name := free_name(df, "_gone"))).distinct())
-    return df.join(gone, F.col(quoted(key)) == F.col(name), "left_anti")
+            .select(F.col(name).alias(mark := free_name(df, "_gone"))).distinct())
+    rest = df.join(gone, F.col(name) == F.col(mark), "left_anti")
+    # Few rows are repeated; only those meet, and of each set only the smallest one travels.
+    same = free_name(df, "_same")
+    several = written(df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(mark), words.alias(same))
+                      .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(mark, same), "repeated-rows")
+    meet = (F.col(name) == F.col(mark)) & (words == F.col(same))
+    others = [c for c in df.columns if c not in (key, text)]
+    first = (rest.join(several, meet, "left_semi").groupBy(F.col(name).alias("k"), F.col(quoted(text)).alias("t"))
+             .agg(F.min(F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("end"))).alias("r")))
+    at = {key: "k", text: "t", **{c: f"r.c{i}" for i, c in enumerate(others)}}
+    return rest.join(several, meet, "left_anti").unionByName(first.select(*[F.col(at[c]).alias(c) for c in df.columns]))

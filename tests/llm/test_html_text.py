@@ -101,3 +101,41 @@ def test_furniture():
     assert is_furniture("div.ad", False) and is_furniture("div.side.sidebar", False) and not is_furniture("div.header", False)
     assert is_furniture("header", False) and not is_furniture("header", True) and is_furniture("div.role.navigation", False)
     assert not is_furniture("div.article.body", False)
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<body>" + "<div>" * 10_000 + "<p>bottom {n}</p><div class=ad>Buy</div>" + "</div>" * 10_000 + "<p>after {n}</p></body>"
+    levels = "<body>" + "".join(f"<div>level {k} of {{n}}" for k in range(3_000)) + "</body>"
+    tags = ["p", "h2", "div", "ul class=a", "table class=b", "section", "pre"]
+    wide = ["<body><article>" + "".join(f"<{tags[k * k * (n + 3) % 7]}>text {n} {k}</{tags[k * k * (n + 3) % 7].split()[0]}>" for k in range(5_000))
+            + "</article></body>" for n in range(6)]
+    rows = [(k, f"http://deep/{k}", deep.format(n=k)) for k in range(3)] + [(10 + k, "http://levels/", levels.format(n=k)) for k in range(3)]
+    rows += [(20 + k, "http://wide/", page) for k, page in enumerate(wide)]
+    got = run(spark, rows)
+    assert got[1]["text"] == "bottom 1\nafter 1"
+    assert got[11]["text"] == "\n".join(f"level {k} of 1" for k in range(3_000))
+    assert got[23]["text"] == "\n".join(f"text 3 {k}" for k in range(5_000))
+
+
+def test_wide_alignment_is_near_linear():
+    import time
+
+    pages = [groups_of(blocks_of("".join(f"<p class=c{''.join(chr(97 + int(d)) for d in str((k * 7919 + n) % 3_000))}>x {n}</p>" for k in range(3_000))))
+             for n in range(4)]
+    start, wrapper = time.perf_counter(), pages[0]
+    for p in pages[1:]:
+        wrapper = aligned(wrapper, p)
+    assert time.perf_counter() - start < 5 and len(wrapper) <= 3_000
+
+
+def test_grid_columns_are_different_places(spark):
+    page = ("<body><div class='row'><div class='col-md-8'><h1>Title {n}</h1><p>The article number {n} says a good deal.</p></div>"
+            "<div class='col-md-4'><h4>Other stories</h4><p>Teaser</p></div></div></body>")
+    rows = [(k, "http://grid/", page.format(n=k)) for k in range(6)]
+    assert run(spark, rows)[2]["text"] == "Title 2\nThe article number 2 says a good deal."
+
+
+def test_raw_elements_never_end_themselves(spark):
+    page = ("<body><article><p>one</p><script src=/a.js/>var leak = 1;</script><style media=x />p {}</style><svg/><p>two</p>"
+            "<iframe src=/x/>inner</iframe><p>three</p></article></body>")
+    assert run(spark, [(1, "http://raw/", page)])[1]["text"] == "one\ntwo\nthree"

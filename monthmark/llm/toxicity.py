@@ -144,6 +144,24 @@ def _landmark_products(words: list[str], explicit: tuple[np.ndarray, np.ndarray]
     return out / np.sqrt(np.maximum(square, DECAY ** (2 * LENGTH)))[:, None].astype(np.float32)
 
 
+def _sentence_sums(words: list[str], members: np.ndarray, lengths: np.ndarray, explicit: tuple[np.ndarray, np.ndarray],
+                   root: np.ndarray, at_once: int = 20_000) -> np.ndarray:
+    """Sum of the mapped words of each sentence, some words at a time: no table of all words is held."""
+    x = np.zeros((len(lengths), root.shape[1]), np.float32)
+    by_word = np.argsort(members, kind="stable")
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    for a in range(0, len(words), at_once):
+        mapped = _landmark_products(words[a:a + at_once], explicit) @ root
+        lo, hi = np.searchsorted(members, [a, a + at_once], sorter=by_word)
+        tokens = np.sort(by_word[lo:hi])  # in reading order, so sentences ascend
+        for b in range(0, len(tokens), at_once):
+            part = tokens[b:b + at_once]
+            sentence = of[part]
+            first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+            x[sentence[first]] += np.add.reduceat(mapped[members[part] - a], first, axis=0)
+    return x
+
+
 def _landmarks(words: list[str], members: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> list[str]:
     """Words by how much more often toxic documents hold them, and common others.
 
@@ -243,13 +261,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Mode
     kernel = _landmark_products(landmarks, explicit).astype(np.float64)
     value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
     root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    mapped = _landmark_products(words, explicit) @ root.astype(np.float32)
-    starts = np.cumsum(lengths) - lengths
-    x = np.empty((len(lengths), mapped.shape[1]), np.float32)
-    for a in range(0, len(lengths), 1000):
-        b = min(len(lengths), a + 1000)
-        x[a:b] = np.add.reduceat(mapped[members[starts[a]:starts[b - 1] + lengths[b - 1]]], starts[a:b] - starts[a], axis=0)
-    del mapped, number, words
+    x = _sentence_sums(words, members, lengths, explicit, root.astype(np.float32))
+    del number, words
     bad = tags[of]
     positive = bad.copy()
     for _ in range(ROUNDS):

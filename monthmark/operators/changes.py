@@ -48,10 +48,15 @@ def _transitions(items: DataFrame, calendars: DataFrame, mode: str) -> DataFrame
 
     `items` has (policy, kind, key, m) in any multiplicity.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
     spans = items.where(F.col("key").isNotNull()).groupBy("policy", "kind", "key").agg(
         F.collect_set("m").alias("s"))
+    return span_moves(spans, calendars, mode)
+
+
+def span_moves(spans: DataFrame, calendars: DataFrame, mode: str) -> DataFrame:
+    """The same from (policy, kind, key, s), s the distinct months an item is in."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
     # A policy may hold most of the items, its calendar is one row.
     spans = salted_join(spans, calendars, ["policy"], ["kind", "key"])
     if mode == "present":  # compare positions in the policy's own months

@@ -160,27 +160,27 @@ def dense_steps(steps: DataFrame, key: str = "age") -> DataFrame:
     """A sparse step table as one row per whole number up to its last step.
 
     Each step covers the numbers up to the next one, so an as-of lookup becomes an equality
-    join; `_last` marks the last step, which holds for all greater numbers as well.
+    join; the last step holds for all greater numbers as well.
     """
     from pyspark.sql import Window
 
     # A step table has a few dozen rows; its order needs one task.
     follow = F.lead(key).over(Window.orderBy(key))
-    return (steps.withColumn("_last", follow.isNull()).withColumn("_to", F.coalesce(follow - 1, key))
-            .select(F.explode(F.sequence(key, "_to")).alias(key), "factor", "_last"))
+    return (steps.withColumn("_to", F.coalesce(follow - 1, key))
+            .select(F.explode(F.sequence(key, "_to")).alias(key), "factor"))
 
 
 def join_step_factor(df: DataFrame, steps: DataFrame, age: str, name: str,
                      key: str = "age", default: float = 1.0) -> DataFrame:
-    """Factor of the greatest step at or below the age, by equality joins."""
+    """Factor of the greatest step at or below the age, by one equality join.
+
+    Ages beyond the last step are looked up as that step; null ages and ages below the first step
+    get the default.
+    """
     dense = dense_steps(steps, key)
+    last = dense.agg(F.max(key)).scalar()
     inside = dense.select(F.col(key).alias("_step"), F.col("factor").alias("_factor"))
-    # Ages without a step meet the one row of the last one.
-    beyond = dense.where("_last").select(F.lit(True).alias("_positive"), F.col(key).alias("_end"),
-                                         F.col("factor").alias("_end_factor"))
-    joined = (df.withColumn("_step", F.col(age)).join(inside, "_step", "left")
-              .withColumn("_positive", F.when(F.col("_factor").isNull(), F.col(age).isNotNull()))
-              .join(beyond, "_positive", "left"))
-    past = F.when(F.col(age) > F.col("_end"), F.col("_end_factor"))
-    return (joined.withColumn(name, F.coalesce("_factor", past, F.lit(default)))
-            .drop("_step", "_factor", "_positive", "_end", "_end_factor"))
+    # least() passes over nulls, so a missing age has to stay missing by itself.
+    step = F.when(F.col(age).isNotNull(), F.least(F.col(age), last))
+    return (df.withColumn("_step", step).join(inside, "_step", "left")
+            .withColumn(name, F.coalesce("_factor", F.lit(default))).drop("_step", "_factor"))

@@ -37,6 +37,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/monthmark/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of whatever store they are in; those that are gone already are passed over."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written below the shared folder and read back: later steps see them as they are now."""
     path = scratch_path(df.sparkSession, name)

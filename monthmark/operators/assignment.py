@@ -55,8 +55,9 @@ def initial_assignments(vehicles: DataFrame, drivers: DataFrame, params: Params)
         "family_id", "driver_no", "age", order_key.alias("_order"))
     d = bucketed_rank(people, ["family_id"], [F.col("_order")], prefix_bucket(people, "_order"), "d_slot")
     sizes = _sizes(vehicles, people)
-    d = salted_join(d, sizes, ["family_id"], ["driver_no"])
-    v = salted_join(_vehicle_slots(vehicles), sizes, ["family_id"], ["vehicle_no"])
+    d = salted_join(d, sizes, ["family_id"], ["driver_no"], counts=sizes.select("family_id", F.col("drivers").alias("n")))
+    v = salted_join(_vehicle_slots(vehicles), sizes, ["family_id"], ["vehicle_no"],
+                    counts=sizes.select("family_id", F.col("vehicles").alias("n")))
 
     spare = (F.col("drivers") > F.col("vehicles")) & (F.col("d_slot") >= F.col("vehicles"))
     young = (F.col("drivers") == F.col("vehicles")) & _teen(params)
@@ -110,7 +111,7 @@ def reassign(vehicles: DataFrame, drivers: DataFrame, params: Params, on: date)
                       F.concat(padded(F.coalesce("age", F.lit(0)), 10),
                                prefix_bucket(people, "driver_no")), "d_slot")
     sizes = _sizes(v, people).where("vehicles > 0 AND drivers > 0")
-    v = salted_join(v, sizes, ["family_id"], ["vehicle_no"])
+    v = salted_join(v, sizes, ["family_id"], ["vehicle_no"], counts=sizes.select("family_id", F.col("vehicles").alias("n")))
     more = F.col("drivers") > F.col("vehicles")
     by_slot = d.select("family_id", "d_slot", "driver_no", "age")
 

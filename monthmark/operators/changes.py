@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from monthmark.functions.columns import (assignment_key, index_month, index_year, month_index,
                                          period)
+from monthmark.functions.ranking import range_rank
 from monthmark.functions.skew import salted_join
 from monthmark.operators.aggregates import MONTH
 
@@ -28,9 +29,9 @@ def _known() -> Column:
 
 
 def _calendars(panel: DataFrame) -> DataFrame:
-    """Sorted months of each policy: one row per policy, no longer than the calendar."""
+    """Sorted months of each policy, no longer than the calendar, and its number of rows: one row per policy."""
     return panel.where(_known()).groupBy("policy").agg(
-        F.array_sort(F.collect_set(month_index())).alias("months"))
+        F.array_sort(F.collect_set(month_index())).alias("months"), F.count(F.lit(1)).alias("n"))
 
 
 def _policy_months(calendars: DataFrame, mode: str) -> DataFrame:
@@ -54,11 +55,14 @@ def _transitions(items: DataFrame, calendars: DataFrame, mode: str) -> DataFrame
 
 
 def span_moves(spans: DataFrame, calendars: DataFrame, mode: str) -> DataFrame:
-    """The same from (policy, kind, key, s), s the distinct months an item is in."""
+    """The same from (policy, kind, key, s), s the distinct months an item is in.
+
+    `calendars` has (policy, months, n), n being the policy's number of rows at least.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     # A policy may hold most of the items, its calendar is one row.
-    spans = salted_join(spans, calendars, ["policy"], ["kind", "key"])
+    spans = salted_join(spans, calendars.drop("n"), ["policy"], ["kind", "key"], counts=calendars)
     if mode == "present":  # compare positions in the policy's own months
         spans = spans.withColumn("s", F.transform(
             "s", lambda x: F.array_position("months", x).cast("int")))
@@ -160,8 +164,8 @@ def change_context(panel: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("change", F.lit("none"))).alias("change"), "assignment")
 
 
-def _age_jumps(panel: DataFrame, mode: str) -> DataFrame:
-    """(policy, m, prev): drivers whose age differs by over a year from their last month.
+def _age_jumps(panel: DataFrame) -> DataFrame:
+    """(policy, m, before): months of a driver whose age differs by over a year from the month before.
 
     One row per policy, driver and month before the window, which bounds its groups.
     """
@@ -169,34 +173,31 @@ def _age_jumps(panel: DataFrame, mode: str) -> DataFrame:
         "policy", "driver_no", month_index().alias("m")).agg(F.max("driver_age").alias("age"))
     w = Window.partitionBy("policy", "driver_no").orderBy("m")
     jump = F.abs(F.col("age") - F.lag("age").over(w)) > 1
-    return ages.select("policy", "m", F.lag("m").over(w).alias("prev"), jump.alias("j")).where(
-        "j").drop("j")
+    return ages.select("policy", "m", F.lag("m").over(w).alias("before"), jump.alias("j")).where("j").drop("j")
 
 
 def detailed_changes(panel: DataFrame, mode: str = "present") -> DataFrame:
     """Month-level comparison of vehicles, drivers and driver ages.
 
-    A vehicle is its number, VIN, type and model year; a driver its number, licence, name and
-    type; an age jump is a driver of both months whose age differs by more than one year.
+    A vehicle is its number, VIN, type and model year; a driver its number, licence, name and type, value by
+    value: a missing one is a value of its own. An age jump is a driver of both months whose age differs by more than one
+    year.
     """
-    text = lambda *cols: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
-                                            for c in cols])
-    item = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    both = F.array(
-        item("vehicle", text("vehicle_no", "vehicle_vin", "vehicle_type", "model_year")),
-        item("driver", text("driver_no", "driver_license_no", "driver_name", "driver_type")))
-    items = (panel.where(_known()).select("policy", month_index().alias("m"),
-                                          F.explode(both).alias("i"))
-             .select("policy", "i.kind", "i.key", "m"))
+    # Values with their lengths: no two lists of values share a text, and texts sort much faster than structs.
+    value = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    item = lambda kind, columns: F.struct(F.lit(kind).alias("kind"), F.concat(
+        *[value(F.col(c).cast("string")) for c in columns]).alias("key"))
+    items = (panel.where(_known()).select("policy", month_index().alias("m"), F.explode(
+        F.array(item("vehicle", _VEHICLE), item("driver", _DRIVER))).alias("i")).select("policy", "i.kind", "i.key", "m"))
     calendars = _calendars(panel)
+    moves = _transitions(items, calendars, mode).select("policy", "m", "kind")
     before = F.get("months", F.array_position("months", F.col("m")).cast("int") - 2)
     compared = before if mode == "present" else F.col("m") - 1
-    jumps = _age_jumps(panel, mode).join(calendars, "policy").where(
-        F.col("prev") == compared).select("policy", "m", F.lit("age").alias("kind"))
-    events = _transitions(items, calendars, mode).select("policy", "m", "kind").unionByName(jumps)
+    jumps = salted_join(_age_jumps(panel), calendars.drop("n"), ["policy"], ["m", "before"], counts=calendars).where(
+        F.col("before") == compared).select("policy", "m", F.lit("age").alias("kind"))
     marks = _policy_months(calendars, mode).select("policy", "m", F.lit("month").alias("kind"))
     any_of = lambda k: F.max(F.col("kind") == k)
-    out = marks.unionByName(events).groupBy("policy", "m").agg(
+    out = marks.unionByName(moves).unionByName(jumps).groupBy("policy", "m").agg(
         any_of("vehicle").alias("vehicle_changed"), any_of("driver").alias("driver_changed"),
         any_of("age").alias("age_jump"))
     out = out.withColumn("major_change",
@@ -353,15 +354,15 @@ def next_change_after(changes: DataFrame, after: int) -> DataFrame:
 
 
 def next_changed_policy(changes: DataFrame) -> DataFrame:
-    """For every changed policy the next one in key order, and that one's first change."""
-    from monthmark.functions.ranking import bucketed_lead
+    """For every changed policy the next one in key order, and that one's first change.
 
-    first = first_change(changes)
-    follow = bucketed_lead(first, "policy", "next_policy")
-    target = first.select(F.col("policy").alias("next_policy"),
-                          F.col("first_change_period").alias("next_first_change_period"))
-    return follow.join(target, "next_policy", "left").select(
-        "policy", "next_policy", "next_first_change_period")
+    Policies are numbered by a sample sort; the next one has the next number, whatever the keys look like.
+    """
+    first = first_change(changes).where(F.col("policy").isNotNull())
+    numbered = range_rank(first, [], ["policy"], "n")
+    target = numbered.select((F.col("n") - 1).alias("n"), F.col("policy").alias("next_policy"),
+                             F.col("first_change_period").alias("next_first_change_period"))
+    return numbered.join(target, "n", "left").select("policy", "next_policy", "next_first_change_period")
 
 
 def next_changed_policy_after(changes: DataFrame, current: str) -> DataFrame:

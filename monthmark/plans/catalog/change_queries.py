@@ -67,8 +67,8 @@ def _(t):
 
 @query("chg_detail_month", """
 WITH s AS (SELECT policy, inforce_yy, inforce_mm,
-    list_sort(list(DISTINCT concat_ws('|', vehicle_no, vehicle_vin, vehicle_type, model_year))) AS v,
-    list_sort(list(DISTINCT concat_ws('|', driver_no, driver_license_no, driver_name, driver_type))) AS d
+    list_sort(list(DISTINCT {'a': vehicle_no, 'b': vehicle_vin, 'c': vehicle_type, 'd': model_year})) AS v,
+    list_sort(list(DISTINCT {'a': driver_no, 'b': driver_license_no, 'c': driver_name, 'd': driver_type})) AS d
   FROM fx_panel GROUP BY policy, inforce_yy, inforce_mm),
 l AS (SELECT *, lag(v) OVER w AS pv, lag(d) OVER w AS pd,
     lag(inforce_yy * 100 + inforce_mm) OVER w AS pp FROM s

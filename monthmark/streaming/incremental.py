@@ -74,7 +74,7 @@ def flags_after(state: DataFrame, fresh: DataFrame, mode: str = "present") -> Da
     brought = fresh.select("policy", F.explode("s").alias("m")).groupBy("policy").agg(F.collect_set("m").alias("brought"))
     items = state.join(brought.select("policy"), "policy", "left_semi").withColumn("s", months_of(F.col("runs")))
     calendars = items.select("policy", F.explode("s").alias("m")).groupBy("policy").agg(
-        F.array_sort(F.collect_set("m")).alias("months"))
+        F.array_sort(F.collect_set("m")).alias("months"), F.count(F.lit(1)).alias("n"))
     before = lambda i: F.get("months", i - 1)
     if mode == "present":
         follows = lambda m, i: F.coalesce(F.array_contains("brought", before(i)), F.lit(False))

@@ -150,3 +150,14 @@ def test_next_changed_policy_after(panel_of):
     assert after("zz") == [("a", 201802)]
     pairs = {r.policy: r.next_policy for r in ch.next_changed_policy(changes).collect()}
     assert pairs == {"a": "c", "c": "e", "e": None}
+
+
+def test_details_are_compared_value_by_value(spark, panel_of):
+    """A mark inside a value, and a missing value, are no part of another one."""
+    rows = []
+    for policy, first, second in (("a", ("A|B", "C"), ("A", "B|C")), ("b", ("V", None), ("V", "")), ("c", ("V", "C"), ("V", "C"))):
+        for m, (vin, kind) in ((1, first), (2, second)):
+            rows.append({"policy": policy, "inforce_yy": 2018, "inforce_mm": m, "vehicle_vin": vin, "vehicle_type": kind})
+    got = {(r.policy, r.inforce_mm): r.vehicle_changed for r in ch.detailed_changes(panel_of(rows)).collect()}
+    assert got == {("a", 1): False, ("a", 2): True, ("b", 1): False, ("b", 2): True, ("c", 1): False, ("c", 2): False}
+

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from monthmark.functions import columns as col
 from monthmark.functions import ranking
-from monthmark.functions.skew import salted_join
+from monthmark.functions.skew import hot_keys, salted_join
 from monthmark.operators import rating as rt
 from monthmark.params import Params, factor_table, load_params, params_from_dict
 from monthmark.schema import POLICIES
@@ -53,10 +53,50 @@ def test_steps_beyond_any_age(spark):
 def test_salted_join(spark):
     many = spark.createDataFrame([("hot", i) for i in range(4000)] + [("x", 1), (None, 2)], "k string, i long")
     few = spark.createDataFrame([("hot", "h"), ("x", "y"), ("z", "z")], "k string, v string")
-    got = salted_join(many, few, ["k"], ["i"])
-    assert sorted(map(str, got.collect())) == sorted(map(str, many.join(few, "k").collect()))
-    parts = many.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(16))).where("k = 'hot'").groupBy("s").count()
-    assert max(r["count"] for r in parts.collect()) < 4000 / 8
+    want = sorted(map(str, many.join(few, "k").collect()))
+    for rows in (10 ** 6, 100):
+        assert sorted(map(str, salted_join(many, few, ["k"], ["i"], rows_per_salt=rows).collect())) == want
+    left = many.join(few, "k", "left")
+    assert sorted(map(str, salted_join(many, few, ["k"], ["i"], "left", rows_per_salt=100).collect())) == sorted(map(str, left.collect()))
+
+
+def test_salts_follow_counts(spark):
+    many = spark.createDataFrame([("hot", i) for i in range(4000)] + [(f"c{i % 500}", i) for i in range(8000)], "k string, i long").repartition(8)
+    counts = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert [tuple(r) for r in hot_keys(counts, ["k"], rows_per_salt=100).collect()] == [("hot", 40)]
+    assert hot_keys(counts, ["k"]).count() == 0  # cold keys are not repeated
+    few = spark.createDataFrame([("hot",)] + [(f"c{i}",) for i in range(500)], "k string")
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = salted_join(many, few, ["k"], ["i"], rows_per_salt=100).withColumn("task", F.spark_partition_id())
+        tasks = {r["task"]: r["count"] for r in out.where("k = 'hot'").groupBy("task").count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # A third of the rows, over more than 16 tasks and none with many of them.
+    assert sum(tasks.values()) == 4000 and len(tasks) > 16 and max(tasks.values()) < 600
+
+
+def test_range_rank(spark):
+    from monthmark.functions.ranking import range_rank
+
+    # A key of another kind beside a long common prefix, equal keys, null keys and a null group.
+    rows = [("g", f"POLICY-2024-000000{k:04d}") for k in range(3000)] + [("g", "A1"), ("h", None), ("h", "x"), (None, "x"), (None, None)]
+    rows += [("g", "POLICY-2024-0000001000")] * 500
+    df = spark.createDataFrame(rows, "grp string, k string").repartition(7)
+    got = range_rank(df, ["grp"], ["k"], "r", "n").collect()
+    for g in ("g", "h", None):
+        own = sorted((r for r in got if r.grp == g), key=lambda r: r.r)
+        assert [r.r for r in own] == list(range(len(own))) and {r.n for r in own} == {len(own)}
+        want = sorted((k for x, k in rows if x == g), key=lambda k: (k is not None, k or ""))
+        assert [r.k for r in own] == want
+    assert range_rank(df.limit(0), ["grp"], ["k"], "r").count() == 0
+    flat = range_rank(df, [], ["k"], "r").orderBy("r").collect()
+    assert [r.r for r in flat] == list(range(len(rows)))
 
 
 def test_large_numbers_keep_families_apart(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,44 +102,71 @@ def bucketed_lead(df: DataFrame, key: str, out: str, length: int = PREFIX) -> Da
 # ln(1 + |v|) of any double is below 710, so the bucket table has a fixed upper size.
 _LOG_BUCKETS = 512
 
+#: Parts into which a bucket is divided that holds too many distinct values, and how many one task may well sort.
+_PARTS, SORTED_AT_ONCE = 4096, 100_000
+
 
 def _log_bucket(v: Column) -> Column:
-    # Never null, so the join on it adds no filter and both its sides share one shuffle.
-    b = (F.signum(v) * F.floor(F.log1p(F.abs(v)) * _LOG_BUCKETS)).cast("long")
-    return F.coalesce(b, F.lit(0).cast("long"))
+    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * _LOG_BUCKETS)).cast("long")
+
+
+def _in_ranges(ranges: list, what: Callable[[int], Column]) -> Column:
+    """what(i) for values in the i-th range (a column's ranges do not overlap), null for all others."""
+    out = F.lit(None)
+    for i, r in enumerate(ranges):
+        inside = (F.col("column_name") == r.column_name) & F.col("v").between(F.lit(r.least), F.lit(r.most))
+        out = F.when(inside, what(i)).otherwise(out)
+    return out
+
+
+def _middle(buckets: DataFrame, by: str) -> list:
+    """The buckets that hold the middle ranks, two for each column at most.
+
+    `buckets` has (`by`, column_name, b, n, distinct, least, most, before); `before` counts the column's values
+    in front of all of them.
+    """
+    whole = Window.partitionBy(by)
+    upto = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.col("before") + F.sum("n").over(upto) - F.col("n")
+    return (buckets.withColumn("before", first)
+            .where((F.col("before") + F.col("n") >= F.col("lo")) & (F.col("before") < F.col("hi")))
+            .select("column_name", "distinct", "least", "most", "before", "lo", "hi").collect())
 
 
-def exact_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact medians, one row per column: (column_name, median).
+def exact_median(df: DataFrame, columns: list[str], at_once: int = SORTED_AT_ONCE) -> DataFrame:
+    """Exact medians, one row per column: (column_name, median). Columns without a value have none.
 
-    Values are counted once (map-side combined), the counts are summed over monotone
-    logarithmic buckets, and only the bucket holding the middle ranks is looked into.
+    Values are counted once (map-side combined) and stored. Their counts are summed over monotone logarithmic
+    buckets; a bucket that holds a middle rank and more than `at_once` distinct values is divided
+    evenly between its least and its greatest value, again and again until it is small, and only then sorted.
+    The driver sees two buckets per column at most.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v"))
                       for c in columns])
-    counted = (df.select(F.explode(pairs).alias("p")).select("p.*")
-               .where(~F.isnan("v") & (F.abs("v") < float("inf")))  # null, NaN, infinite: no value
-               .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("b", _log_bucket(F.col("v"))))
-    per_bucket = counted.groupBy("column_name", "b").agg(F.sum("n").alias("n"))
-    by_column = Window.partitionBy("column_name")
-    upto = by_column.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = (per_bucket
-              .withColumn("_upto", F.sum("n").over(upto))
-              .withColumn("_total", F.sum("n").over(by_column))
-              .withColumn("_lo", F.floor((F.col("_total") + 1) / 2))
-              .withColumn("_hi", F.floor((F.col("_total") + 2) / 2))
-              .where((F.col("_upto") >= F.col("_lo")) &
-                     (F.col("_upto") - F.col("n") < F.col("_hi")))
-              .select("column_name", "b", (F.col("_upto") - F.col("n")).alias("_before"),
-                      "_lo", "_hi"))
-    inside = (Window.partitionBy("column_name", "b").orderBy("v")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = F.col("_before") + F.sum("n").over(inside)
-    # Two buckets at most per column: the broadcast has a fixed bound.
-    ranked = (counted.join(F.broadcast(middle), ["column_name", "b"])
-              .withColumn("_last", last)
-              .withColumn("_first", F.col("_last") - F.col("n") + 1))
-    at = lambda r: F.max(F.when((F.col("_first") <= r) & (F.col("_last") >= r), F.col("v")))
-    return ranked.groupBy("column_name").agg(
-        ((at(F.col("_lo")) + at(F.col("_hi"))) / 2).alias("median"))
+    counted = stored(df.select(F.explode(pairs).alias("p")).select("p.*")
+                     .where(~F.isnan("v") & (F.abs("v") < float("inf")))  # null, NaN, infinite: no value
+                     .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")), "values")
+    sums = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"), F.min("v").alias("least"),
+            F.max("v").alias("most")]
+    total = F.sum("n").over(Window.partitionBy("column_name"))
+    ranges = _middle(counted.groupBy("column_name", _log_bucket(F.col("v")).alias("b")).agg(*sums)
+                     .withColumns({"before": F.lit(0).cast("long"), "lo": F.floor((total + 1) / 2),
+                                   "hi": F.floor((total + 2) / 2)}), "column_name")
+    large = [r for r in ranges if r.distinct > at_once]
+    while large:
+        # The least value falls into the first part and the greatest into the last: each is smaller than before.
+        share = lambda i: F.least(
+            F.floor((F.col("v") - large[i].least) / (large[i].most - large[i].least) * _PARTS), F.lit(_PARTS - 1))
+        parts = (counted.withColumn("range", _in_ranges(large, F.lit)).where(F.col("range").isNotNull())
+                 .groupBy("range", "column_name", _in_ranges(large, share).alias("b")).agg(*sums))
+        of = lambda c: F.element_at(F.array(*[F.lit(r[c]) for r in large]), F.col("range") + 1)
+        ranges = [r for r in ranges if r.distinct <= at_once] + _middle(
+            parts.withColumns({c: of(c) for c in ("before", "lo", "hi")}), "range")
+        large = [r for r in ranges if r.distinct > at_once]
+    inside = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = lambda c: _in_ranges(ranges, lambda i: F.lit(ranges[i][c])).cast("long")
+    ranked = (counted.withColumn("range", _in_ranges(ranges, F.lit)).where(F.col("range").isNotNull())
+              .withColumns({c: known(c) for c in ("before", "lo", "hi")})
+              .withColumn("last", F.col("before") + F.sum("n").over(inside)))
+    at = lambda r: F.max(F.when((F.col("last") - F.col("n") < F.col(r)) & (F.col(r) <= F.col("last")), F.col("v")))
+    return ranked.groupBy("column_name").agg(((at("lo") + at("hi")) / 2).alias("median"))

@@ -94,16 +94,27 @@ def cumulative_policies(df: DataFrame) -> DataFrame:
 def policy_month_rollup(df: DataFrame) -> DataFrame:
     """One row per policy-month with everything the monthly report needs.
 
-    The two distinct counts make Spark shuffle on (policy, month, driver or vehicle) after
-    combining on the map side, so no policy or month is a hot group.
+    Every row becomes a driver item, which carries the measures, and a vehicle item. Items are combined
+    on the map side and counted where they are distinct, so no policy or month is a hot group.
     """
-    flag = [F.max("major_change").alias("major_change")] if "major_change" in df.columns else []
-    return df.groupBy("policy", *MONTH).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(cents("premium_paid")).alias("premium_cents"),
-        F.count("premium_paid").alias("premium_n"), F.sum("driver_age").alias("age_sum"),
-        F.count("driver_age").alias("age_n"),
-        F.count_distinct("driver_no").alias("driver_count"),
-        F.count_distinct("vehicle_no").alias("vehicle_count"), *flag)
+    flag = ["major_change"] if "major_change" in df.columns else []
+    one = F.lit(1).cast("long")
+    measures = {"n": one, "premium_cents": cents("premium_paid"),
+                "premium_n": F.col("premium_paid").isNotNull().cast("long"),
+                "age_sum": F.col("driver_age").cast("long"), "age_n": F.col("driver_age").isNotNull().cast("long")}
+    text = lambda c: F.col(c).cast("string").alias("key")
+    driver = F.struct(F.lit(True).alias("of_driver"), text("driver_no"), *[v.alias(k) for k, v in measures.items()],
+                      *flag)
+    empty = [F.lit(None).cast("long").alias(k) for k in measures]
+    vehicle = F.struct(F.lit(False).alias("of_driver"), text("vehicle_no"), *empty,
+                       *[F.lit(None).cast("boolean").alias(c) for c in flag])
+    keys = ["policy", *MONTH]
+    add = [F.sum(c).alias(c) for c in measures] + [F.max(c).alias(c) for c in flag]
+    items = (df.select(*keys, F.explode(F.array(driver, vehicle)).alias("i")).select(*keys, "i.*")
+             .groupBy(*keys, "of_driver", "key").agg(*add))
+    known = F.col("key").isNotNull()
+    return items.groupBy(*keys).agg(*add, F.count_if(F.col("of_driver") & known).alias("driver_count"),
+                                    F.count_if(~F.col("of_driver") & known).alias("vehicle_count"))
 
 
 def monthly_distribution(df: DataFrame, changed: DataFrame | None = None) -> DataFrame:
@@ -111,9 +122,12 @@ def monthly_distribution(df: DataFrame, changed: DataFrame | None = None) -> Dat
 
     `changed` holds the policy-months with a change; with it (or with a major_change column
     in the panel) the change counts are added, by rows and by policies. It is joined at
-    policy-month grain, so the panel itself is never shuffled for the flags.
+    policy-month grain, so the panel itself is never shuffled for the flags. First months come from the
+    policy-months as well: the panel is read once, besides what `changed` reads.
     """
-    rollup = policy_month_rollup(df)
+    # A policy's policy-months are no more than the calendar has months.
+    first = F.min(period()).over(Window.partitionBy("policy"))
+    rollup = policy_month_rollup(df).withColumn("is_new", F.col("policy").isNotNull() & (period() == first))
     if changed is not None:
         marks = changed.select("policy", *MONTH, F.lit(True).alias("major_change"))
         rollup = rollup.join(marks, ["policy", *MONTH], "left")
@@ -122,18 +136,14 @@ def monthly_distribution(df: DataFrame, changed: DataFrame | None = None) -> Dat
             F.sum("premium_cents").alias("premium_cents"), F.sum("premium_n").alias("premium_n"),
             F.sum("age_sum").alias("age_sum"), F.sum("age_n").alias("age_n"),
             F.count(F.lit(1)).alias("groups"), F.sum("driver_count").alias("drivers"),
-            F.sum("vehicle_count").alias("vehicles")]
+            F.sum("vehicle_count").alias("vehicles"), F.count_if("is_new").alias("new_policies")]
     if flagged:
         changed_rows = F.sum(F.when(F.col("major_change"), F.col("n")))
         sums += [F.coalesce(changed_rows, F.lit(0)).alias("rows_changed"),
                  F.count_if("major_change").alias("policies_changed")]
-    month = rollup.groupBy(*MONTH).agg(*sums).withColumn("period", period())
-    new = first_periods(df).groupBy(F.col("first_period").alias("period")).agg(
-        F.count("policy").alias("new_policies"))
-    month = (month.join(new, "period", "left")
-             .withColumn("new_policies", F.coalesce("new_policies", F.lit(0)))
-             .withColumn("cumulative_policy_count", F.sum("new_policies").over(
-                 _by_period().rowsBetween(Window.unboundedPreceding, 0))))
+    month = rollup.groupBy(*MONTH).agg(*sums).withColumn("period", period()).withColumn(
+        "cumulative_policy_count",
+        F.sum("new_policies").over(_by_period().rowsBetween(Window.unboundedPreceding, 0)))
     c = F.col
     out = [
         c("inforce_yy").alias("year"), c("inforce_mm").alias("month"),

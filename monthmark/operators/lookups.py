@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthmark.functions.columns import month_index, period
-from monthmark.functions.ranking import bucketed_rank
+from monthmark.functions.columns import period
+from monthmark.functions.ranking import range_rank
 from monthmark.operators.aggregates import MONTH
 
 KEYS = ["policy", *MONTH]
@@ -32,10 +32,9 @@ def policy_month(df: DataFrame, policy: str, year: int, month: int) -> DataFrame
 def policy_timeline(df: DataFrame) -> DataFrame:
     """Rows of each policy in order of month, vehicle and driver, with their 0-based position.
 
-    Ranked a month at a time, so a policy's rows meet in one task only within a month.
+    Ranked by a sample sort, so neither a policy nor one of its months has to fit a task.
     """
-    rows = df.select("policy", *ROW_ORDER)
-    return bucketed_rank(rows, ["policy"], [F.col(c) for c in ROW_ORDER], month_index(), "position")
+    return range_rank(df.select("policy", *ROW_ORDER), ["policy"], ROW_ORDER, "position")
 
 
 def month_pair(df: DataFrame, year: int, month: int, policy: str | None = None) -> DataFrame:

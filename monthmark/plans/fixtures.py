@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from monthmark.functions.columns import cents, padded
 from monthmark.params import Params
 from monthmark.schema import PANEL_COLUMNS
-from monthmark.sources.staging import staged
+from monthmark.sources.staging import source_state, staged
 
 # Rating parameters of the fixture (PROMO has no factor on purpose).
 FIXTURE_PARAMS = Params(
@@ -46,7 +46,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
 
     def _staged(self, name, build, partition_by=()):
-        return staged(self.spark, self.folder, name, build, partition_by)
+        return staged(self.spark, self.folder, name, build, partition_by, self._state)
+
+    @cached_property
+    def _state(self) -> str:
+        return source_state(self.spark, self.folder)
 
     @cached_property
     def base(self) -> DataFrame:

@@ -163,6 +163,22 @@ def test_exact_median(spark):
     assert ranking.exact_median(empty, ["x"]).count() == 0
 
 
+def test_median_of_a_crowded_bucket(spark, monkeypatch):
+    """Values that share a logarithmic bucket are divided until one task may sort what is left."""
+    rng = random.Random(6)
+    near, tiny = [1 + rng.random() * 1e-4 for _ in range(20001)], [rng.gauss(0, 1e-200) for _ in range(20001)]
+    df = spark.createDataFrame(list(zip(near, tiny)), "near double, tiny double")
+    kept, seen = ranking._middle, []
+    monkeypatch.setattr(ranking, "_middle", lambda b, by: seen.append(kept(b, by)) or seen[-1])
+    for at_once in (1, 50, 10 ** 6):
+        seen.clear()
+        got = {r.column_name: r.median for r in ranking.exact_median(df, ["near", "tiny"], at_once).collect()}
+        assert got == {"near": statistics.median(near), "tiny": statistics.median(tiny)}
+        assert len(seen) == 1 if at_once == 10 ** 6 else len(seen) > 1
+        assert all(r.distinct <= at_once for r in seen[-1])
+        assert all(len(rows) <= 4 for rows in seen)
+
+
 def test_bucketed_rank_and_lead(spark):
     rng = random.Random(2)
     keys = [(rng.choice("ab"), f"{rng.randint(0, 10 ** 9):09d}") for _ in range(3000)]

@@ -58,3 +58,27 @@ def test_hot_policy(sort_merge, panel_of):
                for r in lifecycle.monthly_distribution(panel, ch.changed_months(panel)).collect()}
     assert monthly == {1: (301, 0, 0), 2: (301, 0, 0), 3: (301, 3000, 1)}
     panel.unpersist()
+
+
+def test_timeline_of_a_hot_month_is_spread(sort_merge, panel_of):
+    """Most rows are one policy-month; no window holds them, and each has its place."""
+    out = lookups.policy_timeline(panel_of(hot_rows()).where("inforce_mm = 1").repartition(8))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window " in x]
+    assert windows and all("_n" in x and "vehicle_no" not in x for x in windows)
+    rows = out.where("policy = 'hot'").orderBy("position").collect()
+    assert [(r.position, r.vehicle_no) for r in rows] == [(v, f"{v:05d}") for v in range(3000)]
+    files = [f for f in out.inputFiles() if "/ranges-" in f]
+    assert sum(out.sparkSession.read.parquet(f).where("policy = 'hot'").count() > 0 for f in files) > 1
+
+
+def test_monthly_report_reads_the_panel_once(spark, panel_of, tmp_path):
+    """First months, sizes and sums come from one pass; only the flags add others."""
+    panel_of(hot_rows()).write.parquet(f"{tmp_path}/panel")
+    panel = spark.read.parquet(f"{tmp_path}/panel")
+    report = lifecycle.monthly_distribution(panel)
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
+    assert "Expand" not in report._jdf.queryExecution().executedPlan().toString()
+    flags = ch.changed_months(panel)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+    assert scans(lifecycle.monthly_distribution(panel, flags)) == 1 + scans(flags)

@@ -24,6 +24,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of what finished jobs left on the driver: plans, generated code, broadcasts, shuffles.
+
+    Spark's cleaner drops them only after the JVM has collected garbage, which a roomy heap puts off while it grows.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def quoted(name: str) -> str:
     """A column name as an exact reference, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from monthmark.llm.common import free_name, quoted, written
+from monthmark.llm.common import free_name, quoted, settle, written
 
 #: Words of a shingle, similarity as a fraction, bits by which fingerprints may differ. Two texts of the
 #: wanted similarity differ in about 9 of 64 bits; 24 or more are beyond five standard deviations.
@@ -196,6 +196,7 @@ def _all(conditions: list[Column]) -> Column:
 def without_benchmark(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                       item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows whose text holds no item; all columns stay."""
+    settle(df.sparkSession)
     name = free_name(df, "_gone")
     gone = benchmark_matches(df, items, key, text, item, item_text).select(
         F.col(quoted(key)).alias(name)).distinct()

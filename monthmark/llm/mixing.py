@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from monthmark.llm.common import WORD, quoted, written
+from monthmark.llm.common import WORD, quoted, settle, written
 
 #: Words of a source a rate may be off before rounding, as a share; limit of Newton steps
 #: (bisection alone would get there), steps of a histogram and how many are nested.
@@ -129,6 +129,7 @@ def _mixed(df: DataFrame, key: str, text: str, source: str, weights: tuple[float
     """(key, source, size, source_size, target, rate, copies, k0, k1, ...) with the columns to keep."""
     if cap < 2 or cap != int(cap):
         raise ValueError("cap is a whole number of at least 2")
+    settle(df.sparkSession)
     sized = written(df.select(
         F.col(quoted(key)).alias("key"), F.col(quoted(source)).alias("source"),
         F.coalesce(F.regexp_count(F.col(quoted(text)), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -140,6 +141,7 @@ def _mixed(df: DataFrame, key: str, text: str, source: str, weights: tuple[float
                           .where(F.col("size") > 0).withColumnRenamed("n", "rows"))
                     .select("sid", "size", F.col("rows").alias("n")), "sizes")
     tilt = tilts(sizes, per, cap)
+    settle(df.sparkSession)  # each step was a job with broadcasts of its own
     rate = (F.when(F.col("lam").isNotNull(), _rate(F.col("lam"), F.col("size"), F.col("mean"), cap))
             .when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0))
     # A number in [0, 1) that hangs on the row alone.
@@ -151,6 +153,7 @@ def _mixed(df: DataFrame, key: str, text: str, source: str, weights: tuple[float
     marked = (rated.where("tilted").select("sid", "size", "mark", F.explode(F.array(*[F.lit(j) for j in range(cap)])).alias("j"))
               .select("sid", "size", (F.col("mark") + F.col("j")).alias("mark")))
     coarse = _edges(marked, per.select("sid", F.col("target").alias("need")), cap).withColumnRenamed("edge", "coarse")
+    settle(df.sparkSession)
     # One document can stand between the sum and the target. Documents no larger than what is
     # missing (or too much) are then decided anew by an edge of their own.
     words = lambda cond: F.sum(F.when(cond, F.col("size")).otherwise(0))

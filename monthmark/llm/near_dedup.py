@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthmark.llm.common import by_bytes, free_name, quoted, written
+from monthmark.llm.common import by_bytes, free_name, quoted, settle, written
 from monthmark.llm.components import components
 
 #: Words of a shingle, bands and rows of the signature, similarity as a fraction.
@@ -348,6 +348,7 @@ def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "tex
     Of rows that share that key and their text one stays, the smallest by the other columns; rows of the key with other
     texts stay as well. Rows without key, and null or empty texts, are no copies of another row. An empty table stays empty.
     """
+    settle(df.sparkSession)
     name, words = quoted(key), F.xxhash64(F.col(quoted(text)))
     gone = (near_duplicates(df, key, text).where(~F.col("kept"))
             .select(F.col(name).alias(mark := free_name(df, "_gone"))).distinct())

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from monthmark.llm.common import by_bytes, chunks, quoted, written
+from monthmark.llm.common import by_bytes, chunks, quoted, settle, written
 from monthmark.llm.units import TAILED, split_units, unit
 from monthmark.sources.staging import scratch_path
 
@@ -376,6 +376,7 @@ def read_token_files(spark: SparkSession, target: str, keep_ids: bool = False) -
 def token_files(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 end_id: int = 2) -> DataFrame:
     """Write a corpus to new files below the shared folder and read them back."""
+    settle(df.sparkSession)
     target = scratch_path(df.sparkSession, "token-files")
     write_token_files(df, path, target, key, text, end_id)
     return read_token_files(df.sparkSession, target)

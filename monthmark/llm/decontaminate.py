@@ -2,13 +2,13 @@
 
 DataFrame functions only. A window can reach the wanted similarity only if it shares most of an
 item's shingles, so it holds one of any (1 - similarity) share of them plus one: the
-rarest in the corpus are taken as anchors, and only documents that hold one of an item are looked at.
-There the item's shingles are counted in all windows at once, whatever their order: each occurrence adds one
-where it enters a window and takes it back where it leaves. Windows
-that reach the similarity, and items, get 64-bit fingerprints, one vote of each word for each bit. Fingerprints are
-cut into RADIUS + 1 blocks: any two that differ in at most RADIUS bits have a block in common, so a
-join on blocks finds all of them. What is left is compared exactly, by weighted similarity
-of shingles (shared occurrences over all occurrences).
+rarest in the corpus are taken as anchors, and only stretches of documents around an anchor are looked at. There every
+window of the item's size gets a 64-bit fingerprint, one vote of each shingle occurrence for each bit. Votes roll: a
+shingle adds its own where it enters a window and takes them back where it leaves. Fingerprints are
+cut into BLOCKS blocks: any two that differ in at most RADIUS bits differ in at most RADIUS / BLOCKS bits
+of some block. Items are stored under all values within so many flipped bits of each of their blocks, so one equality join on
+(size, block, value) finds all windows within the radius, of whatever item. What is left is compared exactly,
+by weighted similarity of shingles (shared occurrences over all occurrences).
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from monthmark.llm.common import free_name, quoted, settle, written
 
 #: Words of a shingle, similarity as a fraction, bits by which fingerprints may differ. Two texts of the
-#: wanted similarity differ in about 9 of 64 bits; 24 or more are beyond five standard deviations.
-WIDTH, SIMILAR, RADIUS, BITS = 5, (4, 5), 23, 64
+#: wanted similarity differ in about 10 of 64 bits, with a deviation of 3; unrelated ones in 32, with one of 4.
+WIDTH, SIMILAR, RADIUS, BITS, BLOCKS = 5, (4, 5), 19, 64, 4
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -43,56 +43,111 @@ def _hashes(word_list: Column) -> Column:
     return F.transform(word_list, lambda w: F.xxhash64(w))
 
 
-def fingerprints(df: DataFrame, keys: list[str], hashes: str) -> DataFrame:
-    """(keys, print): bit b is set if more than half of the words have it set in their hash."""
-    h = F.col("h")
+def _votes(h: Column) -> list[Column]:
+    """One vote for each bit, two to a number: votes are fewer than 2**32."""
     half = BITS // 2
     one = lambda b: F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("long"))
-    # Two votes to a sum: words are fewer than 2**32.
-    votes = [F.sum(one(b) + F.shiftleft(one(b + half), 32)).alias(f"v{b}") for b in range(half)]
-    counted = (df.select(*keys, F.explode(hashes).alias("h")).groupBy(*keys)
-               .agg(F.count(F.lit(1)).alias("n"), *votes))
+    return [one(b) + F.shiftleft(one(b + half), 32) for b in range(half)]
+
+
+def _print(votes: list[Column], n: Column) -> Column:
+    """The fingerprint of n votes: a bit is set if more than half of them are for it."""
+    half = BITS // 2
     mark = F.lit(0).cast("long")
-    for b in range(half):
-        low = F.col(f"v{b}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-        high = F.shiftrightunsigned(F.col(f"v{b}"), 32)
+    for b, v in enumerate(votes):
+        low, high = v.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(v, 32)
         for count, bit in ((low, b), (high, b + half)):
-            mark = mark.bitwiseOR(F.shiftleft((count * 2 > F.col("n")).cast("long"), bit))
-    return counted.select(*keys, mark.alias("print"))
+            mark = mark.bitwiseOR(F.shiftleft((count * 2 > n).cast("long"), bit))
+    return mark
+
+
+def fingerprints(df: DataFrame, keys: list[str], hashes: str) -> DataFrame:
+    """(keys, print) of the hashes in an array column."""
+    counted = (df.select(*keys, F.explode(hashes).alias("h")).groupBy(*keys)
+               .agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"v{b}") for b, v in enumerate(_votes(F.col("h")))]))
+    return counted.select(*keys, _print([F.col(f"v{b}") for b in range(BITS // 2)], F.col("n")).alias("print"))
+
+
+def rolling_fingerprints(regions: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, start, print) of all runs of m hashes in the array r, which begins at place c * m of its document."""
+    # A hash and the one that leaves when it enters; 0 has no vote.
+    moves = F.transform("r", lambda x, i: F.struct(x.alias("h"), F.coalesce(F.get("r", i - F.col("m")), F.lit(0).cast("long")).alias("gone")))
+    rows = (regions.select(*ids, "m", F.posexplode(moves).alias("i", "e"))
+            .select(*ids, "m", "i", *[(a - b).alias(f"v{k}") for k, (a, b) in enumerate(zip(_votes(F.col("e.h")), _votes(F.col("e.gone"))))]))
+    # A region is no longer than two items.
+    upto = Window.partitionBy(*ids).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.select(*ids, "m", "i", *[F.sum(f"v{k}").over(upto).alias(f"v{k}") for k in range(BITS // 2)])
+    return (summed.where(F.col("i") >= F.col("m") - 1)
+            .select(*ids, (F.col("c") * F.col("m") + F.col("i") - F.col("m") + 1).alias("start"),
+                    _print([F.col(f"v{k}") for k in range(BITS // 2)], F.col("m")).alias("print")))
 
 
 def _blocks(mark: Column) -> Column:
     """(block, value) of all blocks of a fingerprint."""
-    cuts = [b * BITS // (RADIUS + 1) for b in range(RADIUS + 2)]
-    parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(mark, a).bitwiseAND(F.lit((1 << (z - a)) - 1).cast("long")).alias("value"))
-             for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
-    return F.explode(F.array(*parts))
+    wide = BITS // BLOCKS
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(mark, k * wide)
+                                        .bitwiseAND(F.lit((1 << wide) - 1).cast("long")).alias("value")) for k in range(BLOCKS)]))
+
+
+def close_prints(windows: DataFrame, marks: DataFrame, ids: list[str], radius: int = RADIUS) -> DataFrame:
+    """(ids, copy, differing): windows (ids, size, print) and marks (copy, size, print) of one size within the radius."""
+    wide, flips = BITS // BLOCKS, radius // BLOCKS
+    spelt = (marks.select("copy", "size", F.col("print").alias("other"), _blocks(F.col("print")).alias("b"))
+             .select("copy", "size", "other", "b.block", "b.value", F.lit(0).alias("from")))
+    # Flipped bits ascend; place `wide` flips none.
+    for _ in range(flips):
+        spelt = (spelt.select("copy", "size", "other", "block", "value", F.explode(F.sequence("from", F.lit(wide))).alias("at"))
+                 .select("copy", "size", "other", "block",
+                         F.when(F.col("at") < wide, F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))))
+                         .otherwise(F.col("value")).alias("value"),
+                         F.least(F.col("at") + 1, F.lit(wide)).alias("from")))
+    # Thousands of values for each item: more than its size on disk lets expect, so it is never sent to all.
+    spelt = spelt.drop("from").hint("merge")
+    differing = F.bit_count(F.col("print").bitwiseXOR(F.col("other")))
+    return (windows.select(*ids, *(["size"] if "size" not in ids else []), "print", _blocks(F.col("print")).alias("b"))
+            .select("*", "b.block", "b.value").drop("b").join(spelt, ["size", "block", "value"])
+            .select(*ids, "copy", differing.cast("int").alias("differing")).where(F.col("differing") <= radius).distinct())
 
 
-def benchmark_matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
-                      item: str = "item_id", item_text: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(key, item, start, n_words, differing, similarity): the best window of each document and item that match.
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
 
-    A window has as many words as the item (all of a shorter document) and starts at word `start`;
-    the first of equally good ones counts. Items of fewer than five words are one shingle; empty and null
-    ones match nothing, nor do empty and null texts. Items or documents that share their key are matched each
-    and reported once, a null key included. Other columns are not read.
-    """
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return left.join(named, _all([_same(k, f"_{k}") for k in keys])).drop(*[f"_{k}" for k in keys])
+
+
+#: What tells windows apart: document, its text, words of the item, stretch of the document and place.
+REGION = ["doc", "row", "size", "c"]
+PLACE = [*REGION, "start"]
+
+
+def candidates(df: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str,
+               similar: tuple[int, int]) -> dict[str, DataFrame] | None:
+    """Stored tables: items, their shingles (parts), regions, windows with their prints, and close ones; None without items."""
     up, down = similar
     docs = df.select(F.col(quoted(key)).alias("doc"), _hashes(words(F.col(quoted(text)))).alias("h"))
     # Rows that share a key may differ in text.
     docs = docs.withColumn("row", F.xxhash64("h"))
-    # Repeated items are told apart by their text.
-    bench = (items.select(F.col(quoted(item)).alias("item"), words(F.col(quoted(item_text))).alias("w"))
-             .where(F.size("w") > 0)
-             .select("item", F.xxhash64("w").alias("copy"), _hashes(F.col("w")).alias("h"), F.size("w").alias("size"),
-                     F.least(F.size("w"), F.lit(WIDTH)).alias("width")).dropDuplicates(["item", "copy"]))
-    bench = written(bench, "items")
+    # Items of one text are one until the end.
+    bench = written(items.select(F.col(quoted(item)).alias("item"), words(F.col(quoted(item_text))).alias("w"))
+                    .where(F.size("w") > 0)
+                    .select("item", F.xxhash64("w").alias("copy"), _hashes(F.col("w")).alias("h"), F.size("w").alias("size"),
+                            F.least(F.size("w"), F.lit(WIDTH)).alias("width")).dropDuplicates(["item", "copy"]), "items")
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # WIDTH at most
-    by_width = F.array().cast("array<bigint>")
-    for w in widths:
-        by_width = F.when(F.col("width") == w, shingles(F.col("h"), w)).otherwise(by_width)
-    parts = written(bench.select("item", "copy", "size", "width", F.posexplode(by_width).alias("q", "s")), "item-shingles")
+    if not widths:
+        return None
+
+    def runs(h: Column) -> Column:
+        out = F.array().cast("array<bigint>")
+        for w in widths:
+            out = F.when(F.col("width") == w, shingles(h, w)).otherwise(out)
+        return out
+
+    texts = written(bench.dropDuplicates(["copy"]).select("copy", "size", "width", runs(F.col("h")).alias("r")), "item-texts")
+    parts = written(texts.select("copy", "size", "width", F.posexplode("r").alias("q", "s")), "item-shingles")
 
     # Where shingles of items occur.
     found = None
@@ -101,84 +156,65 @@ def benchmark_matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text
         hits = (docs.select("doc", "row", F.size("h").alias("n"), F.posexplode(shingles(F.col("h"), w)).alias("p", "s"))
                 .join(wanted, "s").withColumn("width", F.lit(w)))
         found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return df.select(F.col(quoted(key)).alias(key)).limit(0).select(
-            F.col(quoted(key)), *[F.lit(None).cast(t).alias(c) for c, t in (
-                (item, items.schema[item].dataType), ("start", "int"), ("n_words", "int"),
-                ("differing", "int"), ("similarity", "double"))])
-    found = written(found.groupBy("doc", "row", "n", "width", "s").agg(F.array_sort(F.collect_set("p")).alias("at")), "hits")
+    found = written(found.select("doc", "row", "n", "width", "s", "p").distinct(), "hits")
 
     # The rarest shingles of each item, just so many that no match can miss all of them.
-    often = found.groupBy("width", "s").agg(F.sum(F.size("at")).alias("often"))
-    own = Window.partitionBy("item", "copy")
+    often = found.groupBy("width", "s").agg(F.count(F.lit(1)).alias("often"))
+    own = Window.partitionBy("copy")
     ranked = (parts.join(often, ["width", "s"], "left")
               .withColumn("often", F.coalesce("often", F.lit(0)))
               .withColumn("nth", F.row_number().over(own.orderBy("often", "s", "q")))
               .withColumn("all", F.count(F.lit(1)).over(own)))
     anchors = written(ranked.where(F.col("nth") <= F.col("all") - F.ceil(F.col("all") * up / down) + 1)
-                      .select("item", "copy", "width", "s").distinct(), "anchors")
-    pairs = written(found.join(anchors, ["width", "s"]).select("doc", "row", "n", "item", "copy").distinct(), "pairs")
-
-    # Shared shingles of all windows of a pair: an occurrence counts from the first window that reaches it, or that
-    # has lost the one as many places before as the item holds the shingle, to the last that starts at it.
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    theirs = (parts.groupBy("item", "copy", "size", "width", "s").agg(F.count(F.lit(1)).cast("int").alias("ni"))
-              .withColumnsRenamed({"item": "i", "copy": "c"}))
-    spots = found.select(F.col("doc").alias("d"), F.col("row").alias("r"), F.col("width").alias("w"), F.col("s").alias("t"), "at")
+                      .select("size", "width", "s").distinct(), "anchors")
+
+    # Stretch c holds the windows that start at c * m, ..., c * m + m - 1; those with an anchor are in two of them at most.
     m = F.least("size", "n") - F.col("width") + 1
-    step = lambda start, n: F.struct(start.alias("start"), F.lit(n).alias("step"))
-    enters = F.transform("at", lambda p, j: step(F.greatest(F.lit(0), p - F.col("m") + 1, F.get("at", j - F.col("ni")) + 1), 1))
-    pair = ["doc", "row", "item", "copy"]
-    steps = (pairs.join(theirs, same("item", "i") & (F.col("copy") == F.col("c")))
-             .join(spots, same("doc", "d") & (F.col("row") == F.col("r")) & (F.col("width") == F.col("w")) & (F.col("s") == F.col("t")))
-             .select(*pair, "size", "width", m.alias("m"), "at", "ni")
-             .select(*pair, "size", "width", "m", F.explode(F.concat(enters, F.transform("at", lambda p: step(p + 1, -1)))).alias("e"))
-             .groupBy(*pair, "size", "width", "m", F.col("e.start").alias("start")).agg(F.sum("e.step").alias("step")))
-    shared = F.sum("step").over(Window.partitionBy(*pair).orderBy("start"))
-    # A window that shares no more than the one before is no better than it.
-    places = written(steps.withColumn("shared", shared).where(
-        (F.col("step") > 0) & (F.col("shared") * down >= (F.col("m") + F.col("size") - F.col("width") + 1 - F.col("shared")) * up))
-        .select(*pair, "width", "start", "size"), "windows")
-
-    # A document's words, cut to each of its windows.
-    ids = [*pair, "start"]
-    cut = (places.withColumnsRenamed({"doc": "d", "row": "r"}).join(docs, same("d", "doc") & (F.col("r") == F.col("row")))
-           .select(*ids, "width", F.slice("h", F.col("start") + 1, F.col("size")).alias("h")))
-    cut = written(cut.dropDuplicates(ids), "cut")
-    windows = fingerprints(cut, ids, "h")
-    marks = written(fingerprints(bench.select("item", "copy", "h"), ["item", "copy"], "h"), "item-prints")
-    left = windows.select(*ids, "print", _blocks(F.col("print")).alias("b")).select(*ids, "print", "b.*")
-    right = (marks.select(F.col("item").alias("i"), F.col("copy").alias("c"), F.col("print").alias("other"),
-                          _blocks(F.col("print")).alias("b")).select("i", "c", "other", "b.block", "b.value")
-             .withColumnsRenamed({"block": "k", "value": "v"}))
-    differing = F.bit_count(F.col("print").bitwiseXOR(F.col("other")))
-    close = (left.join(right, same("item", "i") & (F.col("copy") == F.col("c")) & (F.col("block") == F.col("k"))
-                       & (F.col("value") == F.col("v")))
-             .select(*ids, differing.alias("differing")).where(F.col("differing") <= RADIUS).distinct())
-    close = written(close, "close")
+    over = lambda a: F.floor(a / F.col("m")).cast("int")
+    chunks = (found.join(anchors, ["width", "s"]).withColumn("m", m)
+              .withColumn("c", F.explode(F.sequence(
+                  over(F.greatest(F.lit(0), F.col("p") - F.col("m") + 1)),
+                  over(F.least(F.col("p"), F.col("n") - F.col("width") + 1 - F.col("m"))))))
+              .select(*REGION, "width", "m").distinct())
+    stretch = F.slice("h", F.col("c") * F.col("m") + 1, 2 * F.col("m") + F.col("width") - 2)
+    regions = written(_with(written(chunks, "chunks"), docs, ["doc", "row"]).withColumn("h", stretch)
+                      .select(*REGION, "width", "m", runs(F.col("h")).alias("r")).dropDuplicates(REGION), "regions")
+
+    windows = written(rolling_fingerprints(regions, REGION), "windows")
+    marks = written(fingerprints(texts, ["copy", "size"], "r"), "item-prints")
+    close = written(close_prints(windows, marks, PLACE), "close")
+    return {"items": bench, "parts": parts, "regions": regions, "windows": windows, "close": close}
 
-    # Exact similarity of what is left.
-    mine = F.array().cast("array<bigint>")
-    for w in widths:
-        mine = F.when(F.col("width") == w, shingles(F.col("h"), w)).otherwise(mine)
-    ours = [F.col(c).alias(f"_{c}") for c in ids]
-    held = (cut.select(*ours, mine.alias("s")).join(close, _all([same(f"_{c}", c) for c in ids]))
-            .select(*ids, "differing", F.size("s").alias("m"), F.explode("s").alias("s"))
-            .groupBy(*ids, "differing", "m", "s").agg(F.count(F.lit(1)).alias("n")))
-    theirs = parts.groupBy("item", "copy", "s").agg(F.count(F.lit(1)).alias("ni")).select(
-        F.col("item").alias("i"), F.col("copy").alias("c"), F.col("s").alias("t"), "ni")
-    sizes = bench.select(F.col("item").alias("i"), F.col("copy").alias("c"),
-                         (F.col("size") - F.col("width") + 1).alias("mi"))
-    shared = (held.join(theirs, same("item", "i") & (F.col("copy") == F.col("c")) & (F.col("s") == F.col("t")))
-              .groupBy(*ids, "differing", "m").agg(F.sum(F.least("n", "ni")).alias("shared")))
-    total = F.col("m") + F.col("mi") - F.col("shared")
-    matched = (shared.join(sizes, same("item", "i") & (F.col("copy") == F.col("c")))
-               .where(F.col("shared") * down >= total * up)
-               .select("doc", "item", "start", "differing", (F.col("shared") / total).alias("similarity"),
-                       "m", "copy"))
-    lengths = bench.select(F.col("item").alias("i"), F.col("copy").alias("c"), "width")
-    best = (matched.join(lengths, same("item", "i") & (F.col("copy") == F.col("c")))
-            .groupBy("doc", "item")
+
+def benchmark_matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+                      item: str = "item_id", item_text: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(key, item, start, n_words, differing, similarity): the best window of each document and item that match.
+
+    A window has as many words as the item (all of a shorter document) and starts at word `start`;
+    the first of equally good ones counts. Windows whose fingerprints differ in more than RADIUS bits are not compared.
+    Items of fewer than five words are one shingle; empty and null
+    ones match nothing, nor do empty and null texts; without items or documents there are no rows. Whole texts are
+    read, however long. Items or documents that share their key are matched each
+    and reported once, a null key included. Other columns are not read.
+    """
+    up, down = similar
+    found = candidates(df, items, key, text, item, item_text, similar)
+    if found is None:
+        return df.select(F.col(quoted(key)).alias(key)).limit(0).select(
+            F.col(quoted(key)), *[F.lit(None).cast(t).alias(c) for c, t in (
+                (item, items.schema[item].dataType), ("start", "int"), ("n_words", "int"),
+                ("differing", "int"), ("similarity", "double"))])
+    at = [*PLACE, "copy", "differing", "m", "width"]
+    mine = F.slice("r", F.col("start") - F.col("c") * F.col("m") + 1, F.col("m"))
+    held = (_with(found["close"], found["regions"], REGION).select(*at, F.explode(mine).alias("s"))
+            .groupBy(*at, "s").agg(F.count(F.lit(1)).alias("n")))
+    theirs = found["parts"].groupBy("copy", "s").agg(F.count(F.lit(1)).alias("ni"))
+    shared = held.join(theirs, ["copy", "s"]).groupBy(*at).agg(F.sum(F.least("n", "ni")).alias("shared"))
+    total = F.col("m") + F.col("size") - F.col("width") + 1 - F.col("shared")
+    matched = (shared.where(F.col("shared") * down >= total * up)
+               .withColumn("similarity", F.col("shared") / total)
+               .join(found["items"].select("item", "copy"), "copy"))
+    best = (matched.groupBy("doc", "item")
             .agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (F.col("m") + F.col("width") - 1).alias("words"),
                                 "differing")).alias("b")))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item), (-F.col("b.s")).alias("start"),

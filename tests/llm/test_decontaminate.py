@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from monthmark.llm.decontaminate import RADIUS, benchmark_matches, without_benchmark
+from monthmark.llm.decontaminate import PLACE, RADIUS, SIMILAR, benchmark_matches, candidates, close_prints, without_benchmark
 from tests.llm.helpers import docs_of, edited, prose, shingles, similarity
 
 ITEMS = [(i, prose(500 + i, 20 + 7 * i)) for i in range(8)] + [(20, "short one"), (21, "a b c d e"), (22, None), (23, ""), (24, "the the " * 10),
@@ -92,3 +94,40 @@ def test_empty(spark):
     none = benchmark_matches(docs_of(spark, [(1, "x")]), items.limit(0))
     assert none.columns == ["doc_id", "item_id", "start", "n_words", "differing", "similarity"] and none.count() == 0
     assert without_benchmark(docs_of(spark, [(1, "x"), (2, None)]), items.where("text is null")).count() == 2
+
+
+def test_blocks_find_all_prints_within_the_radius(spark):
+    rng = random.Random(8)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    marks = [(i, 10 + i % 2, rng.getrandbits(64)) for i in range(12)]
+    windows = [(k, 10 + rng.randrange(2), rng.getrandbits(64)) for k in range(300)]
+    for k in range(300, 700):
+        _, size, base = marks[k % 12]
+        for b in rng.sample(range(64), rng.randrange(26)):
+            base ^= 1 << b
+        windows.append((k, size, base))
+    # The hardest case: as many bits in each block as the radius allows.
+    hard = sum(0b1111 << (16 * b) for b in range(3)) | 0b1111 << 60
+    windows.append((700, marks[0][1], marks[0][2] ^ hard))
+    for radius in (0, 7, 19):
+        got = close_prints(spark.createDataFrame([(k, s, signed(x)) for k, s, x in windows], "start long, size int, print long"),
+                           spark.createDataFrame([(c, s, signed(x)) for c, s, x in marks], "copy long, size int, print long"), ["start"], radius)
+        want = {(k, c, d) for k, s, x in windows for c, t, y in marks if s == t and (d := (x ^ y).bit_count()) <= radius}
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+        assert radius < 7 or len(want) > 50
+
+
+def test_prints_reject_most_windows(spark):
+    items = [(i, prose(700 + i, 40)) for i in range(6)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        # Passages too short for a match hold anchors all the same.
+        rows += [(10 * i + k, " ".join([prose(80 + 10 * i + k, 60), *w[4 * k:4 * k + 8], prose(20 + k, 60)])) for k in range(9)]
+        rows.append((10 * i + 9, prose(i, 60) + " " + t + " " + prose(30 + i, 60)))
+    found = candidates(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"),
+                       "doc_id", "text", "item_id", "text", SIMILAR)
+    windows, close = found["windows"].count(), found["close"].select(*PLACE).distinct().count()
+    assert windows > 1000 and 0 < close < windows / 5
+    assert found["close"].agg(F.max("differing")).first()[0] <= RADIUS

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +32,20 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What this worker keeps between tasks, by operator: how to let go of it.
+_KEEPERS: dict[str, Callable[[], None]] = {}
+
+
+def sole_keeper(operator: str, release: Callable[[], None]) -> None:
+    """Called in a worker before an operator fills its cache: those of other operators, whose stages are over, go.
+
+    Spark uses a worker again for later stages, so its caches would add up otherwise.
+    """
+    for other in [o for o in _KEEPERS if o != operator]:
+        _KEEPERS.pop(other)()
+    _KEEPERS[operator] = release
+
+
 def quoted(name: str) -> str:
     """A column name as an exact reference, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthmark.llm.common import by_bytes, free_name, quoted, settle, written
+from monthmark.llm.common import by_bytes, free_name, quoted, settle, sole_keeper, written
 from monthmark.llm.components import components
 
 #: Words of a shingle, bands and rows of the signature, similarity as a fraction.
@@ -51,6 +51,7 @@ def cells_of(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.nda
     """(text, cell) of all shingle occurrences, in order; texts of fewer words are one shingle."""
     from xxhash import xxh64_intdigest
 
+    sole_keeper("near_dedup", _WORDS.clear)
     if len(_WORDS) > KEPT_ENTRIES:
         _WORDS.clear()
     split = [t.lower().split() for t in texts]

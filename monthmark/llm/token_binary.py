@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from monthmark.llm.common import by_bytes, chunks, quoted, settle, written
+from monthmark.llm.common import by_bytes, chunks, quoted, settle, sole_keeper, written
 from monthmark.llm.units import TAILED, split_units, unit
 from monthmark.sources.staging import scratch_path
 
@@ -229,6 +229,7 @@ def id_kind(vocabulary: int) -> str:
 
 def encoder(path: str) -> UnitEncoder:
     """One encoder for each worker and file."""
+    sole_keeper("encoder", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthmark.llm.common import by_bytes, quoted
+from monthmark.llm.common import by_bytes, quoted, sole_keeper
 
 #: Subsequence length, longest span, weight of each step, size of the table of weights.
 LENGTH, SPAN, DECAY, TABLE_BITS = 4, 7, 0.6, 20
@@ -376,6 +376,7 @@ def _scored(df: DataFrame, labels: DataFrame, key: str, text: str, bounds: Bound
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        sole_keeper("toxicity", _KEPT.clear)
         for whole in batches:
             for batch in by_bytes(whole, 1):
                 score = np.array(scores_of(model, [t or "" for t in batch.column(1).to_pylist()]))

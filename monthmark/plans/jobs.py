@@ -24,8 +24,28 @@ def flag_file(spark: SparkSession, source: str, target: str, fmt: str = "csv") -
     return ch.change_summary(readers.scan_panel(spark, target, fmt))
 
 
-def distribution_tables(panel: DataFrame, changed: DataFrame | None) -> dict[str, DataFrame]:
+def monthly_report(panel: DataFrame, changed: DataFrame | None, types: list[str]) -> DataFrame:
+    """One row for each month: distribution, new and renewed policies, a share column for each vehicle type and,
+    with changes, the means of policies with and without one. All sides have a row per month."""
+    month = {"inforce_yy": "year", "inforce_mm": "month"}
+    out = lifecycle.monthly_distribution(panel, changed).join(
+        agg.type_share_pivot(panel, types).withColumnsRenamed(month), ["year", "month"], "left")
+    if changed is None:
+        return out
+    return out.join(agg.monthly_change_split(panel, changed).withColumnsRenamed(month), ["year", "month"], "left")
+
+
+def distribution_tables(panel: DataFrame, changed: DataFrame | None,
+                        types: list[str] | None = None) -> dict[str, DataFrame]:
+    """The report's tables; with the vehicle types to show, the monthly report as well."""
+    extra = {}
+    if types is not None:
+        extra["monthly_report"] = monthly_report(panel, changed, types)
+    if changed is not None:
+        extra["change_split"] = agg.monthly_change_split(panel, changed)
     return {
+        **extra,
+        "vehicle_type_shares": agg.type_share(panel),
         "monthly_distribution_summary": lifecycle.monthly_distribution(panel, changed),
         "policies": agg.distinct_cardinality(panel),
         "expiry_dates": agg.top_expiry_dates(panel),
@@ -43,10 +63,11 @@ def distribution_tables(panel: DataFrame, changed: DataFrame | None) -> dict[str
     }
 
 
-def distribution_report(panel: DataFrame, folder: str, with_changes: bool = True) -> dict[str, str]:
+def distribution_report(panel: DataFrame, folder: str, with_changes: bool = True,
+                        types: list[str] | None = None) -> dict[str, str]:
     """Write every distribution table; the panel's Parquet is read with pruned columns."""
     changed = ch.changed_months(panel) if with_changes else None
-    return writers.write_report_tables(distribution_tables(panel, changed), folder)
+    return writers.write_report_tables(distribution_tables(panel, changed, types), folder)
 
 
 def profiling_report(panel: DataFrame, folder: str, params: Params) -> dict[str, str]:

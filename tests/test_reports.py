@@ -11,6 +11,7 @@ from monthmark.operators import lifecycle, lookups, quality
 from monthmark.operators import reconcile as rec
 from monthmark.operators.changes import changed_months, flag_panel
 from monthmark.params import Params
+from monthmark.plans import jobs
 from monthmark.schema import (ASSIGNMENTS, CHANGES_LOG, DRIVERS, PANEL_COLUMNS, POLICIES,
                               VEHICLES)
 from monthmark.sources import readers, writers
@@ -232,3 +233,60 @@ def test_month_partitions_are_pruned(spark, panel_of, tmp_path):
     assert "PartitionFilters: [isnotnull(inforce_yy" in plan.replace("#", "(#").replace("(#", "#") \
         or "PartitionFilters: [isnotnull" in plan
     assert cut.count() > 0
+
+
+def same_as_written(spark, path, df):
+    """The rows of a CSV folder are those of the table, by its own types."""
+    plain = df.select(*[F.col(c).cast("string") for c in df.columns])
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == df.columns
+    # An empty text is a null in these files.
+    key = lambda r: tuple(x or "" for x in r)
+    assert sorted(map(key, back.collect())) == sorted(map(key, plain.collect()))
+
+
+def test_distribution_job_writes_every_table(spark, panel_of, tmp_path):
+    panel = panel_of([{**r, "vehicle_type": ["Sedan", "SUV"][i % 2], "premium_paid": 100.0 + i, "driver_age": 20 + i % 40}
+                      for i, r in enumerate(random_rows(5))])
+    changed = changed_months(panel)
+    types = ["SUV", "Sedan", "Truck"]
+    paths = jobs.distribution_report(panel, str(tmp_path), types=types)
+    tables = jobs.distribution_tables(panel, changed, types)
+    assert set(paths) == set(tables) and {"monthly_report", "change_split", "vehicle_type_shares"} <= set(paths)
+    for name, df in tables.items():
+        same_as_written(spark, paths[name], df)
+    # The report's figures, worked out by hand from the rows.
+    rows, flagged = panel.collect(), {tuple(r[c] for c in ("policy", "inforce_yy", "inforce_mm")) for r in changed.collect()}
+    assert flagged
+    report = {(r["year"], r["month"]): r for r in tables["monthly_report"].collect()}
+    assert set(report) == {(r.inforce_yy, r.inforce_mm) for r in rows}
+    for (y, m), got in report.items():
+        mine = [r for r in rows if (r.inforce_yy, r.inforce_mm) == (y, m)]
+        for t in types:
+            share = 100 * sum(r.vehicle_type == t for r in mine) / len(mine)
+            assert got[f"vehicle_type_{t}_pct"] == pytest.approx(share)
+        first = {}
+        for r in sorted(mine, key=lambda r: (r.vehicle_no, r.driver_no), reverse=True):
+            first[r.policy] = r
+        for flag, suffix in ((True, "with_changes"), (False, "without_changes")):
+            ages = [r.driver_age for p, r in first.items() if ((p, y, m) in flagged) == flag]
+            want = sum(ages) / len(ages) if ages else None
+            assert got[f"avg_driver_age_{suffix}"] == (pytest.approx(want) if ages else None)
+
+
+def test_distribution_job_without_changes_or_types(spark, panel_of, tmp_path):
+    panel = panel_of(random_rows(6, policies=3, months=3))
+    paths = jobs.distribution_report(panel, str(tmp_path), with_changes=False)
+    assert "change_split" not in paths and "monthly_report" not in paths
+    without = jobs.monthly_report(panel, None, ["Sedan"])
+    assert without.count() == panel.select("inforce_yy", "inforce_mm").distinct().count()
+    assert not [c for c in without.columns if c.endswith("_changes")]
+
+
+def test_profiling_job_writes_every_table(spark, panel_of, tmp_path):
+    panel = panel_of(random_rows(7, policies=4, months=3))
+    paths = jobs.profiling_report(panel, str(tmp_path), P)
+    same_as_written(spark, paths["profile"], quality.profile_overview(panel, P.as_of_year))
+    same_as_written(spark, paths["monthly_profiling_summary"], agg.temporal_report(panel))
+    same_as_written(spark, paths["vehicle_type_profiling"], agg.type_profile(panel, "vehicle_type"))
+    same_as_written(spark, paths["driver_type_profiling"], agg.type_profile(panel, "driver_type", with_age=True))

@@ -89,11 +89,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame],
-           partition_by: tuple[str, ...] = (), state: str | None = None) -> DataFrame:
+           partition_by: tuple[str, ...] = (), state: str | None = None, dealt: bool = False) -> DataFrame:
     """Write build() once per session and state of the source's files, and read it back with its schema.
 
     `state` spares looking it up where it is known. A table of an earlier state stays until the session ends, as
-    plans may still read it.
+    plans may still read it. With `dealt` the rows of build() are rebalanced by `partition_by` already.
     """
     key = (spark.sparkContext.applicationId, source.rstrip("/"), name)
     state = source_state(spark, source) if state is None else state
@@ -101,7 +101,7 @@ def staged(spark: SparkSession, source: str, name: str, build: Callable[[], Data
         df = build()
         path = scratch_path(spark, name)
         writer = df
-        if partition_by:
+        if partition_by and not dealt:
             # Rebalancing splits a partition that is too large and merges small ones.
             writer = df.hint("rebalance", *partition_by)
         writer.write.partitionBy(*partition_by).parquet(path)

@@ -66,3 +66,35 @@ def test_release(spark, tmp_path):
     finally:
         staging._STAGED.update(before[0])
         staging._SCRATCH.update(before[1])
+
+
+def test_panel_is_dealt_once_and_narrow(spark, tmp_path):
+    """First dates are joined to orders, and lines are shuffled for the panel once, before names are made."""
+    from datetime import date
+
+    from monthmark.plans.fixtures import Tables
+
+    # Order 2 has no line of a known part and dates nobody, order 4 has no customer, order 3 comes twice.
+    orders = [(1, 7, date(1998, 3, 5)), (2, 7, date(1997, 1, 1)), (3, 7, date(1998, 2, 1)), (3, 8, date(1998, 6, 1)),
+              (4, None, date(1998, 1, 1)), (5, 9, None)]
+    lines = [(o, p, 3, 1, 5.0, 10.0, "R") for o, p in ((1, 1), (1, 1), (2, 99), (3, 2), (4, 1), (5, 1))]
+    given = {"orders": (orders, "o_orderkey long, o_custkey long, o_orderdate date"),
+             "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                                 "l_extendedprice double, l_returnflag string"),
+             "part": ([(1, "SMALL", 3), (2, "LARGE", 4)], "p_partkey long, p_type string, p_size int"),
+             "supplier": ([(3, "s")], "s_suppkey long, s_name string")}
+    for name, (rows, schema) in given.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    t = Tables(spark, str(tmp_path))
+    got = sorted((r.policy, r.inforce_mm or 0, r.vehicle_no, str(r.policy_expiry_date)) for r in t.panel.collect())
+    assert got == [("00000007", 2, "01", "1999-02-01"), ("00000007", 3, "02", "1999-02-01"),
+                   ("00000007", 3, "02", "1999-02-01"), ("00000008", 6, "01", "1999-06-01"),
+                   ("00000009", 0, "02", "None")]
+    plan = t._panel()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and "lpad" not in plan[plan.index("Exchange"):]
+    # The tables made from lines are grouped and joined by numbers.
+    for build in (t._policies, t._vehicles, t._drivers, t._assignments):
+        plan = build()._jdf.queryExecution().executedPlan().toString()
+        assert "lpad" not in plan[plan.index("Exchange"):]
+    assert [r.family_id for r in t.assignments.orderBy("family_id").collect()] == ["FAM000007"] * 2 + ["FAM000008"]
+    assert {r.family_id for r in t.policies.collect()} == {"FAM000007", "FAM000008", "FAM000009", None}

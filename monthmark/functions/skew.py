@@ -1,4 +1,4 @@
-"""Joins whose many-row side may hold a hot key."""
+"""Joins whose many-row side may hold a hot key, and tasks as many as rows ask for."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Rows of one key that a task may well take. Keys beyond are dealt over as many tasks as that asks for.
 ROWS_PER_SALT = 100_000
 
+#: Rows of an aggregate that a task may well hold.
+ROWS_PER_TASK = 250_000
+
 #: Hot keys at most, the ones with most rows: their table stays small however large the data are, and a key
 #: that is not among them has less than this share of all rows.
 MOST_HOT = 10_000
@@ -25,6 +28,16 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", rows_per_salt: in
             .select(*names, F.ceil(F.col(n) / rows_per_salt).cast("int").alias("_salts")))
 
 
+def in_tasks(df: DataFrame, keys: list[str], n: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows dealt by a hash of `keys` over as many tasks as `n` rows ask for.
+
+    An aggregate by these keys then needs no other shuffle, and its tasks hold no more rows as tables grow, whatever
+    number of shuffle partitions is set. For keys that few rows share: rows are dealt before they are combined.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // rows_per_task))
+    return df.repartition(tasks, *keys)
+
+
 def _met(keys: list[str]) -> Column:
     return functools.reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_h{i}") for i, k in enumerate(keys)])
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthmark.functions.columns import percent
+from monthmark.functions.skew import in_tasks
 from monthmark.operators import aggregates as agg
 
 # The columns the checks look at.
@@ -55,7 +56,8 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def duplicates(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows, with their share."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    # Whole rows are wide, so as many tasks compare them as there are rows for.
+    groups = in_tasks(df, df.columns, df.count()).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     total = F.coalesce(F.sum("_n"), F.lit(0))
     extra = total - F.count(F.lit(1))
     return groups.agg(total.alias("total_records"), extra.alias("duplicate_records"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from monthmark.functions.columns import period
 from monthmark.functions.ranking import range_rank
+from monthmark.functions.skew import in_tasks
 from monthmark.operators.aggregates import MONTH
 
 KEYS = ["policy", *MONTH]
@@ -55,7 +56,8 @@ def exposure_anomalies(df: DataFrame) -> DataFrame:
     With one driver it must be 1, with several it must not. Drivers are distinct by number,
     name, age and type.
     """
-    people = df.select(*KEYS, "driver_no", "driver_name", "driver_age", "driver_type").distinct()
+    people = df.select(*KEYS, "driver_no", "driver_name", "driver_age", "driver_type")
+    people = in_tasks(people, people.columns, df.count()).distinct()
     counts = people.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("drivers"))
     full = F.col("exposure_factor") == 1.0
     primaries = df.where(F.col("assignment_type") == "primary")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from monthmark.functions.columns import (cents, index_month, index_year, month_index, period,
                                          period_month, period_year, rounded_ratio)
+from monthmark.functions.skew import in_tasks
 from monthmark.operators.aggregates import MONTH
 
 
@@ -94,8 +95,8 @@ def cumulative_policies(df: DataFrame) -> DataFrame:
 def policy_month_rollup(df: DataFrame) -> DataFrame:
     """One row per policy-month with everything the monthly report needs.
 
-    Every row becomes a driver item, which carries the measures, and a vehicle item. Items are combined
-    on the map side and counted where they are distinct, so no policy or month is a hot group.
+    Every row becomes a driver item, which carries the measures, and a vehicle item. Items are dealt by all of their
+    key over as many tasks as there are rows for, combined there and counted, so no policy or month is a hot group.
     """
     flag = ["major_change"] if "major_change" in df.columns else []
     one = F.lit(1).cast("long")
@@ -110,8 +111,8 @@ def policy_month_rollup(df: DataFrame) -> DataFrame:
                        *[F.lit(None).cast("boolean").alias(c) for c in flag])
     keys = ["policy", *MONTH]
     add = [F.sum(c).alias(c) for c in measures] + [F.max(c).alias(c) for c in flag]
-    items = (df.select(*keys, F.explode(F.array(driver, vehicle)).alias("i")).select(*keys, "i.*")
-             .groupBy(*keys, "of_driver", "key").agg(*add))
+    items = df.select(*keys, F.explode(F.array(driver, vehicle)).alias("i")).select(*keys, "i.*")
+    items = in_tasks(items, [*keys, "of_driver", "key"], 2 * df.count()).groupBy(*keys, "of_driver", "key").agg(*add)
     known = F.col("key").isNotNull()
     return items.groupBy(*keys).agg(*add, F.count_if(F.col("of_driver") & known).alias("driver_count"),
                                     F.count_if(~F.col("of_driver") & known).alias("vehicle_count"))

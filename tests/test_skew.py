@@ -82,3 +82,22 @@ def test_monthly_report_reads_the_panel_once(spark, panel_of, tmp_path):
     flags = ch.changed_months(panel)
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
     assert scans(lifecycle.monthly_distribution(panel, flags)) == 1 + scans(flags)
+
+
+def test_wide_aggregates_get_as_many_tasks_as_rows_ask_for(spark, panel_of):
+    """Not the session's shuffle partitions, which stay the same as tables grow."""
+    from pyspark.sql import functions as F
+
+    from monthmark.functions.skew import in_tasks
+    from monthmark.operators import lifecycle, lookups, quality
+
+    rows = spark.range(1000).select((F.col("id") % 300).alias("k"))
+    dealt = in_tasks(rows, ["k"], 1000, rows_per_task=20)
+    assert dealt.rdd.getNumPartitions() == 50
+    plan = dealt.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and dealt.groupBy("k").count().count() == 300
+    panel = panel_of([{"inforce_mm": m, "driver_no": d} for m in (1, 2) for d in ("01", "02", "02", None)])
+    for out in (quality.duplicates(panel), lookups.exposure_anomalies(panel), lifecycle.policy_month_rollup(panel)):
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert quality.duplicates(panel).collect()[0].duplicate_records == 2
+    assert sorted((r.n, r.driver_count, r.vehicle_count) for r in lifecycle.policy_month_rollup(panel).collect()) == [(4, 2, 1)] * 2

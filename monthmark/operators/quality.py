@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthmark.functions.columns import percent
+from monthmark.functions.columns import free_name, percent
 from monthmark.functions.skew import in_tasks
 from monthmark.operators import aggregates as agg
+from monthmark.sources.staging import stored
 
 # The columns the checks look at.
 KEY_COLUMNS = ["policy", "vehicle_no", "driver_no", "premium_paid"]
@@ -55,13 +56,24 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def duplicates(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows, with their share."""
+    """Rows beyond the first of each group of equal rows, with their share.
+
+    Equal rows have equal hashes: rows are dealt by their hash alone, and only those whose hash comes more than once
+    are compared as wholes, as a hash may be shared by different rows.
+    """
+    total, mark = df.count(), free_name(df, "_hash")
+    hashed = df.withColumn(mark, F.xxhash64(*df.columns))
+    counts = in_tasks(hashed.select(mark), [mark], total).groupBy(mark).agg(F.count(F.lit(1)).alias("n"))
+    # Stored, so that the join knows that they are few, where they are.
+    shared = stored(counts.where(F.col("n") > 1), "shared_hashes")
+    alike = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    suspects = hashed.join(shared.select(mark), mark, "left_semi").drop(mark)
     # Whole rows are wide, so as many tasks compare them as there are rows for.
-    groups = in_tasks(df, df.columns, df.count()).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.coalesce(F.sum("_n"), F.lit(0))
-    extra = total - F.count(F.lit(1))
-    return groups.agg(total.alias("total_records"), extra.alias("duplicate_records"),
-                      percent(extra, total).alias("duplicate_percentage"))
+    groups = in_tasks(suspects, df.columns, alike).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    whole = F.lit(total).cast("long")
+    extra = F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))
+    return groups.agg(whole.alias("total_records"), extra.alias("duplicate_records"),
+                      percent(extra, whole).alias("duplicate_percentage"))
 
 
 def _tidy(row: DataFrame, section: str, names: list[str]) -> DataFrame:

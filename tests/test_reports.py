@@ -68,6 +68,21 @@ def test_quality_of_dirty_rows(panel_of):
     assert nulls["vehicle_no"] == 1 and nulls["premium_paid"] == 1 and nulls["policy"] == 0
 
 
+def test_only_rows_of_shared_hashes_are_compared_as_wholes(spark, panel_of, tmp_path, monkeypatch):
+    odd = [{"premium_paid": 0.0}, {"premium_paid": -0.0}, {"premium_paid": float("nan")}, {"premium_paid": float("nan")},
+           {"vehicle_no": None, "driver_no": "x"}, {"vehicle_no": "x", "driver_no": None}, {"vehicle_no": None, "driver_no": "x"}]
+    panel_of([*odd, *({"policy": f"{i}"} for i in range(200)), *({"policy": "7"},) * 3]).write.parquet(f"{tmp_path}/panel")
+    panel = spark.read.parquet(f"{tmp_path}/panel")
+    out = quality.duplicates(panel)
+    assert tuple(out.collect()[0]) == (210, 6, 6 / 210 * 100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    wide = plan.index("RepartitionByExpression")
+    assert plan.index("LeftSemi") > wide  # rows are picked before they are dealt
+    # Different rows may share a hash.
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    assert tuple(quality.duplicates(panel).collect()[0]) == (210, 6, 6 / 210 * 100)
+
+
 def test_empty_panel(panel_of):
     empty = panel_of([])
     dup = quality.duplicates(empty).collect()[0]

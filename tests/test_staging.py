@@ -98,3 +98,26 @@ def test_panel_is_dealt_once_and_narrow(spark, tmp_path):
         assert "lpad" not in plan[plan.index("Exchange"):]
     assert [r.family_id for r in t.assignments.orderBy("family_id").collect()] == ["FAM000007"] * 2 + ["FAM000008"]
     assert {r.family_id for r in t.policies.collect()} == {"FAM000007", "FAM000008", "FAM000009", None}
+
+
+def test_derived_tables_take_little_space(spark, tmp_path):
+    """A policy's rows lie side by side in a month of the panel; derived tables are compressed with Zstandard."""
+    from datetime import date
+
+    from monthmark.plans.fixtures import Tables
+
+    orders = [(o, o * 7919 % 50, date(1998, 1 + o % 2, 1 + o % 28)) for o in range(400)]
+    lines = [(o * 13 % 400, 1, 3, 1, 5.0, 10.0, "R") for o in range(1600)]
+    given = {"orders": (orders, "o_orderkey long, o_custkey long, o_orderdate date"),
+             "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                                 "l_extendedprice double, l_returnflag string"),
+             "part": ([(1, "SMALL", 3)], "p_partkey long, p_type string, p_size int"),
+             "supplier": ([(3, "s")], "s_suppkey long, s_name string")}
+    for name, (rows, schema) in given.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    panel = Tables(spark, str(tmp_path)).panel
+    files = panel.inputFiles()
+    assert len(files) == 2 and all(f.endswith(".zstd.parquet") for f in files) and panel.count() == 1600
+    for f in files:
+        policies = [r.policy for r in spark.read.parquet(f).collect()]
+        assert policies == sorted(policies)

@@ -34,6 +34,26 @@ def test_one_file_a_batch_with_each_month_in_three_files(spark, panel_of, tmp_pa
     assert keyed(out) == keyed(policy_month_changes(panel))
 
 
+def test_thirds_of_a_panel_are_written_without_a_shuffle(spark, panel_of, tmp_path):
+    from monthmark.plans.catalog.stream_queries import thirds
+
+    panel_of(random_rows(5)).repartition(4, "inforce_mm").write.parquet(f"{tmp_path}/panel")
+    panel = spark.read.parquet(f"{tmp_path}/panel")
+    parts = thirds(panel)
+    assert [p.rdd.getNumPartitions() for p in parts] == [1, 1, 1]  # few rows, one file a third
+    assert all(p.rdd.getNumPartitions() == panel.rdd.getNumPartitions() for p in thirds(panel, rows_per_task=1))
+    for part in parts:
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(parts[0].union(parts[1]).union(parts[2])) == rows(panel)
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    for part in parts:
+        part.write.mode("append").parquet(source)
+    assert keyed(inc.run_flag_stream(spark, source, target, files_per_batch=2)) == keyed(policy_month_changes(panel))
+    assert len(os.listdir(f"{target}/flags")) == 2
+
+
 def test_split_month_is_one_month(spark, panel_of, tmp_path):
     source, target = f"{tmp_path}/in", f"{tmp_path}/out"
     both = (("01", "01"), ("02", "01"))

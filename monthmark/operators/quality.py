@@ -18,6 +18,9 @@ KEY_COLUMNS = ["policy", "vehicle_no", "driver_no", "premium_paid"]
 PROFILE_NUMERIC = ["premium_paid", "driver_age", "client_tenure_days", "model_year"]
 PROFILE_CATEGORICAL = ["vehicle_type", "driver_type", "assignment_type"]
 
+#: Hashes of more than one row at most that are sent to all tasks.
+MOST_SHARED = 1_000_000
+
 
 def consistency_rules(as_of_year: int) -> dict[str, Column]:
     """Rules a row breaks when the expression holds (ages 16 to 100 are valid)."""
@@ -59,17 +62,19 @@ def duplicates(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows, with their share.
 
     Equal rows have equal hashes: rows are dealt by their hash alone, and only those whose hash comes more than once
-    are compared as wholes, as a hash may be shared by different rows.
+    are compared as wholes, as a hash may be shared by different rows. With more than `MOST_SHARED` such hashes
+    all rows are.
     """
     total, mark = df.count(), free_name(df, "_hash")
     hashed = df.withColumn(mark, F.xxhash64(*df.columns))
     counts = in_tasks(hashed.select(mark), [mark], total).groupBy(mark).agg(F.count(F.lit(1)).alias("n"))
-    # Stored, so that the join knows that they are few, where they are.
     shared = stored(counts.where(F.col("n") > 1), "shared_hashes")
-    alike = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    suspects = hashed.join(shared.select(mark), mark, "left_semi").drop(mark)
+    held = shared.agg(F.count(F.lit(1)).alias("hashes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    suspects, n = df, total
+    if held["hashes"] <= MOST_SHARED:
+        suspects, n = hashed.join(F.broadcast(shared.select(mark)), mark, "left_semi").drop(mark), held["rows"]
     # Whole rows are wide, so as many tasks compare them as there are rows for.
-    groups = in_tasks(suspects, df.columns, alike).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    groups = in_tasks(suspects, df.columns, n).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     whole = F.lit(total).cast("long")
     extra = F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))
     return groups.agg(whole.alias("total_records"), extra.alias("duplicate_records"),

@@ -24,14 +24,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from monthmark.llm.common import by_bytes, chunks, quoted, settle, sole_keeper, written
+from monthmark.llm.common import by_bytes, chunks, quoted, settle, small_batches, sole_keeper, written
 from monthmark.llm.units import TAILED, split_units, unit
 from monthmark.sources.staging import scratch_path
 
 MAGIC, HEADER = b"RVB1", struct.Struct("<4sIQ")
 
-#: Ids after which a shard is closed, and entries of a worker's cache. They bound memory only.
-SHARD_IDS, KEPT_ENTRIES = 1 << 20, 900_000
+#: Ids after which a shard is closed, entries of a worker's cache, bytes and characters of text that a worker has in
+#: hand at once, and rows sent to it at once. They bound memory only.
+SHARD_IDS, KEPT_ENTRIES, SLICE_BYTES, SLICE_CHARS, BATCH_ROWS = 1 << 20, 600_000, 1 << 21, 1 << 20, 1000
 
 #: Lengths of the four values behind each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -88,7 +89,8 @@ class UnitEncoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct unit once.
 
     Words are split and numbered by Arrow, so Python looks at a chunk's distinct units only; the
-    ids of a unit stand in one growing array and are gathered by position.
+    ids of a unit stand in one growing array and are gathered by position. A full cache keeps the
+    units it has met again.
     """
 
     def __init__(self, path: str):
@@ -112,13 +114,15 @@ class UnitEncoder:
     def _clear(self) -> None:
         self.kept: dict[str, int] = {}
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)
         self.flat, self.used = np.zeros(1 << 18, self.kind), 0
 
     def _keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Add the units, whose ids stand one behind the other."""
         n, m = len(self.kept), len(keys)
         while n + m > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            self.start, self.size, self.again = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.again))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used:self.used + len(ids)] = ids
@@ -127,6 +131,22 @@ class UnitEncoder:
         self.used += len(ids)
         self.kept.update(zip(keys, range(n, n + m)))
 
+    def _trim(self) -> None:
+        """Let go of the units not met since they came or were last spared; of all, if those left would crowd the cache."""
+        spared = np.flatnonzero(self.again[:len(self.kept)])
+        if len(spared) > KEPT_ENTRIES * 3 // 4:
+            spared = spared[:0]
+        keys, ids, sizes = list(self.kept), self._of(spared), self.size[spared]
+        self.first = {}
+        self._clear()
+        self._keep([keys[i] for i in spared.tolist()], ids, sizes)
+
+    def _of(self, slots: np.ndarray) -> np.ndarray:
+        """Ids of the units in these slots, one behind the other."""
+        size = self.size[slots]
+        upto = np.cumsum(size)
+        return self.flat[np.repeat(self.start[slots] - (upto - size), size) + np.arange(size.sum())]
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
@@ -144,9 +164,8 @@ class UnitEncoder:
             return [np.frombuffer(i, self.kind).astype(kind).tobytes() for i in self.encode(texts, self.kind)]
         if not texts:
             return []
-        if len(self.kept) > KEPT_ENTRIES:
-            self.first = {}
-            self._clear()
+        if len(self.kept) + len(self.first) > KEPT_ENTRIES:
+            self._trim()
         order, words, ends = split_units(texts)
         coded = words.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -159,9 +178,10 @@ class UnitEncoder:
         slot = np.zeros(len(wanted), np.int64)
         at = np.flatnonzero(wanted)
         keys = coded.dictionary.take(at).to_numpy(zero_copy_only=False).tolist()
-        found = [self.kept.get(k, -1) for k in keys]
+        found = np.array([self.kept.get(k, -1) for k in keys], np.int64)
         slot[at] = found
-        missing = np.flatnonzero(np.array(found, np.int64) < 0)
+        self.again[found[found >= 0]] = True
+        missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [keys[i] for i in missing.tolist()]
             self._learn(new)
@@ -191,10 +211,9 @@ class UnitEncoder:
             ids = self._ids(mark[1:])
             self._keep([mark], ids, np.array([len(ids)]))
         both = np.array([(self.kept[w], self.kept[t]) for _, w, t in tailed], np.int64).reshape(-1, 2)
-        size = self.size[both].reshape(-1)
-        upto = np.cumsum(size)
-        source = np.repeat(self.start[both].reshape(-1) - (upto - size), size) + np.arange(size.sum())
-        self._keep([k for k, _, _ in tailed], self.flat[source], size.reshape(-1, 2).sum(axis=1))
+        # A mark stands behind many words, so it is met again here.
+        self.again[both] = True
+        self._keep([k for k, _, _ in tailed], self._of(both.reshape(-1)), self.size[both].sum(axis=1))
 
     def _encode_units(self, keys: list[str]) -> None:
         # Units open pieces, so many of them are encoded as one text and taken apart again.
@@ -252,9 +271,9 @@ def encode_ids(df: DataFrame, path: str, key: str, text: str, end_id: int) -> Da
         tail = np.array([end_id], kind).tobytes()
         total = np.zeros(max(len(of.opens), end_id + 1), np.int64)
         for whole in batches:
-            for batch in by_bytes(whole, 1):
+            for batch in by_bytes(whole, 1, SLICE_BYTES):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                ids = [i + tail for a, b in chunks(texts, 1 << 22) for i in of.encode(texts[a:b], kind)]
+                ids = [i + tail for a, b in chunks(texts, SLICE_CHARS) for i in of.encode(texts[a:b], kind)]
                 total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
@@ -293,7 +312,8 @@ def write_token_files(df: DataFrame, path: str, target: str, key: str = "doc_id"
     numbers. Other columns are not read.
     """
     spark = df.sparkSession
-    encoded = written(encode_ids(df, path, key, text, end_id), "ids")
+    with small_batches(spark, BATCH_ROWS):
+        encoded = written(encode_ids(df, path, key, text, end_id), "ids")
     order = ranks_of(encoded)
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(order)], "rank long, id long") \
         .coalesce(1).write.parquet(f"{target}/ranks")
@@ -332,9 +352,10 @@ def write_token_files(df: DataFrame, path: str, target: str, key: str = "doc_id"
             yield shard()
 
     rows = encoded.where(F.col("counts").isNull()).select("key", "ids", "width", "tie")
-    (rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "ids")
-     .mapInArrow(run, "part int, seq int, before long, n_ids long, payload binary")
-     .write.parquet(f"{target}/shards"))
+    with small_batches(spark, BATCH_ROWS):
+        (rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "ids")
+         .mapInArrow(run, "part int, seq int, before long, n_ids long, payload binary")
+         .write.parquet(f"{target}/shards"))
 
 
 def read_token_files(spark: SparkSession, target: str, keep_ids: bool = False) -> DataFrame:

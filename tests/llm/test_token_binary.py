@@ -5,6 +5,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from monthmark.llm import token_binary  # noqa: E402
 from monthmark.llm.token_binary import (encoder, pack, ranks_of, read_shard, read_token_files, token_files,  # noqa: E402
                                         unpack, write_shard, write_token_files)
 from tests.llm.helpers import docs_of, prose  # noqa: E402
@@ -36,6 +37,40 @@ def test_encoder_equals_library():
         assert np.frombuffer(ids, of.kind).tolist() == of.library.encode(t, add_special_tokens=False).ids
 
 
+def test_a_full_cache_keeps_units_met_again(monkeypatch):
+    monkeypatch.setattr(token_binary, "KEPT_ENTRIES", 60)
+    of = token_binary.UnitEncoder(PATH)
+    for k in range(40):
+        texts = [f"{k} common words, again. " + " ".join(f"u{k}x{j}" for j in range(15)), f"first{k}", f"one{k}\ntwo"]
+        for t, ids in zip(texts, of.encode(texts, of.kind)):
+            assert np.frombuffer(ids, of.kind).tolist() == of.library.encode(t, add_special_tokens=False).ids
+        assert len(of.kept) + len(of.first) <= 60 + 40
+        assert k == 0 or {"common", "words,", "again."} <= of.kept.keys()
+    for k in range(100):  # texts of one unit each fill the other part of the cache
+        of.encode([f"alone{k}"], of.kind)
+        assert len(of.first) <= 61
+    busy = [f"b{j}" for j in range(90)]
+    for _ in range(3):  # more units in use than fit
+        assert np.frombuffer(of.encode(["x " + " ".join(busy)], of.kind)[0], of.kind).tolist() == \
+            of.library.encode("x " + " ".join(busy), add_special_tokens=False).ids
+
+
+def test_a_worker_has_few_texts_in_hand(spark, tmp_path, monkeypatch):
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = token_binary.written
+
+    def noted(df, kind):
+        seen.append(int(spark.conf.get(name)))
+        return held(df, kind)
+
+    monkeypatch.setattr(token_binary, "written", noted)
+    before = spark.conf.get(name)
+    rows = [(k, "w " * (k % 7)) for k in range(2 * token_binary.BATCH_ROWS + 5)]
+    write_token_files(docs_of(spark, rows), PATH, str(tmp_path / "t"))
+    assert seen == [token_binary.BATCH_ROWS] and spark.conf.get(name) == before
+    assert read_token_files(spark, str(tmp_path / "t")).count() == len(rows)
+
+
 def test_files(spark, tmp_path):
     rows = [(9, "later text"), (-4, None), (2, ""), (5, "same text"), (5, "same text"), (None, "no key"), (7, prose(1, 30000)),
             *[(100 + k, prose(k, 50)) for k in range(40)]]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from monthmark.llm.common import by_bytes, chunks, quoted, settle, small_batches, sole_keeper, written
-from monthmark.llm.units import TAILED, split_units, unit
+from monthmark.llm.units import MARKS, cut_tails, split_units, unit
 from monthmark.sources.staging import scratch_path
 
 MAGIC, HEADER = b"RVB1", struct.Struct("<4sIQ")
@@ -37,6 +37,9 @@ SHARD_IDS, KEPT_ENTRIES, SLICE_BYTES, SLICE_CHARS, BATCH_ROWS = 1 << 20, 600_000
 #: Lengths of the four values behind each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
+#: Masks of the lowest 0 to 8 bytes of a number.
+LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 
@@ -85,10 +88,115 @@ def read_shard(buffer: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [int(k) if ok else None for k, ok in zip(keys, valid)], lengths.astype(np.int64), ranks
 
 
+class UnitTable:
+    """Slots of units, looked up for a whole array of them at once.
+
+    A unit of up to 23 bytes stands as three numbers, its bytes and its length, in open
+    addressing; longer ones are looked up by name. Units are compared whole, never by hash alone.
+    """
+
+    def __init__(self):
+        self.numbers, self.places = np.zeros((1 << 16, 3), np.uint64), np.zeros(1 << 17, np.int32)
+        self.long: dict[str, int] = {}
+        self.short = 0
+        self.odd = np.random.default_rng().integers(0, 1 << 63, 4).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __len__(self) -> int:
+        return self.short + len(self.long)
+
+    def keys(self) -> set[str]:
+        rows = self.numbers[self.places[self.places > 0] - 1]
+        return {r.tobytes()[:r.tobytes()[-1]].decode() for r in rows} | self.long.keys()
+
+    def slots(self) -> np.ndarray:
+        return np.concatenate([self.places[self.places > 0] - 1, np.array(list(self.long.values()), np.int64)])
+
+    def _home(self, numbers: np.ndarray) -> np.ndarray:
+        h = numbers[:, 0] * self.odd[0] + numbers[:, 1] * self.odd[1] + numbers[:, 2] * self.odd[2]
+        h = (h ^ (h >> np.uint64(32))) * self.odd[3]
+        return (h >> np.uint64(65 - len(self.places).bit_length())).astype(np.int64)
+
+    def find(self, units) -> np.ndarray:
+        """Slot of each unit of an Arrow array, -1 if it has none."""
+        numbers, size = in_numbers(units)
+        out = np.full(len(size), -1, np.int64)
+        rest = np.flatnonzero(size < 24)
+        if len(rest) < len(size):
+            far = np.flatnonzero(size > 23)
+            out[far] = [self.long.get(k, -1) for k in units.take(far).to_numpy(zero_copy_only=False)]
+            numbers = numbers[rest]
+        at = self._home(numbers)
+        while len(rest):
+            here = self.places[at] - 1
+            held = self.numbers[here]
+            same = (held[:, 0] == numbers[:, 0]) & (held[:, 1] == numbers[:, 1]) & (held[:, 2] == numbers[:, 2]) & (here >= 0)
+            out[rest[same]] = here[same]
+            on = np.flatnonzero(~same & (here >= 0))
+            rest, numbers, at = rest[on], numbers[on], (at[on] + 1) % len(self.places)
+        return out
+
+    def add(self, units, slots: np.ndarray) -> None:
+        """Give slots, from 0 on, to distinct units that have none."""
+        numbers, size = in_numbers(units)
+        short = size < 24
+        if not short.all():
+            far = np.flatnonzero(~short)
+            self.long.update(zip(units.take(far).to_numpy(zero_copy_only=False), slots[far].tolist()))
+            numbers, slots = numbers[short], slots[short]
+        self._place(numbers, slots)
+
+    def _place(self, numbers: np.ndarray, slots: np.ndarray) -> None:
+        if not len(slots):
+            return
+        while slots.max() >= len(self.numbers):
+            self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+        if 2 * (self.short + len(slots)) > len(self.places):
+            old = self.places[self.places > 0].astype(np.int64) - 1
+            n = len(self.places)
+            while 2 * (self.short + len(slots)) > n:
+                n *= 2
+            self.places, self.short = np.zeros(n, np.int32), 0
+            self._place(self.numbers[old], old)
+        self.numbers[slots] = numbers
+        self.short += len(slots)
+        at = self._home(numbers)
+        while len(slots):
+            free = np.flatnonzero(self.places[at] == 0)
+            self.places[at[free]] = slots[free] + 1
+            # Of several units at one place the last stays there.
+            on = np.flatnonzero(self.places[at] != slots + 1)
+            slots, at = slots[on], (at[on] + 1) % len(self.places)
+
+    def kept_of(self, slots: np.ndarray, slot_of: np.ndarray) -> UnitTable:
+        """A table of the units in these slots, `slot_of` giving the new slot of each (-1: left out)."""
+        out = UnitTable()
+        rows = self.numbers[slots]
+        short = rows[:, 2] > 0
+        out._place(rows[short], slot_of[slots[short]])
+        out.long = {k: int(slot_of[s]) for k, s in self.long.items() if slot_of[s] >= 0}
+        return out
+
+
+def in_numbers(units) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each unit as three numbers, the last holding its length as well; lengths). Of long units only the lengths count."""
+    n = len(units)
+    offsets = np.frombuffer(units.buffers()[1], np.int64, n + 1, 8 * units.offset) if n else np.zeros(1, np.int64)
+    data = np.zeros(int(offsets[-1] - offsets[0]) + 24, np.uint8)
+    if len(data) > 24:
+        data[:-24] = np.frombuffer(units.buffers()[2], np.uint8, len(data) - 24, int(offsets[0]))
+    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each position on
+    out = np.empty((n, 3), np.uint64)
+    for k in range(3):
+        out[:, k] = eight[start + 8 * k] & LOWEST[np.clip(size - 8 * k, 0, 8)]
+    out[:, 2] |= size.astype(np.uint64) << np.uint64(56)
+    return out, size
+
+
 class UnitEncoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct unit once.
 
-    Words are split and numbered by Arrow, so Python looks at a chunk's distinct units only; the
+    Words are split, numbered and looked up as arrays, so Python looks at new units only; the
     ids of a unit stand in one growing array and are gathered by position. A full cache keeps the
     units it has met again.
     """
@@ -108,18 +216,21 @@ class UnitEncoder:
         self.opens = np.zeros(max(names.values()) + 1, bool)
         for name, number in names.items():
             self.opens[number] = name[0] in "\u0120\u010A"
+        #: Marks that are in no added token, which may stand across pieces.
+        inside = "".join(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.marks = "".join(m for m in MARKS if m not in inside)
         self.first: dict[str, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.kept: dict[str, int] = {}
+        self.kept, self.tails, self.slots = UnitTable(), {}, 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.again = np.zeros(1 << 16, bool)
         self.flat, self.used = np.zeros(1 << 18, self.kind), 0
 
-    def _keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Add the units, whose ids stand one behind the other."""
-        n, m = len(self.kept), len(keys)
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New slots for units whose ids stand one behind the other."""
+        n, m = self.slots, len(sizes)
         while n + m > len(self.start):
             self.start, self.size, self.again = (
                 np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.again))
@@ -129,17 +240,22 @@ class UnitEncoder:
         self.start[n:n + m] = self.used + np.cumsum(sizes) - sizes
         self.size[n:n + m] = sizes
         self.used += len(ids)
-        self.kept.update(zip(keys, range(n, n + m)))
+        self.slots += m
+        return np.arange(n, n + m)
 
     def _trim(self) -> None:
         """Let go of the units not met since they came or were last spared; of all, if those left would crowd the cache."""
-        spared = np.flatnonzero(self.again[:len(self.kept)])
+        spared = np.sort(self.kept.slots())
+        spared = spared[self.again[spared]]
         if len(spared) > KEPT_ENTRIES * 3 // 4:
             spared = spared[:0]
-        keys, ids, sizes = list(self.kept), self._of(spared), self.size[spared]
+        slot_of = np.full(self.slots, -1, np.int64)
+        slot_of[spared] = np.arange(len(spared))
+        kept, ids, sizes = self.kept.kept_of(spared, slot_of), self._of(spared), self.size[spared]
         self.first = {}
         self._clear()
-        self._keep([keys[i] for i in spared.tolist()], ids, sizes)
+        self._keep(ids, sizes)
+        self.kept = kept
 
     def _of(self, slots: np.ndarray) -> np.ndarray:
         """Ids of the units in these slots, one behind the other."""
@@ -177,15 +293,13 @@ class UnitEncoder:
         wanted[codes[used]] = True
         slot = np.zeros(len(wanted), np.int64)
         at = np.flatnonzero(wanted)
-        keys = coded.dictionary.take(at).to_numpy(zero_copy_only=False).tolist()
-        found = np.array([self.kept.get(k, -1) for k in keys], np.int64)
-        slot[at] = found
-        self.again[found[found >= 0]] = True
+        units = coded.dictionary.take(at)
+        found = self.kept.find(units)
         missing = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
         if len(missing):
-            new = [keys[i] for i in missing.tolist()]
-            self._learn(new)
-            slot[at[missing]] = [self.kept[k] for k in new]
+            found[missing] = self._learn(units.take(missing))
+        slot[at] = found
         of = slot[codes]
         size = np.where(used, self.size[of], 0)
         upto = np.cumsum(size)
@@ -200,46 +314,66 @@ class UnitEncoder:
             before = stop
         return out
 
-    def _learn(self, keys: list[str]) -> None:
-        # A mark behind a letter or digit opens a piece, so words that differ in it share their ids.
-        cut = list(map(TAILED, keys))
-        bare = dict.fromkeys([k if m is None else m[1] for k, m in zip(keys, cut)])
-        self._encode_units([k for k in bare if k not in self.kept])
-        tailed = [(k, m[1], "\0" + m[2]) for k, m in zip(keys, cut) if m is not None]
-        # Marks are kept under keys that no unit has.
-        for mark in {t for _, _, t in tailed if t not in self.kept}:
-            ids = self._ids(mark[1:])
-            self._keep([mark], ids, np.array([len(ids)]))
-        both = np.array([(self.kept[w], self.kept[t]) for _, w, t in tailed], np.int64).reshape(-1, 2)
-        # A mark stands behind many words, so it is met again here.
-        self.again[both] = True
-        self._keep([k for k, _, _ in tailed], self._of(both.reshape(-1)), self.size[both].sum(axis=1))
-
-    def _encode_units(self, keys: list[str]) -> None:
+    def _learn(self, units) -> np.ndarray:
+        """Slots of new units. Marks behind a letter or digit open a piece, so words that differ in them share their ids."""
+        bare, tailed, tails = cut_tails(units, self.marks)
+        coded = bare.dictionary_encode()
+        slots = self.kept.find(coded.dictionary)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            names = coded.dictionary.take(new)
+            order, ids, sizes = self._encode_units(names.to_numpy(zero_copy_only=False).tolist())
+            slots[new[order]] = self._keep(ids, sizes)
+            self.kept.add(names, slots[new])
+        out = slots[coded.indices.to_numpy(zero_copy_only=False)]
+        if len(tailed):
+            numbers, which = np.unique(tails, return_inverse=True)
+            for t in numbers.tolist():
+                if t not in self.tails:
+                    ids = self._ids(t.to_bytes(8, "little").rstrip(b"\0").decode())
+                    self.tails[t] = int(self._keep(ids, np.array([len(ids)]))[0])
+            both = np.stack([out[tailed], np.array([self.tails[t] for t in numbers.tolist()])[which]], axis=1)
+            # The bare word was met, and may be again without the mark.
+            self.again[both[:, 0]] = True
+            out[tailed] = self._keep(self._of(both.reshape(-1)), self.size[both].sum(axis=1))
+            self.kept.add(units.take(tailed), out[tailed])
+        return out
+
+    def _encode_units(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, sizes): the n-th run of ids belongs to keys[order[n]]."""
         # Units open pieces, so many of them are encoded as one text and taken apart again.
-        plain, others = [], []
-        for k in keys:
-            (plain if k[1:].isprintable() and " " not in k else others).append(k)
-        for a in range(0, len(plain), 20_000):
-            groups = [plain[b:b + 100] for b in range(a, min(a + 20_000, len(plain)), 100)]
-            coded = self.library.encode_batch_fast(["".join(map(unit, g)) for g in groups], add_special_tokens=False)
-            keep, ids, sizes = [], [], []
-            for g, found in zip(groups, coded):
+        opened = np.array([k[:1] == "\n" for k in keys], bool)
+        spaced, plain, others, done = np.flatnonzero(~opened).tolist(), np.flatnonzero(opened).tolist(), [], []
+
+        def encode(groups: list[tuple[list[int], str]]) -> None:
+            coded = self.library.encode_batch_fast([t for _, t in groups], add_special_tokens=False)
+            for (g, _), found in zip(groups, coded):
                 part = np.array(found.ids, self.kind)
                 # Inside these units there is no white space: only their first token opens.
                 cuts = self.opens[part].nonzero()[0]
                 if len(cuts) != len(g):
-                    others += g
-                    continue
-                keep += g
-                ids.append(part)
-                sizes.append(np.diff(cuts, append=len(part)))
-            if keep:
-                self._keep(keep, np.concatenate(ids), np.concatenate(sizes))
-        for a in range(0, len(others), 20_000):
-            part = others[a:a + 20_000]
-            ids = [self._ids(unit(k)) for k in part]
-            self._keep(part, np.concatenate(ids), np.array([len(i) for i in ids], np.int64))
+                    others.extend(g)
+                else:
+                    done.append((g, part, np.diff(cuts, append=len(part))))
+
+        groups = []
+        for a in range(0, len(spaced), 100):
+            g = spaced[a:a + 100]
+            text = " " + " ".join([keys[i] for i in g])
+            if text.isprintable() and text.count(" ") == len(g):
+                groups.append((g, text))
+            else:
+                plain += g
+        fit = [i for i in plain if keys[i][1:].isprintable() and " " not in keys[i]]
+        others += sorted(set(plain) - set(fit))
+        groups += [(g, "".join([unit(keys[i]) for i in g])) for g in (fit[a:a + 100] for a in range(0, len(fit), 100))]
+        for a in range(0, len(groups), 200):
+            encode(groups[a:a + 200])
+        for i in others:
+            ids = self._ids(unit(keys[i]))
+            done.append(([i], ids, np.array([len(ids)], np.int64)))
+        return (np.array([i for g, _, _ in done for i in g], np.int64), np.concatenate([x for _, x, _ in done]),
+                np.concatenate([x for _, _, x in done]))
 
 
 def id_kind(vocabulary: int) -> str:

@@ -104,3 +104,51 @@ def test_ranks_are_by_frequency(spark):
     counts[[3, 5, 8]] = 2, 7, 2
     df = spark.createDataFrame([(bytearray(counts.tobytes()),), (bytearray(counts.tobytes()),), (None,)], "counts binary")
     assert ranks_of(df).tolist() == [5, 3, 8]
+
+
+def test_units_are_looked_up_whole():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    names = ["a", "a\0", "\0", "\0\0", "é" * 11, "é" * 12, "x" * 23, "x" * 24, "x" * 25, "x" * 22 + "y", "", "日本" * 20]
+    names += ["".join(chr(97 + c) for c in r.integers(0, 4, n)) for n in r.integers(1, 40, 200_000)]
+    names = list(dict.fromkeys(names))
+    known, others = names[::2], names[1::2]
+    of = token_binary.UnitTable()
+    for a in range(0, len(known), 30_000):
+        part = known[a:a + 30_000]
+        of.add(pa.array(part, pa.large_string()), np.arange(a, a + len(part)))
+    assert len(of) == len(known) and of.keys() == set(known)
+    assert of.find(pa.array(known, pa.large_string())).tolist() == list(range(len(known)))
+    assert (of.find(pa.array(others, pa.large_string())) == -1).all()
+    assert of.find(pa.array(names, pa.large_string()).slice(1, 3)).tolist() == [-1, 1, -1]
+    assert of.find(pa.array([], pa.large_string())).tolist() == []
+
+
+def test_encoder_equals_library_on_odd_units():
+    of = token_binary.UnitEncoder(PATH)
+    texts = ["x word, y", "a \0, b", "a \0 b \0\0 c", "q it's, it'll. don't! '", "w <|endoftext|>, a<|endoftext|>. <|endoftext|", "s |> a|> b>",
+             "m " + "z" * 30 + " " + "z" * 31 + ", " + "z" * 30, "d 12, x_ y_. __ é, ñ### 日本。 日本, ²,", "e é, ‍, a‍.",
+             "k " + "," * 9 + " a" + "," * 8 + " b" + "." * 9 + " c###%%%$$$", "\n", " ", "", "  a", "a  b", "a\n b", "t\n\nu,\nv.\nw, x",
+             "o \x0b, p\x1c, q\x85."]
+    for _ in range(2):  # new units, then known ones
+        for t, ids in zip(texts, of.encode(texts, of.kind)):
+            assert np.frombuffer(ids, of.kind).tolist() == of.library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_that_differ_in_marks_are_encoded_once(monkeypatch):
+    of, seen = token_binary.UnitEncoder(PATH), []
+    plain = of.library
+
+    class Noted:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(w for t in texts for w in t.split())
+            return plain.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(of, "library", Noted())
+    text = "x " + " ".join(f"{w}{m}" for w in ("aneses", "thblere") for m in ("", ",", "###", "%%%", ")", '."'))
+    assert np.frombuffer(of.encode([text], of.kind)[0], of.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == ["aneses", "thblere"]

@@ -85,3 +85,11 @@ def test_empty_table_and_bad_size(spark):
     assert pack_documents(docs_of(spark, []), PATH).count() == 0
     with pytest.raises(ValueError):
         pack_documents(docs_of(spark, []), PATH, size=0)
+
+
+def test_pieces_of_odd_units(spark):
+    rows = [(1, "x word, y word### word%%% z"), (2, "a \0, b \0\0. " + "z" * 40 + ", " + "z" * 40), (3, " a<|endoftext|>, é.\n\nß!")]
+    got = pack_documents(docs_of(spark, rows).coalesce(1), PATH).collect()
+    lib = encoder(PATH).library
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == {
+        k: lib.encode(t, add_special_tokens=False).ids + [2] for k, t in rows}

@@ -10,6 +10,10 @@ holds for every pair: products that stay below the limit even with the bound add
 above it with the bound taken off must be, and only the rest is computed again in double
 precision. A tile returns, for each of its vectors, the number of links and one link into
 its group, never the links themselves.
+
+Blocks are stored once, as they were read, and every task reads the two groups of blocks it multiplies from there
+(a Cartesian product of their files): no pair of blocks is shuffled or stored, so disk grows with the vectors
+and only time with their square. A task holds one group of stored blocks, a pair of them in full, and sums of links.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from monthmark.llm.common import quoted, written
 from monthmark.llm.components import components
@@ -26,6 +31,9 @@ from monthmark.llm.components import components
 #: Cosine from which vectors are linked, rows of a block, rows of a tile worked on at once.
 LIMIT, TILE, STRIP = 0.95, 4096, 512
 
+#: Bytes of blocks in a file at about, rows of links that a task sums up at once.
+FILE_BYTES, MERGE_ROWS = 1 << 25, 1 << 20
+
 #: Room for rounding in sums that are themselves in double precision.
 SLACK = 1e-9
 
@@ -90,23 +98,34 @@ def _grouped(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return label
 
 
-def _pack(blocks: DataFrame) -> DataFrame:
-    """One row for each block of (dim, block, id, copies, v)."""
+def _unpacked(ids: bytes, copies: bytes, values: bytes, kind: str) -> Block:
+    """A stored block: unit vectors and their quantised forms are made again for each product, not stored."""
+    unit = unit_rows(np.frombuffer(values, kind).reshape(len(ids) // 8, -1).astype(np.float64))
+    return Block(ids, copies, unit.tobytes(), *[x.tobytes() for x in quantised(unit)])
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(ids, n, other) of many tiles with one row for each id: links summed, one link into its group."""
+    ids, n, other = (np.concatenate(x) for x in zip(*parts))
+    known, at = np.unique(np.concatenate([ids, other]), return_inverse=True)
+    count = np.zeros(len(known), np.int64)
+    np.add.at(count, at[:len(ids)], n)
+    return known, count, known[_grouped(np.arange(len(known)), at[:len(ids)], at[len(ids):])]
+
+
+def _pack(blocks: DataFrame, kind: str) -> DataFrame:
+    """One row for each block of (dim, block, id, copies, v), values as numbers of `kind`."""
 
     def run(key, part):
         import pyarrow as pa
 
-        values = np.array(part["v"].combine_chunks().flatten(), np.float64).reshape(part.num_rows, -1)
-        unit = unit_rows(values)
-        q, scale, error = quantised(unit)
         row = {"dim": key[0].as_py(), "block": key[1].as_py(), "ids": np.array(part["id"], np.int64).tobytes(),
-               "copies": np.array(part["copies"], np.int64).tobytes(), "values": unit.tobytes(), "q": q.tobytes(),
-               "scale": scale.tobytes(), "error": error.tobytes()}
+               "copies": np.array(part["copies"], np.int64).tobytes(),
+               "values": np.array(part["v"].combine_chunks().flatten(), kind).tobytes()}
         return pa.Table.from_pylist([row], pa.schema(
             [("dim", pa.int32()), ("block", pa.int64())] + [(c, pa.binary()) for c in list(row)[2:]]))
 
-    return blocks.groupBy("dim", "block").applyInArrow(
-        run, "dim int, block long, ids binary, copies binary, values binary, q binary, scale binary, error binary")
+    return blocks.groupBy("dim", "block").applyInArrow(run, "dim int, block long, ids binary, copies binary, values binary")
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: float = LIMIT,
@@ -121,7 +140,10 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     """
     if not 0 < limit <= 1:
         raise ValueError("the limit is above 0 and at most 1")
-    v = F.transform(F.col(quoted(vector)), lambda x: x.cast("double"))
+    # Floats stay floats until they are multiplied, which halves what is stored and shuffled of them.
+    short = isinstance(df.schema[vector].dataType, T.ArrayType) and isinstance(df.schema[vector].dataType.elementType, T.FloatType)
+    kind = "float32" if short else "float64"
+    v = F.col(quoted(vector)) if short else F.transform(F.col(quoted(vector)), lambda x: x.cast("double"))
     good = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) \
         & F.exists("v", lambda x: x != 0)
     rows = df.select(F.col(quoted(key)).cast("long").alias("id"), v.alias("v"))
@@ -132,23 +154,29 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                                                  F.min_by("v", "id").alias("v")), "distinct-vectors")
     dims = first.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / tile).alias("blocks"))
     placed = (first.withColumn("dim", F.size("v")).join(F.broadcast(dims), "dim")  # a row for each vector length
-              .select("dim", "blocks", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).alias("block"),
+              .select("dim", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).alias("block"),
                       F.col("rep").alias("id"), "copies", "v"))
-    blocks = written(_pack(placed.drop("blocks")), "blocks")
-    parts = blocks.columns[2:]
-    left = (blocks.join(F.broadcast(dims), "dim").withColumn("other", F.explode(F.sequence(
-        F.col("block"), F.col("blocks") - 1))).drop("blocks"))
-    right = blocks.toDF("dim", "other", *[f"o_{c}" for c in parts])
-    pairs = left.repartition("dim", "block", "other").join(right, ["dim", "other"]).select(
-        (F.col("block") == F.col("other")).alias("same"), *parts, *[f"o_{c}" for c in parts])
+    held = dims.agg(F.sum(F.col("blocks") * F.col("dim")).alias("n")).first()["n"] or 0
+    files = max(df.sparkSession.sparkContext.defaultParallelism, -(-held * tile * np.dtype(kind).itemsize // FILE_BYTES))
+    blocks = written(_pack(placed.repartition(files, "dim", "block"), kind), "blocks")
+    other = blocks.toDF("o_dim", "other", *[f"o_{c}" for c in blocks.columns[2:]])
+    # Every pair of files meets in a task that reads both; of blocks that differ, the smaller number is on the left.
+    pairs = blocks.join(other.hint("shuffle_replicate_nl"), (F.col("dim") == F.col("o_dim")) & (F.col("block") <= F.col("other")))
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        def batch_of(ids, n, to):
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(to)], ["id", "n", "other"])
+
+        at, a, found, rows = None, None, [], 0
         for batch in batches:
             for row in zip(*batch.columns):
-                same, *raw = (x.as_py() for x in row)
-                a, b = Block(*raw[:len(parts)]), Block(*raw[len(parts):])
+                dim, block, *left, _, second = (x.as_py() for x in row[:7])
+                same = block == second
+                if at != (dim, block):  # the left block stays while the right ones pass
+                    at, a = (dim, block), _unpacked(*left, kind)
+                b = a if same else _unpacked(*(x.as_py() for x in row[7:]), kind)
                 n = len(a.ids)
                 ids = a.ids if same else np.concatenate([a.ids, b.ids])
                 shift = 0 if same else n
@@ -161,8 +189,17 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                         count += np.bincount(c, copies[r], len(ids)).astype(np.int64)
                         label = _grouped(label, r, c)
                 linked = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[linked]), pa.array(count[linked]), pa.array(ids[label[linked]])], ["id", "n", "other"])
+                if len(linked):
+                    found.append((ids[linked], count[linked], ids[label[linked]]))
+                    rows += len(linked)
+                if rows >= MERGE_ROWS:
+                    found = [_merged(found)]
+                    rows = len(found[0][0])
+                    if 2 * rows > MERGE_ROWS:
+                        yield batch_of(*found[0])
+                        found, rows = [], 0
+        if found:
+            yield batch_of(*_merged(found))
 
     found = written(pairs.mapInArrow(run, "id long, n long, other long"), "tile-links")
     counts = written(found.groupBy("id").agg(F.sum("n").alias("n")), "link-counts")

@@ -69,3 +69,34 @@ def test_bounds_lose_and_add_nothing(limit):
     b, v = block(centre + r.normal(size=(300, 16)) * 0.4)
     found = {(int(i), int(j)) for rr, cc in tile_links(a, b, limit, False) for i, j in zip(rr, cc)}
     assert found == set(zip(*map(lambda z: z.tolist(), np.nonzero(np.einsum("id,jd->ij", u, v) >= limit))))
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch):
+    """Blocks meet where their files are read: a shuffle of pairs would grow with the square of the vectors."""
+    from monthmark.llm import embedding_dedup as module
+
+    plans, plain = {}, module.written
+    monkeypatch.setattr(module, "written", lambda df, name: plans.update(
+        {name: df._jdf.queryExecution().executedPlan().toString()}) or plain(df, name))
+    rows = vectors(60)
+    n, groups = brute(rows)
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=20).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {k: (n[k], groups[k]) for k in groups}
+    assert "Exchange" not in plans["tile-links"] and "CartesianProduct" in plans["tile-links"]
+
+
+def test_floats_are_linked_in_double_precision(spark):
+    rows = [(k, np.float32(v).tolist()) for k, v in vectors(80)]
+    n, groups = brute(rows)
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), tile=30).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {k: (n[k], groups[k]) for k in groups}
+
+
+def test_links_of_many_tiles_are_summed():
+    from monthmark.llm.embedding_dedup import _merged
+
+    parts = [([5, 9], [1, 1], [5, 5]), ([9, 7], [2, 2], [7, 7]), ([1, 2], [3, 3], [1, 1])]
+    ids, n, other = _merged([tuple(np.array(x) for x in p) for p in parts])
+    assert dict(zip(ids.tolist(), n.tolist())) == {5: 1, 9: 3, 7: 2, 1: 3, 2: 3}
+    label = dict(zip(ids.tolist(), other.tolist()))
+    assert label[5] == label[9] == label[7] and label[1] == label[2] != label[5]

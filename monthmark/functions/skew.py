@@ -13,6 +13,9 @@ ROWS_PER_SALT = 100_000
 #: Rows of an aggregate that a task may well hold.
 ROWS_PER_TASK = 250_000
 
+#: Whole rows that a task may well sort.
+ROWS_PER_SORT = 500_000
+
 #: Hot keys at most, the ones with most rows: their table stays small however large the data are, and a key
 #: that is not among them has less than this share of all rows.
 MOST_HOT = 10_000
@@ -38,6 +41,18 @@ def in_tasks(df: DataFrame, keys: list[str], n: int, rows_per_task: int = ROWS_P
     return df.repartition(tasks, *keys)
 
 
+def in_ranges(df: DataFrame, keys: list[str], counted: DataFrame, rows_per_task: int = ROWS_PER_SORT) -> DataFrame:
+    """The rows dealt by ranges of `keys`, over more tasks than shuffle partitions are set where rows ask for more.
+
+    A task then sorts about `rows_per_task` rows however large the table is, and need not spill them. `counted` has
+    as many rows as df, roughly, and is cheap to count.
+    """
+    tasks = -(-counted.count() // rows_per_task)
+    if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartitionByRange(*keys)
+    return df.repartitionByRange(tasks, *keys)
+
+
 def _met(keys: list[str]) -> Column:
     return functools.reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_h{i}") for i, k in enumerate(keys)])
 

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from monthmark.sources.staging import scratch_path
+from monthmark.sources.staging import scratch_path, settle  # noqa: F401 - settle for the operators
 
 #: Words of a text: whatever stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,14 +25,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let go of what finished jobs left on the driver: plans, generated code, broadcasts, shuffles.
-
-    Spark's cleaner drops them only after the JVM has collected garbage, which a roomy heap puts off while it grows.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs started inside send workers at most so many rows at once: a batch of long texts stands in both processes."""

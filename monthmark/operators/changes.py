@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from monthmark.functions.columns import (assignment_key, index_month, index_year, month_index,
                                          period)
 from monthmark.functions.ranking import range_rank
-from monthmark.functions.skew import salted_join
+from monthmark.functions.skew import ROWS_PER_SALT, hot_keys, in_ranges, salted_join
 from monthmark.operators.aggregates import MONTH
 
 KEYS = ["policy", *MONTH]
@@ -124,21 +124,49 @@ def changed_months(panel: DataFrame, mode: str = "present") -> DataFrame:
 
 
 def flag_panel(panel: DataFrame, changes: DataFrame | None = None,
-               mode: str = "present") -> DataFrame:
+               mode: str = "present", in_order: bool = False, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """The panel with a major_change column; null where the row has no policy or month.
 
     Only changed policy-months are joined, which are few; a hot policy-month is split by the
-    skew handling of the join, as its right side is one row.
+    skew handling of the join, as its right side is one row. With `in_order` the rows come sorted by policy, month
+    and assignment over the partitions, ready to be written, and whole rows are shuffled once for both.
     """
     if changes is None:
         changed = changed_months(panel, mode)
     else:
         changed = changes.where("major_change").select(*KEYS)
+    if in_order:
+        return _flagged_in_order(panel, changed, rows_per_salt)
     return (panel.join(changed.withColumn("_changed", F.lit(True)), KEYS, "left")
             .withColumn("major_change", F.when(_known(), F.coalesce("_changed", F.lit(False))))
             .select(*panel.columns, "major_change"))
 
 
+def _flagged_in_order(panel: DataFrame, changed: DataFrame, rows_per_salt: int) -> DataFrame:
+    """Rows and marks of the changed policy-months, dealt together by ranges: a mark flags the rows it comes to lie with.
+
+    A policy-month stays in one range. Those of a hot policy, and rows without policy or month, are also dealt by
+    vehicle and driver, `_v` and `_d`; a hot policy-month has a mark for each of its assignments.
+    """
+    hot = F.broadcast(hot_keys(_calendars(panel), ["policy"], "n", rows_per_salt))  # MOST_HOT rows at most
+    tagged = panel.join(hot, F.col("policy") == F.col("_h0"), "left")
+    apart = F.col("_salts").isNotNull() | ~_known()
+    rows = tagged.withColumns({"_v": F.when(apart, F.col("vehicle_no")), "_d": F.when(apart, F.col("driver_no")),
+                               "_mark": F.lit(False)}).drop("_h0", "_salts")
+    held = (panel.where(_known()).join(hot, F.col("policy") == F.col("_h0"))
+            .select(*KEYS, F.col("vehicle_no").alias("_v"), F.col("driver_no").alias("_d")).distinct())
+    marks = (changed.unionByName(changed.join(held, KEYS), allowMissingColumns=True)
+             .withColumn("_mark", F.lit(True)))
+    deal = [*KEYS, "_v", "_d"]
+    both = in_ranges(rows.unionByName(marks, allowMissingColumns=True), deal, panel)
+    w = (Window.partitionBy(*deal).orderBy("vehicle_no", "driver_no")
+         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # The window's own order, so the rows are sorted once.
+    return (both.withColumn("_changed", F.max("_mark").over(w)).where(~F.col("_mark"))
+            .sortWithinPartitions(*deal, "vehicle_no", "driver_no")
+            .withColumn("major_change", F.when(_known(), F.col("_changed"))).select(*panel.columns, "major_change"))
+
+
 def assignment_moves(panel: DataFrame, mode: str = "calendar") -> DataFrame:
     """Assignments added and removed per policy-month, one row each."""
     moves = _transitions(_assignment_items(panel), _calendars(panel), mode)

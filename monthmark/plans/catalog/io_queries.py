@@ -18,7 +18,7 @@ P = FIXTURE_PARAMS
 
 
 def _csv_panel(t) -> str:
-    return writers.write_csv(t.panel, scratch_path(t.spark, "panel_csv"))
+    return writers.write_panel(t.panel, scratch_path(t.spark, "panel_csv"))
 
 
 @query("scan_panel", "SELECT * FROM fx_panel")
@@ -80,7 +80,7 @@ def _(t):
 
 @query("sink_sorted_panel", "SELECT * FROM ov_flagged")
 def _(t):
-    path = writers.write_sorted_panel(ch.flag_panel(t.panel), scratch_path(t.spark, "sorted"))
+    path = writers.write_sorted_panel(ch.flag_panel(t.panel, in_order=True), scratch_path(t.spark, "sorted"), in_order=True)
     return readers.scan_panel(t.spark, path)
 
 

@@ -84,6 +84,14 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         system.delete(at, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of what finished jobs left: shuffles on disk, and on the driver plans, generated code, broadcasts.
+
+    Spark's cleaner drops them only after the JVM has collected garbage, which a roomy heap puts off while it grows.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written below the shared folder and read back: later steps see them as they are now."""
     path = scratch_path(df.sparkSession, name)
@@ -109,6 +117,7 @@ def staged(spark: SparkSession, source: str, name: str, build: Callable[[], Data
             writer = df.hint("rebalance", *partition_by)
         writer.write.option("compression", STORED_AS).partitionBy(*partition_by).parquet(path)
         _STAGED[key] = (state, path, df.schema)
+        settle(spark)  # the shuffles behind the table are larger than it
     _, path, schema = _STAGED[key]
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
     return spark.read.schema(nullable).parquet(path).select(*schema.fieldNames())

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from monthmark.operators import changes as ch
+from monthmark.sources import writers
 
 
 def flags(df):
@@ -161,3 +162,24 @@ def test_details_are_compared_value_by_value(spark, panel_of):
     got = {(r.policy, r.inforce_mm): r.vehicle_changed for r in ch.detailed_changes(panel_of(rows)).collect()}
     assert got == {("a", 1): False, ("a", 2): True, ("b", 1): False, ("b", 2): True, ("c", 1): False, ("c", 2): False}
 
+
+
+@pytest.mark.parametrize("salt", [100_000, 3])
+def test_flags_in_order_equal_joined_ones(spark, panel_of, tmp_path, salt):
+    """Same rows and flags, copies and rows without keys among them; files in order; whole rows are shuffled once."""
+    rows = [r for p in range(12) for m in range(1, 9) for r in month(
+        2018, m, *[(f"{v:02d}", f"{d:02d}") for v in range(3) for d in range(2) if (p * 7 + m * (v + 1) + d) % 4], policy=f"{p:08d}")]
+    rows += rows[:9] + [{**r, "policy": None} for r in rows[:5]] + [{**r, "inforce_mm": None} for r in rows[5:12]]
+    rows += [{**rows[0], "vehicle_no": None}, {**rows[1], "vehicle_no": None, "driver_no": None}, {**rows[40], "driver_no": None}]
+    panel = panel_of(rows)
+    ordered = ch.flag_panel(panel, in_order=True, rows_per_salt=salt)
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "rangepartitioning" in x]) == 1
+    key = lambda r: tuple("" if x is None else f"1{x}" for x in r)
+    want = sorted(map(key, ch.flag_panel(panel).collect()))
+    writers.write_sorted_panel(ordered, f"{tmp_path}/p", fmt="parquet", in_order=True)
+    files = sorted(f for f in (tmp_path / "p").iterdir() if f.name.startswith("part-"))
+    got = [r for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert sorted(map(key, got)) == want and {r.major_change for r in got} == {None, False, True}
+    order = [key((r.policy, r.inforce_yy, r.inforce_mm, r.vehicle_no, r.driver_no)) for r in got]
+    assert order == sorted(order)

@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from monthmark.functions.skew import in_ranges
 from monthmark.operators import aggregates as agg
 from monthmark.operators import events as ev
 from monthmark.operators import lifecycle, lookups, quality
@@ -234,6 +235,22 @@ def test_sorted_panel_is_in_order_over_files(spark, panel_of, tmp_path, order):
     assert path.endswith("/s")
 
 
+def test_large_panel_is_sorted_in_as_many_tasks_as_rows_ask_for(spark, panel_of):
+    panel = panel_of(random_rows(5, policies=40))
+    n = panel.count()
+    dealt = in_ranges(panel, ["policy", "vehicle_no", "driver_no", "inforce_mm"], panel, rows_per_task=n // 20)
+    assert dealt.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt.count() == n
+
+
+def test_csv_panel_is_compressed_and_read_back(spark, panel_of, tmp_path):
+    panel = panel_of(random_rows(5, policies=40))
+    path = writers.write_sorted_panel(panel, f"{tmp_path}/c")
+    assert {f.name.split(".", 1)[1] for f in (tmp_path / "c").iterdir() if f.name.startswith("part-")} == {"csv.gz"}
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(readers.scan_panel(spark, path)) == key(panel)
+
+
 def test_log_appends_have_one_schema(spark, tmp_path):
     path = f"{tmp_path}/log"
     one = spark.createDataFrame([("vehicle_removal", date(2018, 1, 1), "F", "01")],

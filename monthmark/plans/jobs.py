@@ -19,8 +19,8 @@ def flag_file(spark: SparkSession, source: str, target: str, fmt: str = "csv") -
 
     The summary is taken from the written panel, so the flags are computed once.
     """
-    flagged = ch.flag_panel(readers.scan_panel(spark, source, fmt))
-    writers.write_sorted_panel(flagged, target, fmt=fmt)
+    flagged = ch.flag_panel(readers.scan_panel(spark, source, fmt), in_order=True)
+    writers.write_sorted_panel(flagged, target, fmt=fmt, in_order=True)
     return ch.change_summary(readers.scan_panel(spark, target, fmt))
 
 
